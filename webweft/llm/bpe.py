@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -19,10 +20,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids a worker remembers; at about 250 bytes each.
+#: Words whose ids a worker remembers, in each of two generations; about 200 bytes each.
 REMEMBERED = 250_000
 
 
+#: Fixed value: the word pattern that find_ascii is a form of.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -70,14 +75,23 @@ class WordBPE:
         self.single = [ids[c] for c in letters]
         self.last = [ids[c + self.suffix] for c in letters]
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        if newer := _newer():
-            # The file's library has no letters or digits that this Unicode version does not know.
+        self.find = self.find_rare = regex.compile(pattern).findall
+        pattern_is_other = pattern != WORDS
+        self.newer = frozenset(_newer())
+        if self.newer:
+            # The file's library has no letters or digits that its Unicode version does not know.  Large character
+            # sets are slow, so only texts that hold such a character take this pattern.
+            some = "".join(self.newer)
             for kind in ("L", "N"):
-                pattern = pattern.replace(f"[\\p{{{kind}}}]", f"[\\p{{{kind}}}--[{newer}]]")
-            pattern = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{newer}]]")
-        self.find = regex.compile(pattern, regex.V1).findall
+                pattern = pattern.replace(f"[\\p{{{kind}}}]", f"[\\p{{{kind}}}--[{some}]]")
+            pattern = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{some}]]")
+            self.find_rare = regex.compile(pattern, regex.V1).findall
+        self.first_newer = min(self.newer, default="")
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
+        # What the pattern says about lower-cased ASCII.
+        self.find_ascii = self.find if pattern_is_other else re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def word_ids(self, word: str) -> list[int]:
         """Merge one word; lowest rank first, leftmost among equals."""
@@ -107,7 +121,12 @@ class WordBPE:
         return [x for x, live in zip(ids, alive, strict=True) if live]
 
     def _segment(self, text: str) -> bytes:
-        words = self.find(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        if text.isascii():
+            words = self.find_ascii(text.lower())
+        else:
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            rare = self.newer and max(text) >= self.first_newer and not self.newer.isdisjoint(text)
+            words = (self.find_rare if rare else self.find)(text)
         known = self.known
         found = list(map(known.get, words))
         if None in found:
@@ -116,9 +135,10 @@ class WordBPE:
                     word = words[k]
                     ids = known.get(word)
                     if ids is None:
-                        ids = array("I", self.word_ids(word)).tobytes()
+                        ids = self.older.get(word) or array("I", self.word_ids(word)).tobytes()
                         if len(known) >= REMEMBERED:
-                            known.clear()
+                            self.older, known = known, {}
+                            self.known = known
                         if len(word) <= 64:
                             known[word] = ids
                     found[k] = ids
