@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, shingles, stored
@@ -155,10 +155,9 @@ class _Classes:
 def _rounds(items: DataFrame, classes: _Classes, check, num: int, den: int) -> None:
     """Compare the items of each bucket.  items(bucket, item, n, pos); check(pairs) finds links and adds them.
 
-    A round takes each bucket's first p items by number as pivots (4, 16, ...: later rounds have few buckets)
+    A round takes each bucket's first p items by number as pivots (1, 16, 256, ...: later rounds have few buckets)
     and pairs them with the items after them that are in other classes."""
     p = 1
-    items = stored(items, "items")
     while True:
         now = classes.on(items, "item", "cls")
         # Buckets whose items are all in one class are done.
@@ -168,8 +167,6 @@ def _rounds(items: DataFrame, classes: _Classes, check, num: int, den: int) -> N
             return
         pivots = now.groupBy("bucket").agg(F.min(F.struct("item", "n", "pos", "cls")).alias("pivot")).select("bucket", "pivot.*")
         if p > 1:
-            from pyspark.sql import Window
-
             pivots = now.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("item"))).where(F.col("rank") <= p).select("bucket", "item", "n", "pos", "cls")
         pivots = stored(pivots, "pivots")
         a, b = pivots.alias("a"), now.alias("b")
@@ -179,8 +176,8 @@ def _rounds(items: DataFrame, classes: _Classes, check, num: int, den: int) -> N
         pairs = stored(pairs.select(F.col("a.item").alias("a"), F.col("b.item").alias("b")).distinct(), "pairs")
         check(pairs)
         last = pivots.groupBy("bucket").agg(F.max("item").alias("last"))
-        items = stored(now.join(last, "bucket").where("item > last").select("bucket", "item", "n", "pos"), "items")
-        p = min(p * 4, 1 << 12)
+        items = now.join(last, "bucket").where("item > last").select("bucket", "item", "n", "pos")
+        p = min(p * 16, 1 << 12)
 
 
 def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
