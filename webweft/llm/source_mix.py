@@ -16,6 +16,7 @@ MAX_SOURCES rather than cut."""
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,6 @@ MAX_SOURCES = 1 << 18
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 64
 SHARD_SLOTS = 4096
-#: Documents that one ordering task should hold.
-BUCKET_ROWS = 20_000
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> list[float]:
@@ -96,12 +95,13 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.
         raise ValueError(f"over {MAX_SOURCES} sources: pass a coarser source column")
     sizes = [int(r["size"]) for r in found]
     target = targets(sizes, weights, most)
-    info = [(r["__source"], k, sizes[k], target[k], max(1, -(-int(r["docs"]) // BUCKET_ROWS))) for k, r in enumerate(found)]
+    info = [(r["__source"], k, sizes[k], target[k], math.isqrt(int(r["docs"])) + 1) for k, r in enumerate(found)]
     sources = spark.createDataFrame(info, "__name string, __rank int, source_size long, target double, __buckets int")
     # Bounded: MAX_SOURCES rows.
     known = rows.join(F.broadcast(sources), F.col("__source").eqNullSafe(F.col("__name"))).drop("__name")
     known = known.withColumn("__bucket", F.pmod(F.xxhash64("__id", "__tie"), F.col("__buckets")).cast("int"))
-    # Offsets: order and sum inside buckets of bounded size, then add the sums of the buckets before.
+    # Offsets: order and sum inside buckets, then add the sums of the buckets before.  A source of n documents has
+    # sqrt(n) buckets of sqrt(n), so neither step gathers the source.
     before = known.groupBy("__rank", "__bucket").agg(F.sum("__size").alias("__words"))
     upto = Window.partitionBy("__rank").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("__rank", "__bucket", F.coalesce(F.sum("__words").over(upto), F.lit(0)).alias("__first"))
