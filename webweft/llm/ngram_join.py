@@ -7,7 +7,9 @@
 3. Nodes with the same size and the same prefix are one group.  Links inside groups come first; a group whose
    members are then in several classes splits by class.
 4. Groups that share a prefix shingle are pairs if their sizes and the shingle's places allow similarity t.
-5. Pairs are expanded to members and verified on the members' full sets, taken from their texts.
+5. Pairs are expanded to members.  Parity sketches (one bit per hash slot, flipped by each shingle) drop pairs
+   first: sets differ by at least as many shingles as their sketches differ in bits, so no link is lost.  The rest
+   are verified on the members' full sets, taken from their texts.
 
 Only classes (connected components) are asked for, so a bucket never emits all its pairs: each round compares
 its first few items with all others, leaves out pairs already in one class, and drops a bucket when the rest of
@@ -33,6 +35,8 @@ from .common import components, shingles, stored
 #: Hence at most HEAVY_SHARE times the mean region length of them: a bounded list that every task may hold.
 HEAVY_LEAST, HEAVY_SHARE = 256, 1024
 _FLUSH = 1 << 21
+#: Longs in a parity sketch: 1,024 bits tell apart sets of up to some 3,000 shingles; beyond, it drops fewer pairs.
+SKETCH_LONGS = 16
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -44,6 +48,12 @@ def needed(n1: Column, n2: Column, num: int, den: int) -> Column:
     return F.ceil(num * (n1 + n2) / (num + den) - 1e-9)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each of 64 * SKETCH_LONGS hash slots, as longs."""
+    odd = np.bincount((s % np.uint64(64 * SKETCH_LONGS)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _texts(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -80,28 +90,37 @@ def heavy(docs: DataFrame, k: int, num: int, den: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, fp (128-bit fingerprint of the set), prefix (shingles in the global order)."""
+    """doc_id, n, fp (128-bit fingerprint of the set), sketch, prefix (shingles in the global order)."""
     often = docs.sparkSession.sparkContext.broadcast(heavy(docs, k, num, den))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = often.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                ids, ns, fps, lists = [], [], [], []
+                ids, ns, fps, parity, lists = [], [], [], [], []
                 for i, t in _texts([batch.slice(at, 1024)]):
                     s = shingles(t, k)
                     ids.append(i)
                     ns.append(len(s))
                     fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    parity.append(sketch(s))
                     if len(last) and len(s):
                         where = np.minimum(np.searchsorted(last, s), len(last) - 1)
                         late = last[where] == s
                         if late.any():
                             s = np.concatenate([s[~late], s[late]])
                     lists.append(s[: prefix_length(len(s), num, den)].view(np.int64) if len(s) else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "n", "fp", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(parity, pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "n", "fp", "sketch", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp binary, sketch array<long>, prefix array<long>")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp binary, prefix array<long>")
+def sketched(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs(a, b) of nodes(node, n, sketch) those whose sketches allow the similarity."""
+    one = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    both = one.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
+    return both.where(differ <= F.col("na") + F.col("nb") - 2 * needed(F.col("na"), F.col("nb"), num, den)).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -140,22 +159,16 @@ class _Classes:
         t = self.table.select(F.col("node").alias("__node"), F.col("comp").alias("__comp"))
         return df.join(t, F.col(node) == F.col("__node"), "left").withColumn(name, F.coalesce("__comp", node)).drop("__node", "__comp")
 
-    def add(self, links: DataFrame) -> bool:
-        """Take in links(a, b) between nodes; False if there is none."""
-        if links.isEmpty():
-            return False
-        mapped = self.on(self.on(links, "a", "__a"), "b", "__b").select(F.col("__a").alias("a"), F.col("__b").alias("b"))
-        new = stored(components(mapped), "merged")
-        to = new.select(F.col("node").alias("__from"), F.col("comp").alias("__to"))
-        old = self.table.join(to, F.col("comp") == F.col("__from"), "left").select("node", F.coalesce("__to", "comp").alias("comp"))
-        self.table = stored(old.union(new.join(self.table.select("node"), "node", "left_anti").select("node", "comp")), "classes")
-        return True
+    def add(self, links: DataFrame) -> None:
+        """Take in links(a, b) between nodes."""
+        if not links.isEmpty():
+            self.table = stored(components(self.table.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(links)), "classes")
 
 
 def _rounds(items: DataFrame, classes: _Classes, check, num: int, den: int) -> None:
     """Compare the items of each bucket.  items(bucket, item, n, pos); check(pairs) finds links and adds them.
 
-    A round takes each bucket's first p items by number as pivots (1, 16, 256, ...: later rounds have few buckets)
+    A round takes each bucket's first p items by number as pivots (1, 64, 4096, 4096, ...: later rounds have few buckets)
     and pairs them with the items after them that are in other classes."""
     p = 1
     while True:
@@ -177,7 +190,7 @@ def _rounds(items: DataFrame, classes: _Classes, check, num: int, den: int) -> N
         check(pairs)
         last = pivots.groupBy("bucket").agg(F.max("item").alias("last"))
         items = now.join(last, "bucket").where("item > last").select("bucket", "item", "n", "pos")
-        p = min(p * 16, 1 << 12)
+        p = min(p * 64, 1 << 12)
 
 
 def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -185,7 +198,7 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     spark = docs.sparkSession
     sets = stored(prefixes(docs, k, num, den), "sets")
     full = sets.where("n > 0")
-    nodes = full.where("doc_id is not null").groupBy("n", "fp").agg(F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"))
+    nodes = full.where("doc_id is not null").groupBy("n", "fp").agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed once written
     found = _Classes(spark)
 
@@ -202,7 +215,7 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     texts = stored(_node_texts(docs, sets, nodes.join(asked, "node", "left_semi").select("node", "doc", "fp"), k), "texts")
 
     def check(pairs: DataFrame) -> None:
-        found.add(stored(verified(pairs, texts, k, num, den), "links"))
+        found.add(stored(verified(sketched(pairs, nodes, num, den), texts, k, num, den), "links"))
 
     inside = members.where("members > 1").select(F.col("gid").alias("bucket"), F.col("node").alias("item"), "n", F.lit(0).alias("pos"))
     if not inside.isEmpty():
@@ -221,7 +234,9 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
         if sub is None:
             return
         # Pairs of groups whose first members do not link: all their members, unless in one class by now.
-        left = found.on(found.on(pairs, "a", "ca"), "b", "cb").where("ca <> cb")
+        many = sub.where("node = sub").select(F.col("sub").alias("__many"))
+        some = pairs.join(many, F.col("a") == F.col("__many"), "left_semi").union(pairs.join(many, F.col("b") == F.col("__many"), "left_semi")).distinct()
+        left = found.on(found.on(some, "a", "ca"), "b", "cb").where("ca <> cb")
         wide = left.join(sub.withColumnRenamed("sub", "a").withColumnRenamed("node", "ma"), "a", "left").join(sub.withColumnRenamed("sub", "b").withColumnRenamed("node", "mb"), "b", "left")
         wide = wide.where("ma is not null or mb is not null").select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"))
         wide = stored(wide.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "members")
