@@ -44,11 +44,12 @@ def brute_near(rows, cosine):
     return Counter((r[0], links[k], low.get(root(k)) if r[0] is not None else None) for k, r in enumerate(rows))
 
 
-def test_near(spark):
+def test_near(spark, monkeypatch):
     rows = awkward()
     df = spark.createDataFrame(rows, ROWS)
-    for block in (2048, 16):
-        out = near_vectors.digest(df, block_rows=block).collect()
+    for block, rows_at_once in ((1 << 20, 512), (16 * 48, 5)):
+        monkeypatch.setattr(near_vectors, "SLICE_ROWS", rows_at_once)
+        out = near_vectors.digest(df, block_bytes=block).collect()
         assert Counter((r.vec_id, r.n_links, r.component_id) for r in out) == brute_near(rows, near_vectors.COSINE)
         assert all(r.kept == (r.vec_id == r.component_id) or r.vec_id is None for r in out)
     assert not near_vectors.digest(df.limit(0)).collect()
@@ -57,7 +58,7 @@ def test_near(spark):
 def test_near_whole_table(spark, small):
     df = table(spark, small, "embeddings")
     rows = [tuple(r) for r in df.collect()]
-    out = near_vectors.digest(df, block_rows=64).collect()
+    out = near_vectors.digest(df, block_bytes=64 * 8 * 64).collect()
     assert Counter((r.vec_id, r.n_links, r.component_id) for r in out) == brute_near(rows, near_vectors.COSINE)
 
 

@@ -4,7 +4,7 @@ Vectors link at cosine >= 0.95, which on unit vectors is a Euclidean distance of
 Equal vectors are collapsed to one with a count.  Pivots (vectors of lowest hash) cut space into nearest-pivot
 cells; by the triangle inequality a vector can link into another cell only if it lies within that distance of
 the plane between both pivots, so it is replicated to exactly those cells (of smaller number: each cross pair
-then meets once).  A cell's members are split into blocks of BLOCK_ROWS and every pair of blocks is one task, so
+then meets once).  A cell's members are split into blocks of BLOCK_BYTES and every pair of blocks is one task, so
 a cell that holds a third of all rows is many tasks.  Tasks return counts per vector and a spanning forest of
 their links, never the pairs.
 
@@ -25,8 +25,9 @@ from .common import components, stored
 from .vectors import clean, matrix, usable
 
 COSINE = 0.95
-BLOCK_ROWS = 2048
-MAX_PIVOTS = 1024
+#: A task holds two blocks; small blocks would be sent to more tasks each.  Products are taken SLICE_ROWS at a time.
+BLOCK_BYTES, SLICE_ROWS = 8 << 20, 512
+LEAST_PIVOTS, MAX_PIVOTS = 4, 1024
 
 
 def _cells(pivots: np.ndarray, reach: float):
@@ -45,22 +46,22 @@ def _cells(pivots: np.ndarray, reach: float):
     return assign
 
 
-def _forest(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (id, smallest id of its component) of the bipartite links between rows a and columns b."""
+def _forest(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between rows i and columns j, the edges (label, least label of its component) and the columns' new
+    labels.  Rows bear their ids a, columns the labels b that they had before."""
     la, lb = a.copy(), b.copy()
-    rows, cols = np.nonzero(linked)
-    while len(rows):
+    while len(i):
         na, nb = la.copy(), lb.copy()
-        np.minimum.at(na, rows, lb[cols])
-        np.minimum.at(nb, cols, na[rows])
+        np.minimum.at(na, i, lb[j])
+        np.minimum.at(nb, j, na[i])
         if (na == la).all() and (nb == lb).all():
             break
         la, lb = na, nb
-    ids, low = np.concatenate([a, b]), np.concatenate([la, lb])
-    return ids[ids != low], low[ids != low]
+    edges = np.stack([np.concatenate([a, b]), np.concatenate([la, lb])], 1)
+    return np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0), lb
 
 
-def links(rows: DataFrame, cosine: float = COSINE, id_: str = "vec_id", vec: str = "embedding", block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(rows: DataFrame, cosine: float = COSINE, id_: str = "vec_id", vec: str = "embedding", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(reps, counts, edges): reps(__rep, __n, __vec) are the distinct vectors, counts(__rep, links) the rows each
     links with besides its own, edges(a, b) a spanning forest of the links between reps."""
     spark = rows.sparkSession
@@ -68,9 +69,9 @@ def links(rows: DataFrame, cosine: float = COSINE, id_: str = "vec_id", vec: str
     total = reps.count()
     dims = [r[0] for r in reps.select(F.size("__vec")).distinct().limit(1025).collect()]
     reach = math.sqrt(max(0.0, 2 - 2 * cosine))
-    want = min(MAX_PIVOTS, max(1, total // (4 * block_rows)))
     assign = {}
     for d in dims:
+        want = min(MAX_PIVOTS, max(LEAST_PIVOTS, total // (4 * max(1, block_bytes // (8 * d)))))
         chosen = reps.where(F.size("__vec") == d).orderBy(F.xxhash64("__vec"), "__rep").limit(want).toPandas()
         p = matrix(chosen["__vec"])
         assign[d] = p / np.sqrt((p * p).sum(1))[:, None]
@@ -90,6 +91,7 @@ def links(rows: DataFrame, cosine: float = COSINE, id_: str = "vec_id", vec: str
     outer = placed.select("dim", F.explode("outs").alias("cell"), "__rep", "__n", "__vec", F.lit(False).alias("inner"))
     # Blocks of each cell: its own rows are blocks 0..k-1, visiting rows are blocks k..k+m-1.
     sizes = inner.select("dim", "cell", "inner").union(outer.select("dim", "cell", "inner")).groupBy("dim", "cell").agg(F.count_if("inner").alias("i"), F.count_if(~F.col("inner")).alias("o"))
+    block_rows = F.greatest(F.lit(1), F.floor(F.lit(block_bytes) / (8 * F.col("dim"))))
     sizes = sizes.select("dim", "cell", F.ceil(F.col("i") / block_rows).cast("int").alias("k"), F.ceil(F.col("o") / block_rows).cast("int").alias("m"))
     many = inner.union(outer).join(F.broadcast(sizes), ["dim", "cell"])  # sizes: at most MAX_PIVOTS rows a length
     block = F.when(F.col("inner"), F.pmod(F.xxhash64("__rep"), F.col("k"))).otherwise(F.col("k") + F.pmod(F.xxhash64("__rep"), F.greatest("m", F.lit(1)))).cast("int")
@@ -108,17 +110,26 @@ def links(rows: DataFrame, cosine: float = COSINE, id_: str = "vec_id", vec: str
             return pd.DataFrame({"a": [], "b": [], "n": []})
         a, b = matrix(left["__vec"]), matrix(right["__vec"])
         ia, ib = left["__rep"].to_numpy(), right["__rep"].to_numpy()
-        c = (a @ b.T) / np.sqrt((a * a).sum(1))[:, None] / np.sqrt((b * b).sum(1))[None, :]
-        linked = c >= cosine
-        for i, j in zip(*np.nonzero(np.abs(c - cosine) < 1e-12), strict=True):  # at the edge: without rounding
-            linked[i, j] = math.fsum(a[i] * b[j]) / (math.sqrt(math.fsum(a[i] * a[i])) * math.sqrt(math.fsum(b[j] * b[j]))) >= cosine
-        if low == high:
-            np.fill_diagonal(linked, False)
-        out = [pd.DataFrame({"a": ia, "b": -1, "n": linked @ right["__n"].to_numpy()})]
-        if low != high:
-            out.append(pd.DataFrame({"a": ib, "b": -1, "n": left["__n"].to_numpy() @ linked}))
-        ids, to = _forest(linked, ia, ib)
-        found = pd.concat([*[o[o["n"] > 0] for o in out], pd.DataFrame({"a": ids, "b": to, "n": 0})])
+        na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
+        n_a, n_b = left["__n"].to_numpy(), right["__n"].to_numpy()
+        seen_a, seen_b, label, forest = np.zeros(len(a)), np.zeros(len(b)), ib.copy(), []
+        for at in range(0, len(a), SLICE_ROWS):
+            x, upto = a[at : at + SLICE_ROWS], min(len(a), at + SLICE_ROWS)
+            c = (x @ b.T) / na[at:upto, None] / nb[None, :]
+            linked = c >= cosine
+            for i, j in zip(*np.nonzero(np.abs(c - cosine) < 1e-12), strict=True):  # at the edge: without rounding
+                linked[i, j] = math.fsum(x[i] * b[j]) / (math.sqrt(math.fsum(x[i] * x[i])) * math.sqrt(math.fsum(b[j] * b[j]))) >= cosine
+            if low == high:
+                linked[np.arange(len(x)), np.arange(at, upto)] = False
+            i, j = np.nonzero(linked)
+            seen_a[at:upto] = np.bincount(i, n_b[j], len(x))
+            seen_b += np.bincount(j, n_a[at + i], len(b))
+            edges, label = _forest(i, j, ia[at:upto], label)
+            forest.append(edges)
+        forest = np.unique(np.concatenate(forest), axis=0)
+        sides = [(ia, seen_a), (ib, seen_b)][: 1 if low == high else 2]
+        out = [pd.DataFrame({"a": ids[n > 0], "b": -1, "n": n[n > 0]}) for ids, n in sides]
+        found = pd.concat([*out, pd.DataFrame({"a": forest[:, 0], "b": forest[:, 1], "n": 0})])
         return found.astype("int64")
 
     found = stored(tasks.groupBy("dim", "cell", "low", "high").applyInPandas(compare, "a long, b long, n long"), "links")
