@@ -50,6 +50,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As stored(), in as many buckets of key as there are shuffle partitions: later joins on key move the other
+    side only."""
+    spark = df.sparkSession
+    path, n = f"{shared_dir(spark)}/webweft/{uuid.uuid4().hex}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _written.append((spark, path))
+    held = f"webweft_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(held)
+    return spark.table(held)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

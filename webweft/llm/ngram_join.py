@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, shingles, stored
+from .common import bucketed, components, shingles, stored
 
 #: Shingles in over max(HEAVY_LEAST, documents / HEAVY_SHARE) documents' prefix regions come last in the order.
 #: Hence at most HEAVY_SHARE times the mean region length of them: a bounded list that every task may hold.
@@ -209,13 +209,16 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     shared = places.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     places = stored(places.join(shared, "bucket", "left_semi").select("bucket", F.col("gid").alias("item"), "n", "pos"), "places")
 
-    # The texts that any comparison can ask for.
-    asked = places.select(F.col("item").alias("gid")).distinct().join(members.select("gid", "node"), "gid").select("node")
-    asked = asked.union(members.where("members > 1").select("node")).distinct()
-    texts = stored(_node_texts(docs, sets, nodes.join(asked, "node", "left_semi").select("node", "doc", "fp"), k), "texts")
+    # Texts are moved once; each comparison then fetches those it asks for.
+    texts = bucketed(docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("__text")).where("doc is not null"), "doc", "texts")
+    often = stored(sets.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("doc")), "repeated")
+    often = None if often.isEmpty() else often
 
     def check(pairs: DataFrame) -> None:
-        found.add(stored(verified(sketched(pairs, nodes, num, den), texts, k, num, den), "links"))
+        likely = stored(sketched(pairs, nodes, num, den), "likely")
+        asked = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(nodes.select("node", "doc", "fp"), "node")
+        fetched = stored(_node_texts(texts, often, asked, k), "fetched")
+        found.add(stored(verified(likely, fetched, k, num, den), "links"))
 
     inside = members.where("members > 1").select(F.col("gid").alias("bucket"), F.col("node").alias("item"), "n", F.lit(0).alias("pos"))
     if not inside.isEmpty():
@@ -252,19 +255,19 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
 
 
-def _node_texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(__id, __text): one text per node(node, doc, fp).  Where rows share a doc_id, the one whose set is the node's."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("__text")).join(nodes, "doc")
-    often = stored(sets.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("doc")), "repeated")
-    if often.isEmpty():
-        return texts.select(F.col("node").alias("__id"), "__text")
+def _node_texts(texts: DataFrame, often: DataFrame | None, nodes: DataFrame, k: int) -> DataFrame:
+    """(__id, __text): one text per node(node, doc, fp) of texts(doc, __text).  Where rows share a doc_id (it is in
+    often), the one whose set is the node's."""
+    both = texts.join(nodes.hint("shuffle_hash"), "doc")  # each task holds its share of three short columns
+    if often is None:
+        return both.select(F.col("node").alias("__id"), "__text")
 
     @F.udf("binary")
     def fingerprint(t):
         return hashlib.blake2b(shingles(t, k).tobytes(), digest_size=16).digest()
 
-    rest = texts.join(often, "doc", "left_semi").where(fingerprint("__text") == F.col("fp")).groupBy("node").agg(F.min("__text").alias("__text"))
-    return texts.join(often, "doc", "left_anti").select("node", "__text").unionByName(rest).withColumnRenamed("node", "__id")
+    rest = both.join(often, "doc", "left_semi").where(fingerprint("__text") == F.col("fp")).groupBy("node").agg(F.min("__text").alias("__text"))
+    return both.join(often, "doc", "left_anti").select("node", "__text").unionByName(rest).withColumnRenamed("node", "__id")
 
 
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
