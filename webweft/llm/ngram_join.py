@@ -202,12 +202,15 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed once written
     found = _Classes(spark)
 
-    groups = nodes.groupBy("n", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2")).agg(F.min("node").alias("gid"), F.count("*").alias("members"))
-    named = nodes.select("n", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2"), "node", "prefix").join(groups, ["n", "p1", "p2"])
-    members = stored(named.select("gid", "members", "node", "n", "prefix"), "members")
-    places = members.where("gid = node").select("gid", "n", F.posexplode("prefix").alias("pos", "bucket"))
-    shared = places.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    places = stored(places.join(shared, "bucket", "left_semi").select("bucket", F.col("gid").alias("item"), "n", "pos"), "places")
+    # Only groups of several nodes are written; where they are few, joining them moves no prefix.
+    key = [F.col("n"), F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2")]
+    groups = nodes.groupBy(*key).agg(F.min("node").alias("gid"), F.count("*").alias("members")).where("members > 1")
+    groups = stored(groups.select("n", "p1", "p2", "gid"), "groups")
+    named = nodes.select(*key, "node", "prefix").join(groups, ["n", "p1", "p2"], "left")
+    members = stored(named.where("gid is not null").select("gid", "node", "n"), "members")
+    places = named.where("gid is null or gid = node").select("node", "n", F.posexplode("prefix").alias("pos", "bucket"))
+    places = places.withColumn("c", F.count("*").over(Window.partitionBy("bucket"))).where("c > 1")
+    places = stored(places.select("bucket", F.col("node").alias("item"), "n", "pos"), "places")
 
     # Texts are moved once; each comparison then fetches those it asks for.
     texts = bucketed(docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("__text")).where("doc is not null"), "doc", "texts")
@@ -220,13 +223,13 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
         fetched = stored(_node_texts(texts, often, asked, k), "fetched")
         found.add(stored(verified(likely, fetched, k, num, den), "links"))
 
-    inside = members.where("members > 1").select(F.col("gid").alias("bucket"), F.col("node").alias("item"), "n", F.lit(0).alias("pos"))
+    inside = members.select(F.col("gid").alias("bucket"), F.col("node").alias("item"), "n", F.lit(0).alias("pos"))
     if not inside.isEmpty():
         _rounds(inside, found, check, num, den)
         # Groups of one class from here on.
-        split = found.on(members.where("members > 1").select("gid", "node"), "node", "cls")
+        split = found.on(members.select("gid", "node"), "node", "cls")
         sub = split.groupBy("gid", "cls").agg(F.min("node").alias("sub"), F.count("*").alias("size"))
-        sub = stored(split.join(sub, ["gid", "cls"]).select("gid", "node", "sub", "size"), "groups")
+        sub = stored(split.join(sub, ["gid", "cls"]).select("gid", "node", "sub", "size"), "split")
         places = places.join(sub.where("node = sub").select(F.col("gid").alias("item"), "sub"), "item", "left").select("bucket", F.coalesce("sub", "item").alias("item"), "n", "pos")
         sub = sub.where("size > 1").select("sub", "node")
     else:
