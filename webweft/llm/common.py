@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 import numpy as np
@@ -47,7 +48,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/webweft/{uuid.uuid4().hex}/{name}"
     _written.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing will read again, and let the driver drop the shuffle files of past plans
+    (it does so only when its JVM collects them)."""
+    for t in tables:
+        _remove(t.sparkSession, t.stored_at)
+        _written.remove((t.sparkSession, t.stored_at))
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:

@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed, components, shingles, stored
+from .common import bucketed, components, discard, shingles, stored
 
 #: Shingles in over max(HEAVY_LEAST, documents / HEAVY_SHARE) documents' prefix regions come last in the order.
 #: Hence at most HEAVY_SHARE times the mean region length of them: a bounded list that every task may hold.
 HEAVY_LEAST, HEAVY_SHARE = 256, 1024
 _FLUSH = 1 << 21
+#: Rows of an Arrow batch when pairs carry both their texts: long texts come in many pairs.
+PAIR_ROWS = 128
 #: Longs in a parity sketch: 1,024 bits tell apart sets of up to some 3,000 shingles; beyond, it drops fewer pairs.
 SKETCH_LONGS = 16
 
@@ -189,17 +191,20 @@ def _rounds(items: DataFrame, classes: _Classes, check, num: int, den: int) -> N
         pairs = stored(pairs.select(F.col("a.item").alias("a"), F.col("b.item").alias("b")).distinct(), "pairs")
         check(pairs)
         last = pivots.groupBy("bucket").agg(F.max("item").alias("last"))
-        items = now.join(last, "bucket").where("item > last").select("bucket", "item", "n", "pos")
+        old, items = items, stored(now.join(last, "bucket").where("item > last").select("bucket", "item", "n", "pos"), "items")
+        discard(now, pivots, pairs, *[old] * hasattr(old, "stored_at"))
         p = min(p * 64, 1 << 12)
 
 
 def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (see the module's text)."""
     spark = docs.sparkSession
-    sets = stored(prefixes(docs, k, num, den), "sets")
-    full = sets.where("n > 0")
+    found_sets = stored(prefixes(docs, k, num, den), "found")
+    sets = stored(found_sets.select("doc_id", "n", "fp"), "sets")
+    full = found_sets.where("n > 0")
     nodes = full.where("doc_id is not null").groupBy("n", "fp").agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed once written
+    discard(found_sets)
     found = _Classes(spark)
 
     # Only groups of several nodes are written; where they are few, joining them moves no prefix.
@@ -211,6 +216,8 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     places = named.where("gid is null or gid = node").select("node", "n", F.posexplode("prefix").alias("pos", "bucket"))
     places = places.withColumn("c", F.count("*").over(Window.partitionBy("bucket"))).where("c > 1")
     places = stored(places.select("bucket", F.col("node").alias("item"), "n", "pos"), "places")
+    wide, nodes = nodes, stored(nodes.select("node", "doc", "n", "fp", "sketch"), "named")
+    discard(wide)
 
     # Texts are moved once; each comparison then fetches those it asks for.
     texts = bucketed(docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("__text")).where("doc is not null"), "doc", "texts")
@@ -221,7 +228,15 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
         likely = stored(sketched(pairs, nodes, num, den), "likely")
         asked = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(nodes.select("node", "doc", "fp"), "node")
         fetched = stored(_node_texts(texts, often, asked, k), "fetched")
-        found.add(stored(verified(likely, fetched, k, num, den), "links"))
+        conf, rows = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(rows)
+        conf.set(rows, PAIR_ROWS)
+        try:
+            links = stored(verified(likely, fetched, k, num, den), "links")
+        finally:
+            conf.set(rows, before)
+        found.add(links)
+        discard(likely, fetched, links)
 
     inside = members.select(F.col("gid").alias("bucket"), F.col("node").alias("item"), "n", F.lit(0).alias("pos"))
     if not inside.isEmpty():
