@@ -107,3 +107,20 @@ def test_components(spark, monkeypatch):
     for few in (1 << 16, 0):
         monkeypatch.setattr(common, "FEW_EDGES", few)
         assert {tuple(r) for r in common.components(df).collect()} == want
+
+
+def test_sketches_of_different_sizes(spark):
+    """A sketch folds to each smaller size, and never differs in more bits than the sets in shingles."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from webweft.llm import ngram_join
+
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 63, 9000, dtype=np.uint64))
+    sets = [base[:300], base[:2000], base[:8000], np.union1d(base[500:8900], base[:10])]
+    rows = [(i, j, ngram_join.sketch(a).tolist(), ngram_join.sketch(b).tolist()) for i, a in enumerate(sets) for j, b in enumerate(sets)]
+    df = spark.createDataFrame(rows, "i int, j int, a array<long>, b array<long>")
+    for i, j, d in df.select("i", "j", ngram_join.bits_apart(F.col("a"), F.col("b")).alias("d")).collect():
+        true = len(np.setxor1d(sets[i], sets[j]))
+        assert d <= true and d % 2 == true % 2 and (i != j or d == 0)

@@ -71,7 +71,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     path, n = f"{shared_dir(spark)}/webweft/{uuid.uuid4().hex}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     _written.append((spark, path))
     held = f"webweft_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(held)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(held)
     return spark.table(held)
 
 

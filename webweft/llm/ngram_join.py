@@ -6,10 +6,11 @@
    as t share a prefix shingle.
 3. Nodes with the same size and the same prefix are one group.  Links inside groups come first; a group whose
    members are then in several classes splits by class.
-4. Groups that share a prefix shingle are pairs if their sizes and the shingle's places allow similarity t.
-5. Pairs are expanded to members.  Parity sketches (one bit per hash slot, flipped by each shingle) drop pairs
-   first: sets differ by at least as many shingles as their sketches differ in bits, so no link is lost.  The rest
-   are verified on the members' full sets, taken from their texts.
+4. Groups that share a prefix shingle are pairs if their sizes, the shingle's places and short parity sketches
+   allow similarity t.
+5. Pairs are expanded to members.  Parity sketches (one bit per hash slot, flipped by each shingle; twice as many
+   slots as shingles) drop pairs first: sets differ by at least as many shingles as their sketches differ in bits,
+   so no link is lost.  The rest are verified on the members' full sets, taken from their texts.
 
 Only classes (connected components) are asked for, so a bucket never emits all its pairs: each round compares
 its first few items with all others, leaves out pairs already in one class, and drops a bucket when the rest of
@@ -37,7 +38,7 @@ HEAVY_LEAST, HEAVY_SHARE = 256, 1024
 _FLUSH = 1 << 21
 #: Rows of an Arrow batch when pairs carry both their texts: long texts come in many pairs.
 PAIR_ROWS = 128
-#: Longs in a parity sketch: 1,024 bits tell apart sets of up to some 3,000 shingles; beyond, it drops fewer pairs.
+#: Longs in the parity sketch of a short text; longer texts double it until it has two bits a shingle.
 SKETCH_LONGS = 16
 
 
@@ -51,11 +52,36 @@ def needed(n1: Column, n2: Column, num: int, den: int) -> Column:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """The parity of the number of shingles in each of 64 * SKETCH_LONGS hash slots, as longs."""
-    odd = np.bincount((s % np.uint64(64 * SKETCH_LONGS)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    """The parity of the number of shingles in each hash slot, as longs.  Slots are a power of two, so the sketch of
+    half as many slots is the XOR of a sketch's halves."""
+    slots = 64 * SKETCH_LONGS
+    while slots < 2 * len(s):
+        slots *= 2
+    odd = np.bincount((s & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _folded(x: Column, longs: Column) -> Column:
+    """The sketch x at a smaller power of two of longs."""
+
+    def parity(i: Column) -> Column:
+        return F.aggregate(F.sequence(i, F.size(x) - 1, longs), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseXOR(F.get(x, j)))
+
+    return F.when(F.size(x) == longs, x).otherwise(F.transform(F.sequence(F.lit(0), longs - 1), parity))
+
+
+def bits_apart(x: Column, y: Column) -> Column:
+    """The number of bits in which two sketches differ, at the size of the smaller one."""
+    longs = F.least(F.size(x), F.size(y))
+    each = F.zip_with(_folded(x, longs), _folded(y, longs), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    return F.aggregate(each, F.lit(0), lambda acc, v: acc + v)
+
+
+def allowed(n1: Column, n2: Column, num: int, den: int) -> Column:
+    """The most shingles in which sets of these sizes may differ."""
+    return n1 + n2 - 2 * needed(n1, n2, num, den)
+
+
 def _texts(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -92,37 +118,38 @@ def heavy(docs: DataFrame, k: int, num: int, den: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, fp (128-bit fingerprint of the set), sketch, prefix (shingles in the global order)."""
+    """doc_id, n, fp (128-bit fingerprint of the set), sketch, m0 and m1 (the sketch in two longs), prefix (shingles
+    in the global order)."""
     often = docs.sparkSession.sparkContext.broadcast(heavy(docs, k, num, den))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = often.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                ids, ns, fps, parity, lists = [], [], [], [], []
+                ids, ns, fps, parity, short, lists = [], [], [], [], [], []
                 for i, t in _texts([batch.slice(at, 1024)]):
                     s = shingles(t, k)
                     ids.append(i)
                     ns.append(len(s))
                     fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     parity.append(sketch(s))
+                    short.append(np.bitwise_xor.reduce(parity[-1].reshape(-1, 2), axis=0))
                     if len(last) and len(s):
                         where = np.minimum(np.searchsorted(last, s), len(last) - 1)
                         late = last[where] == s
                         if late.any():
                             s = np.concatenate([s[~late], s[late]])
                     lists.append(s[: prefix_length(len(s), num, den)].view(np.int64) if len(s) else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(parity, pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "n", "fp", "sketch", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(parity, pa.list_(pa.int64())), *(pa.array([int(m[j]) for m in short], pa.int64()) for j in (0, 1)), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "n", "fp", "sketch", "m0", "m1", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp binary, sketch array<long>, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp binary, sketch array<long>, m0 long, m1 long, prefix array<long>")
 
 
 def sketched(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs(a, b) of nodes(node, n, sketch) those whose sketches allow the similarity."""
     one = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     both = one.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
-    return both.where(differ <= F.col("na") + F.col("nb") - 2 * needed(F.col("na"), F.col("nb"), num, den)).select("a", "b")
+    return both.where(bits_apart(F.col("sa"), F.col("sb")) <= allowed(F.col("na"), F.col("nb"), num, den)).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -168,7 +195,8 @@ class _Classes:
 
 
 def _rounds(items: DataFrame, classes: _Classes, check, num: int, den: int) -> None:
-    """Compare the items of each bucket.  items(bucket, item, n, pos); check(pairs) finds links and adds them.
+    """Compare the items of each bucket.  items(bucket, item, n, pos, m0, m1); check(pairs) finds links and adds them.
+    m0 and m1 are null where an item stands for several sets, which its own sketch says nothing of.
 
     A round takes each bucket's first p items by number as pivots (1, 64, 4096, 4096, ...: later rounds have few buckets)
     and pairs them with the items after them that are in other classes."""
@@ -180,18 +208,20 @@ def _rounds(items: DataFrame, classes: _Classes, check, num: int, den: int) -> N
         now = stored(now.join(open_, "bucket", "left_semi"), "open")
         if now.isEmpty():
             return
-        pivots = now.groupBy("bucket").agg(F.min(F.struct("item", "n", "pos", "cls")).alias("pivot")).select("bucket", "pivot.*")
+        pivots = now.groupBy("bucket").agg(F.min(F.struct("item", "n", "pos", "m0", "m1", "cls")).alias("pivot")).select("bucket", "pivot.*")
         if p > 1:
-            pivots = now.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("item"))).where(F.col("rank") <= p).select("bucket", "item", "n", "pos", "cls")
+            pivots = now.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("item"))).where(F.col("rank") <= p).select("bucket", "item", "n", "pos", "m0", "m1", "cls")
         pivots = stored(pivots, "pivots")
         a, b = pivots.alias("a"), now.alias("b")
         fit = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= needed(F.col("a.n"), F.col("b.n"), num, den)
         fit &= (num * F.col("a.n") <= den * F.col("b.n")) & (num * F.col("b.n") <= den * F.col("a.n"))
+        apart = F.bit_count(F.col("a.m0").bitwiseXOR(F.col("b.m0"))) + F.bit_count(F.col("a.m1").bitwiseXOR(F.col("b.m1")))
+        fit &= F.coalesce(apart <= allowed(F.col("a.n"), F.col("b.n"), num, den), F.lit(True))
         pairs = b.join(a, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.item") < F.col("b.item")) & (F.col("a.cls") != F.col("b.cls")) & fit)
         pairs = stored(pairs.select(F.col("a.item").alias("a"), F.col("b.item").alias("b")).distinct(), "pairs")
         check(pairs)
         last = pivots.groupBy("bucket").agg(F.max("item").alias("last"))
-        old, items = items, stored(now.join(last, "bucket").where("item > last").select("bucket", "item", "n", "pos"), "items")
+        old, items = items, stored(now.join(last, "bucket").where("item > last").select("bucket", "item", "n", "pos", "m0", "m1"), "items")
         discard(now, pivots, pairs, *[old] * hasattr(old, "stored_at"))
         p = min(p * 64, 1 << 12)
 
@@ -202,7 +232,7 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     found_sets = stored(prefixes(docs, k, num, den), "found")
     sets = stored(found_sets.select("doc_id", "n", "fp"), "sets")
     full = found_sets.where("n > 0")
-    nodes = full.where("doc_id is not null").groupBy("n", "fp").agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    nodes = full.where("doc_id is not null").groupBy("n", "fp").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("sketch", "m0", "m1", "prefix")))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed once written
     discard(found_sets)
     found = _Classes(spark)
@@ -211,12 +241,15 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     key = [F.col("n"), F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2")]
     groups = nodes.groupBy(*key).agg(F.min("node").alias("gid"), F.count("*").alias("members")).where("members > 1")
     groups = stored(groups.select("n", "p1", "p2", "gid"), "groups")
-    named = nodes.select(*key, "node", "prefix").join(groups, ["n", "p1", "p2"], "left")
-    members = stored(named.where("gid is not null").select("gid", "node", "n"), "members")
+    named = nodes.select(*key, "node", "m0", "m1", "prefix").join(groups, ["n", "p1", "p2"], "left")
+    members = stored(named.where("gid is not null").select("gid", "node", "n", "m0", "m1"), "members")
     places = named.where("gid is null or gid = node").select("node", "n", F.posexplode("prefix").alias("pos", "bucket"))
     places = places.withColumn("c", F.count("*").over(Window.partitionBy("bucket"))).where("c > 1")
-    places = stored(places.select("bucket", F.col("node").alias("item"), "n", "pos"), "places")
-    wide, nodes = nodes, stored(nodes.select("node", "doc", "n", "fp", "sketch"), "named")
+    # Most shingles are in one place only; what is left takes up the short sketches, unless it stands for a group.
+    places = places.select("bucket", F.col("node").alias("item"), "n", "pos").join(nodes.select(F.col("node").alias("item"), "m0", "m1"), "item")
+    places = places.join(members.where("gid = node").select(F.col("gid").alias("item"), "gid"), "item", "left")
+    places = stored(places.select("bucket", "item", "n", "pos", *(F.when(F.col("gid").isNull(), F.col(m)).alias(m) for m in ("m0", "m1"))), "places")
+    wide, nodes = nodes, bucketed(nodes.select("node", "doc", "n", "fp", "sketch"), "node", "named")
     discard(wide)
 
     # Texts are moved once; each comparison then fetches those it asks for.
@@ -238,14 +271,14 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
         found.add(links)
         discard(likely, fetched, links)
 
-    inside = members.select(F.col("gid").alias("bucket"), F.col("node").alias("item"), "n", F.lit(0).alias("pos"))
+    inside = members.select(F.col("gid").alias("bucket"), F.col("node").alias("item"), "n", F.lit(0).alias("pos"), "m0", "m1")
     if not inside.isEmpty():
         _rounds(inside, found, check, num, den)
         # Groups of one class from here on.
         split = found.on(members.select("gid", "node"), "node", "cls")
         sub = split.groupBy("gid", "cls").agg(F.min("node").alias("sub"), F.count("*").alias("size"))
         sub = stored(split.join(sub, ["gid", "cls"]).select("gid", "node", "sub", "size"), "split")
-        places = places.join(sub.where("node = sub").select(F.col("gid").alias("item"), "sub"), "item", "left").select("bucket", F.coalesce("sub", "item").alias("item"), "n", "pos")
+        places = places.join(sub.where("node = sub").select(F.col("gid").alias("item"), "sub"), "item", "left").select("bucket", F.coalesce("sub", "item").alias("item"), "n", "pos", "m0", "m1")
         sub = sub.where("size > 1").select("sub", "node")
     else:
         sub = None
