@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import reftag
 from ..functions import url as U
 from ..operators import fold, reports
 from ..sources import bridge
@@ -98,6 +99,9 @@ def _url_frame(s: SparkSession, d: str) -> DataFrame:
 _EXAMPLES = ("HTTP://Ex.ORG:80/%7euser/%2fb/./a/../c?utm_source=x&b=%2f&gclid=1&a=1#f", "../up", "?q=2", "/root//x/", "//other.org", "mailto:a@b", "#top", "tel:1", "foo:bar", "https://a_b.org:8443", "  https://e.org/a b ", "x/./y/../../../z", "javascript:void(0)", "https://e.org/?fbclid=1", "https://u:p@e.org/")
 
 
+_TAGS = ("{entry:12:url}", "{asset:7@2:url||https://ex.org/a}", " {category:news/x@fr} ", "%7Bentry:5:url%7d#top", "https://ex.org/{entry:1}", "{entry}")
+
+
 def _examples(s: SparkSession) -> DataFrame:
     return s.createDataFrame([(i, x) for i, x in enumerate(_EXAMPLES)], "id int, href string")
 
@@ -141,6 +145,10 @@ PAIRED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         lambda s, d: _examples(s).select("id", U.scheme_kind(F.col("href")).alias("kind")),
         "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}')" for i, k in enumerate("checkable checkable checkable checkable checkable skippable skippable skippable unknown checkable checkable checkable skippable checkable checkable".split())) + ") v(id, kind)",
     ),
+    "reference_tags": (
+        lambda s, d: s.createDataFrame(list(enumerate(_TAGS)), "id int, href string").select("id", *(c.alias(n) for n, c in reftag.parts(F.col("href")).items())),
+        "SELECT * FROM (VALUES (0, 'entry', '12', NULL, 'url', NULL), (1, 'asset', '7', '2', 'url', 'https://ex.org/a'), (2, 'category', 'news/x', 'fr', NULL, NULL), (3, 'entry', '5', NULL, 'url', NULL), (4, NULL, NULL, NULL, NULL, NULL), (5, NULL, NULL, NULL, NULL, NULL)) v(id, type, ref, site, attribute, fallback)",
+    ),
     "resolve_relative": (
         lambda s, d: _examples(s).select("id", U.normalised(F.col("href"), F.lit(Q)).alias("url")),
         "SELECT * FROM (VALUES "
