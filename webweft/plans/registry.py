@@ -112,6 +112,23 @@ def _links(s: SparkSession, d: str) -> DataFrame:
     return pages.select("page_id", "url", F.posexplode(found).alias("pos", "href"))
 
 
+_RESOLVED_ALL = r"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1) AS found FROM pages),
+ b AS (SELECT page_id, url, unnest(found) AS href, CAST(generate_subscripts(found, 1) - 1 AS INT) AS pos, concat(' ', chr(9), chr(10), chr(13), chr(0), chr(11)) AS blank FROM a),
+ c AS (SELECT page_id, pos, trim(href, blank) AS raw, regexp_extract(url, '^([^:/?#]+)://', 1) AS bscheme, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS bauth, coalesce(nullif(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), ''), '/') AS bpath,
+  trim(replace(replace(replace(replace(replace(replace(replace(trim(replace(replace(replace(href, chr(9), ''), chr(10), ''), chr(13), ''), blank), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&#039;', chr(39)), '&apos;', chr(39)), '&amp;', '&'), blank) AS ref FROM b),
+ d AS (SELECT page_id, pos, raw <> '' AND NOT starts_with(raw, '#') AND lower(regexp_extract(raw, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) IN ('', 'http', 'https') AS checkable,
+  CASE WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN ref WHEN bauth = '' THEN NULL WHEN starts_with(ref, '//') THEN concat(bscheme, ':', ref) WHEN starts_with(ref, '/') THEN concat(bscheme, '://', bauth, ref) WHEN starts_with(ref, '?') THEN concat(bscheme, '://', bauth, bpath, ref) ELSE concat(bscheme, '://', bauth, regexp_replace(bpath, '[^/]*$', ''), ref) END AS whole FROM c),
+ e AS (SELECT page_id, pos, checkable, lower(regexp_extract(whole, '^([^:/?#]+):', 1)) AS scheme, regexp_replace(regexp_extract(whole, '^[^:/?#]+://([^/?#]*)', 1), '^.*@', '') AS auth, replace(regexp_extract(whole, '(?s)^[^:/?#]+:(?://[^/?#]*)?([^?#]*)', 1), ' ', '%20') AS path, regexp_extract(whole, '(?s)^[^?#]*\?([^#]*)', 1) AS query FROM d),
+ f AS (SELECT page_id, pos, checkable, scheme, lower(regexp_replace(auth, ':[0-9]*$', '')) AS host, regexp_extract(auth, ':([0-9]+)$', 1) AS port, path,
+  replace(array_to_string(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=]*|fbclid|gclid|gclsrc|dclid|gbraid|wbraid|msclkid|mc_cid|mc_eid|igshid|yclid|_hsenc|_hsmi)(=|$)')), '&'), ' ', '%20') AS query FROM e),
+ g AS (SELECT page_id, pos, checkable, scheme, host, port,
+  array_to_string(list_transform(string_split(path, '%'), lambda p, i: CASE WHEN i = 1 THEN p WHEN NOT regexp_matches(p, '^[0-9A-Fa-f]{2}') THEN concat('%', p) WHEN regexp_matches(p, '^(2[DdEe]|3[0-9]|[46][1-9A-Fa-f]|[57][0-9Aa]|5[Ff]|7[Ee])') THEN concat(chr(CAST(concat('0x', p[1:2]) AS INT)), p[3:]) ELSE concat('%', upper(p[1:2]), p[3:]) END), '') AS path,
+  array_to_string(list_transform(string_split(query, '%'), lambda p, i: CASE WHEN i = 1 THEN p WHEN NOT regexp_matches(p, '^[0-9A-Fa-f]{2}') THEN concat('%', p) WHEN regexp_matches(p, '^(2[DdEe]|3[0-9]|[46][1-9A-Fa-f]|[57][0-9Aa]|5[Ff]|7[Ee])') THEN concat(chr(CAST(concat('0x', p[1:2]) AS INT)), p[3:]) ELSE concat('%', upper(p[1:2]), p[3:]) END), '') AS query FROM f),
+ h AS (SELECT *, list_reduce(string_split(path, '/'), lambda done, seg: CASE seg WHEN '.' THEN done WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE concat(done, '/', seg) END) AS flat FROM g)
+ SELECT page_id, pos, CASE WHEN checkable AND scheme IN ('http', 'https') AND length(host) <= 253 AND (regexp_matches(host, '^[a-z0-9_]([a-z0-9_-]*[a-z0-9_])?(\.[a-z0-9_]([a-z0-9_-]*[a-z0-9_])?)*\.?$') OR regexp_matches(host, '^\[[0-9a-f:.]+\]$'))
+  THEN concat(scheme, '://', host, CASE WHEN port = '' OR (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443') THEN '' ELSE concat(':', port) END, CASE WHEN flat = '' THEN '/' ELSE flat END, CASE WHEN query <> '' THEN concat('?', query) ELSE '' END) END AS link FROM h"""
+
+
 PAIRED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "verdict_counts": (
         lambda s, d: reports.verdict_counts(bridge.view(s, d, "urls"), bridge.view(s, d, "refs"), [1]),
@@ -161,6 +178,7 @@ PAIRED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "extract_links": (lambda s, d: _links(s, d).select("page_id", "href").groupBy("page_id", "href").agg(F.count("*").alias("n")), r"""SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1)) AS href FROM pages) t GROUP BY page_id, href"""),
     "dedupe_links": (lambda s, d: _links(s, d).groupBy("page_id").agg(F.count_distinct("href").alias("n")), r"""SELECT page_id, count(DISTINCT href) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1)) AS href FROM pages) t GROUP BY page_id"""),
     "resolved_links": (lambda s, d: _links(s, d).where(F.col("href").rlike("^/[A-Za-z]+$")).select("page_id", "pos", U.normalised(F.col("href"), F.col("url")).alias("link")), r"""SELECT page_id, CAST(pos - 1 AS INT) AS pos, concat(lower(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)), href) AS link FROM (SELECT page_id, url, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1) AS hrefs FROM pages) a) t WHERE regexp_matches(href, '^/[A-Za-z]+$')"""),
+    "resolved_links_all": (lambda s, d: _links(s, d).select("page_id", "pos", U.normalised(F.col("href"), F.col("url")).alias("link")), _RESOLVED_ALL),
 }
 
 
