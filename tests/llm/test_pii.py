@@ -99,3 +99,33 @@ def test_whole_table(spark, small):
             assert r.text == old
     plan = pii.digest(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_numbers_with_neighbours(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    cases = [
+        (f"{card} 123", ["card"], card, " 123"),
+        ("4111111111111111 12/25", ["card"], "4111111111111111", " 12/25"),
+        ("pay 3 4111111111111111", ["card"], "4111111111111111", ""),
+        ("4111-1111-1111-1111-123", ["card"], "4111-1111-1111-1111", "-123"),
+        (f"{iban} EUR", ["iban"], iban, " EUR"),
+        ("AT61 1904 3002 3457 3201 BIC", ["iban"], "AT61 1904 3002 3457 3201", " BIC"),
+        (f"AB12 {iban}", ["iban"], iban, ""),
+        (f"{card} 4012 8888 8888 1881", ["card", "card"], card, None),
+        (f"{card} 10.0.255.1", ["card", "ip"], card, None),
+        (f"{card} 2024-01-05", ["card", "date"], card, None),
+        (f"{iban} {card}", ["iban", "card"], iban, None),
+        (f"078-05-1120 {card}", ["ssn", "card"], card, None),
+        (f"ref 123 456 {card}", ["card"], card, ""),
+        (f"+49 {card}", ["card"], card, ""),
+        (f"555 123 4567 {card}", ["phone", "card"], card, ""),
+        ("a 4111111111111111@x.org", ["email"], "4111111111111111", "@x.org"),
+        ("12 34 " * 3000 + "x", None, None, "x"),
+    ]
+    for (text, kinds, value, end), (new, found) in zip(cases, one(spark, *[c[0] for c in cases]), strict=True):
+        assert len(new) == len(text) or "ip" in (kinds or [])
+        assert kinds is None or (found == kinds and value not in new), text
+        assert end is None or new.endswith(end), text
+    assert one(spark, f"ref 123 456 {card}")[0][0].startswith("ref 123 456 4")
+    whole = one(spark, f"{card} 123 {iban} EUR", card, iban)
+    assert whole[0][0] == f"{whole[1][0]} 123 {whole[2][0]} EUR" and luhn(whole[1][0]) and mod97(whole[2][0]) == 1

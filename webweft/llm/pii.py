@@ -5,6 +5,12 @@ IPv4 addresses and dates; each find is validated (Luhn, ISO 7064 mod 97, issued
 then permuted inside its format by a keyed, alternating Feistel network, so equal values get equal pseudonyms in
 all documents and a pseudonym is again valid.  Finds that fail validation are left as they are.
 
+Card numbers and IBANs are validated before they are found, since the spaces inside them let a neighbouring number
+or word join: of a stretch of groups every run of groups with an allowed length and right check digits is a
+candidate, and of candidates that overlap the best one stays (usual length of the issuer or country, then the
+longest, then the first).  The rest of the stretch is left to the other kinds.  Check digits hold by chance too (one
+number in ten, one IBAN in 97), so long rows of numbers may hold runs that are taken for cards.
+
 All of it is DataFrame expressions; rows pass one by one (no shuffle).  Null text stays null, empty stays empty;
 repeated rows, null ids and extra columns need no care."""
 
@@ -26,7 +32,17 @@ IP = rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"
 ISO_DATE = r"(?<![\w-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\w-])"
 DAY_DATE = r"(?<![\w./])(?:0[1-9]|[12]\d|3[01])([./])(?:0[1-9]|1[0-2])\1(?:19|20)\d\d(?!\w|[./]\d)"
 KINDS = {"email": EMAIL, "ssn": SSN, "ip": IP, "date": ISO_DATE, "day_date": DAY_DATE.replace("\\1", "\\k<sep>").replace("([./])", "(?<sep>[./])"), "iban": IBAN, "card": CARD, "phone": PHONE}
-FIND = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Stretches of groups that may hold a card number or an IBAN.
+CARDS = r"(?<![\w.+-])(?=\d(?:[ -]?\d){12})\d++(?!\w|-(?!\d))(?:[ -]\d++(?!\w|-(?!\d)))*+"
+IBANS = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]*+(?![A-Za-z0-9])(?: [A-Z0-9]++(?![A-Za-z0-9]))*+"
+#: For each allowed length a pattern of no width, so that runs may overlap.
+CARD_RUNS = [rf"(?<!\d)(?=([2-6](?:[ -]?\d){{{n - 1}}})(?!\d))" for n in range(13, 20)]
+IBAN_RUNS = [rf"(?<![A-Z0-9])(?=([A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{{q}}}{f' ?[A-Z0-9]{{{r}}}' if r else ''})(?![A-Z0-9]))" for q in range(2, 8) for r in range(4)]
+#: Usual lengths; they only decide between candidates that overlap.
+ISSUED = r"^(?:4\d{15}|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|3[0689]\d{12}|35\d{14}|6\d{15})$"
+COUNTRIES = "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+BEFORE = "|".join(f"(?:{p})" for k, p in KINDS.items() if k not in ("iban", "card", "phone"))
+AFTER = f"(?:{PHONE})"
 
 
 def _whole(kind: str) -> str:
@@ -122,6 +138,49 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(_chars(s), F.lit(0), step)
 
 
+def _card_holds(m: Column) -> Column:
+    return luhn_sum(_core(m), 0) % 10 == 0
+
+
+def _iban_holds(m: Column) -> Column:
+    core = _core(m)
+    return _mod97(F.concat(F.substring(core, F.lit(5), F.length(core)), F.substring(core, 1, 4))) == 1
+
+
+def _valid_runs(text: Column, stretches: str, runs: list[str], holds, usual) -> Column:
+    """The runs of groups whose check digits hold, best first where they overlap in their stretch."""
+
+    def best(stretch: Column) -> Column:
+        found = F.filter(F.flatten(F.array(*[F.regexp_extract_all(stretch, F.lit(p), F.lit(1)) for p in runs])), holds)
+        order = F.sort_array(F.transform(found, lambda c, i: F.struct((~usual(_core(c))).cast("int").alias("odd"), (-F.length(_core(c))).alias("n"), i.alias("i"), c.alias("c"))))
+        start = F.struct(stretch.alias("rest"), F.array().cast("array<string>").alias("kept"))
+
+        def take(a: Column, x: Column) -> Column:
+            # What is taken leaves the stretch, so runs that overlap it are no longer there.
+            return F.when(a["rest"].contains(x["c"]), F.struct(F.replace(a["rest"], x["c"], F.lit("#")).alias("rest"), F.array_append(a["kept"], x["c"]).alias("kept"))).otherwise(a)
+
+        return F.aggregate(order, start, take, lambda a: a["kept"])
+
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(stretches), F.lit(0)), best))
+
+
+def valid_numbers(text: Column) -> Column:
+    """The card numbers and IBANs of a text as they are spelled there, the longest first."""
+    cards = _valid_runs(text, CARDS, CARD_RUNS, _card_holds, lambda c: c.rlike(ISSUED))
+    ibans = _valid_runs(text, IBANS, IBAN_RUNS, _iban_holds, lambda c: F.instr(F.lit(COUNTRIES), F.concat(F.substring(c, 1, 2), F.length(c).cast("string"))) > 0)
+    sized = F.transform(F.array_distinct(F.concat(ibans, cards)), lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))
+    return F.transform(F.sort_array(sized), lambda x: x["v"])
+
+
+def _find(values: Column) -> Column:
+    """The pattern of all kinds, with a text's card numbers and IBANs as they stand; they hold no special characters."""
+    one = F.concat(F.lit("(?:"), F.array_join(values, "|"), F.lit(")(?![A-Za-z0-9])"))
+    # No telephone number reaches into one of them.
+    phone = F.replace(F.lit(AFTER), F.lit("\\d{"), F.concat(F.lit("(?!"), one, F.lit(")\\d{")))
+    numbers = F.concat(F.lit(BEFORE + "|(?<![A-Za-z0-9])"), one, F.lit("|"), phone)
+    return F.when(F.size(values) > 0, numbers).otherwise(F.lit(BEFORE + "|" + AFTER))
+
+
 def _email(m: Column, key: str) -> Column:
     local = F.substring_index(m, "@", 1)
     return F.concat(_refill(local, permuted(_core(local), key + "|email")), F.lit("@"), F.substring_index(m, "@", -1))
@@ -188,8 +247,8 @@ def pseudonym(m: Column, key: str) -> Column:
         ("ip", m.rlike(_whole("ip")), _ip(m, key)),
         ("date", m.rlike(_whole("date")) & iso.isNotNull(), _date(iso, "yyyy-MM-dd", key)),
         ("date", m.rlike(_whole("day_date")) & day.isNotNull(), F.when(m.contains("/"), _date(day, "dd/MM/yyyy", key)).otherwise(_date(day, "dd.MM.yyyy", key))),
-        ("iban", m.rlike(_whole("iban")) & (_mod97(F.concat(F.substring(core, F.lit(5), F.length(core)), F.substring(core, 1, 4))) == 1), _iban(m, key)),
-        ("card", m.rlike(_whole("card")) & (luhn_sum(core, 0) % 10 == 0), _card(m, key)),
+        ("iban", m.rlike(_whole("iban")) & _iban_holds(m), _iban(m, key)),
+        ("card", m.rlike(_whole("card")) & _card_holds(m), _card(m, key)),
         ("phone", m.rlike(_whole("phone")) & F.length(core).between(8, 15), _phone(m, key)),
     )
     kind = value = None
@@ -201,9 +260,12 @@ def pseudonym(m: Column, key: str) -> Column:
 
 def redact(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with the text column pseudonymised and `__found`: the kinds of the validated finds, in order."""
-    out = docs.withColumn("__m", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(FIND), F.lit(0)))
+    out = docs.withColumn("__v", valid_numbers(F.coalesce(text, F.lit(""))))
+    out = out.withColumn("__f", _find(F.col("__v")))
+    out = out.withColumn("__m", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.col("__f"), F.lit(0)))
     out = out.withColumn("__p", F.when(F.size("__m") > 0, F.transform("__m", lambda m: pseudonym(m, key))))
-    new = F.concat(F.array_join(F.zip_with(F.slice(F.split(text, FIND, -1), 1, F.size("__m")), F.col("__p.value"), lambda g, v: F.concat(g, v)), ""), F.element_at(F.split(text, FIND, -1), -1))
+    gaps = F.split(text, F.col("__f"), -1)
+    new = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("__m")), F.col("__p.value"), lambda g, v: F.concat(g, v)), ""), F.element_at(gaps, -1))
     out = out.withColumn("__new", F.when(F.col("__p").isNull(), F.col(text)).otherwise(new))
     found = F.when(F.col("__p").isNull(), F.array().cast("array<string>")).otherwise(F.filter("__p.kind", lambda k: k.isNotNull()))
     return out.select(*[F.col("__new").alias(c) if c == text else F.col(c) for c in docs.columns], found.alias("__found"))
