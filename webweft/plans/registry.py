@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import reftag
+from ..functions import links, reftag
 from ..functions import url as U
 from ..operators import fold, reports
 from ..sources import bridge
@@ -89,6 +89,29 @@ SHARED: dict[str, str] = {
     "nested_walk": "SELECT owner_id, count(*) AS nested, min(element_id) AS first_nested FROM elements_owners GROUP BY owner_id",
 }
 
+# The reference's full rules, beside the shorter statements above.  Addresses: the audit's, the sites' own and pages.
+_OWN = "SELECT 'element' AS source, es.element_id AS id, CASE WHEN es.uri='__home__' THEN s.base_url ELSE concat(s.base_url, es.uri) END AS url FROM elements_sites es JOIN sites s ON s.site_id=es.site_id WHERE es.uri IS NOT NULL"
+_ADDRESSES = f"SELECT source, id, url, lower(regexp_extract(url, '^[^:/?#]+://(?:[^/?#]*@)?([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*([?][^#]*)', 1) AS query FROM (SELECT 'url' AS source, id, url FROM urls UNION ALL {_OWN} UNION ALL SELECT 'page', page_id, url FROM pages) raw"
+# Settings: sites below a path of another one, the fallback site, ignore rules (order, enabled, text).
+SUBSITES = ((11, "https://europe.example.com/o"), (12, "https://europe.example.com/o/1/"), (13, "https://asia.example.com/o/"), (14, "https://ASIA.example.com/o"))
+FALLBACK_SITE = 1
+IGNORE_HOSTS = ((1, False, "host4.example.org"), (2, True, " Host3.example.org "), (3, True, "ost5.example.org"), (4, True, " "), (5, True, "example.net"))
+IGNORE_PATTERNS = ((1, False, "/p/2"), (2, True, " /P/1[0-9]*7$ "), (3, True, "^https://host1[12][.]"))
+
+
+def _values(rows: tuple, columns: str) -> str:
+    spell = lambda v: "'" + v + "'" if isinstance(v, str) else str(v)
+    return f"(VALUES {', '.join('(' + ', '.join(map(spell, r)) + ')' for r in rows)}) v({columns})"
+
+
+_BASES = f"SELECT site_id, lower(regexp_extract(base_url, '^[^:/?#]+://([^/?#:]*)', 1)) AS host, regexp_replace(regexp_extract(base_url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS base_path FROM (SELECT site_id, base_url FROM sites UNION ALL SELECT * FROM {_values(SUBSITES, 'site_id, base_url')}) all_sites"
+SHARED |= {
+    "get_fallback_all": "SELECT r.id, r.method='head' AND (r.http_status IN (405,501) OR (r.http_status IN (400,403,404,410,503) AND b.url_id IS NULL AND NOT (coalesce(lower(r.h_cf_mitigated) LIKE '%challenge%', false) OR (r.http_status=403 AND coalesce(lower(r.h_server) LIKE '%akamaighost%', false)) OR (r.http_status=403 AND coalesce(lower(r.h_via) LIKE '%cloudfront%', false))))) AS again FROM responses r LEFT JOIN (SELECT DISTINCT u.id AS url_id FROM urls u JOIN hosts h ON u.host=h.host OR u.host LIKE concat('%.', h.host) WHERE h.bot_hostile) b ON b.url_id=r.url_id",
+    "panel_label_all": f"SELECT source, id, CASE WHEN length(label) > 44 THEN concat(substring(label, 1, 26), '…', right(label, 17)) ELSE label END AS label FROM (SELECT a.source, a.id, CASE WHEN o.host IS NULL THEN a.url ELSE concat(CASE WHEN a.path='' THEN '/' ELSE a.path END, a.query) END AS label FROM ({_ADDRESSES}) a LEFT JOIN (SELECT DISTINCT host FROM ({_BASES}) b) o ON o.host=a.host) t",
+    "ignore_verdict_all": f"SELECT id, CASE WHEN by_hash THEN 'ignored' WHEN rule IS NOT NULL THEN 'ignore-rule' END AS reason, CASE WHEN NOT by_hash THEN rule END AS rule FROM (SELECT u.id, i.url_hash IS NOT NULL AS by_hash, m.rule, row_number() OVER (PARTITION BY u.id ORDER BY m.kind NULLS LAST, m.ord) AS k FROM urls u LEFT JOIN (SELECT DISTINCT url_hash FROM ignores) i ON i.url_hash=u.url_hash LEFT JOIN (SELECT 1 AS kind, ord, trim(rule) AS rule FROM {_values(IGNORE_HOSTS, 'ord, enabled, rule')} WHERE enabled AND trim(rule)<>'' UNION ALL SELECT 2, ord, trim(rule) FROM {_values(IGNORE_PATTERNS, 'ord, enabled, rule')} WHERE enabled AND trim(rule)<>'') m ON CASE WHEN m.kind=1 THEN u.host<>'' AND (lower(u.host)=lower(m.rule) OR right(lower(u.host), length(m.rule)+1)=concat('.', lower(m.rule))) ELSE regexp_extract(u.url, concat('(?i)^.*?(?:', m.rule, ').*$'), 0)<>'' END) t WHERE k=1",
+    "site_for_url_all": f"SELECT source, id, site_id FROM (SELECT a.source, a.id, coalesce(b.site_id, {FALLBACK_SITE}) AS site_id, row_number() OVER (PARTITION BY a.source, a.id ORDER BY length(b.base_path) DESC NULLS LAST, b.site_id) AS k FROM ({_ADDRESSES}) a LEFT JOIN ({_BASES}) b ON b.host=a.host AND (b.base_path='' OR a.path=b.base_path OR left(a.path, length(b.base_path)+1)=concat(b.base_path, '/'))) t WHERE k=1",
+}
+
 Q = "https://ex.org/b/c?x=1"
 
 
@@ -178,6 +201,12 @@ PAIRED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "extract_links": (lambda s, d: _links(s, d).select("page_id", "href").groupBy("page_id", "href").agg(F.count("*").alias("n")), r"""SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1)) AS href FROM pages) t GROUP BY page_id, href"""),
     "dedupe_links": (lambda s, d: _links(s, d).groupBy("page_id").agg(F.count_distinct("href").alias("n")), r"""SELECT page_id, count(DISTINCT href) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1)) AS href FROM pages) t GROUP BY page_id"""),
     "resolved_links": (lambda s, d: _links(s, d).where(F.col("href").rlike("^/[A-Za-z]+$")).select("page_id", "pos", U.normalised(F.col("href"), F.col("url")).alias("link")), r"""SELECT page_id, CAST(pos - 1 AS INT) AS pos, concat(lower(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)), href) AS link FROM (SELECT page_id, url, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1) AS hrefs FROM pages) a) t WHERE regexp_matches(href, '^/[A-Za-z]+$')"""),
+    "extract_links_all": (
+        lambda s, d: links.extracted(s.read.parquet(f"{d}/pages.parquet").select("page_id", "html")),
+        r"""SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY tag, k) - 1 AS INT) AS pos, tag, href, text FROM (
+ SELECT page_id, 'a' AS tag, generate_subscripts(found, 1) AS k, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1)) AS href, regexp_replace(unnest(found), '<[^>]*>', '', 'g') AS text FROM (SELECT page_id, html, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"[^"]*"[^>]*>(.*?)</a>', 1) AS found FROM pages) t
+ UNION ALL SELECT page_id, tag, k, regexp_extract(piece, '(?is)\b(?:href|src)\s*=\s*"([^"]*)"', 1), regexp_extract(piece, '(?is)\balt\s*=\s*"([^"]*)"', 1) FROM (SELECT page_id, lower(regexp_extract(unnest(found), '(?i)^<([a-z]+)', 1)) AS tag, unnest(found) AS piece, generate_subscripts(found, 1) AS k FROM (SELECT page_id, regexp_extract_all(html, '(?is)<(?:area\b[^>]*?\bhref|img\b[^>]*?\bsrc)\s*=\s*"[^>]*>', 0) AS found FROM pages) t) u) v""",
+    ),
     "resolved_links_all": (lambda s, d: _links(s, d).select("page_id", "pos", U.normalised(F.col("href"), F.col("url")).alias("link")), _RESOLVED_ALL),
 }
 
