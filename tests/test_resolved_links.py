@@ -40,3 +40,11 @@ def test_every_link(spark, tmp_path):
 def test_all_rows(spark, small):
     got = registry.queries()["resolved_links_all"](spark, small)
     assert got.count() == registry._links(spark, small).count() and not got.where("link is null").count()
+
+
+def test_every_scheme(spark, tmp_path):
+    kinds = [("/a", "checkable"), ("HTTP://e.org", "checkable"), (" mailto:a@b", "skippable"), ("#top", "skippable"), ("", "skippable"), ("foo:bar", "unknown")]
+    html = "".join(f'<a href="{h}">t</a>' for h, _ in kinds)
+    spark.createDataFrame([(1, BASE, html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.queries()["scheme_kind_all"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, i, k) for i, (_, k) in enumerate(kinds)]

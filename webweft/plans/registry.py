@@ -185,6 +185,10 @@ PAIRED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         lambda s, d: _examples(s).select("id", U.scheme_kind(F.col("href")).alias("kind")),
         "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}')" for i, k in enumerate("checkable checkable checkable checkable checkable skippable skippable skippable unknown checkable checkable checkable skippable checkable checkable".split())) + ") v(id, kind)",
     ),
+    "scheme_kind_all": (
+        lambda s, d: _links(s, d).select("page_id", "pos", U.scheme_kind(F.col("href")).alias("kind")),
+        r"""SELECT page_id, pos, CASE WHEN raw='' OR starts_with(raw, '#') OR scheme IN ('data', 'javascript', 'mailto', 'sms', 'tel') THEN 'skippable' WHEN scheme IN ('', 'http', 'https') THEN 'checkable' ELSE 'unknown' END AS kind FROM (SELECT page_id, pos, raw, lower(regexp_extract(raw, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme FROM (SELECT page_id, CAST(pos - 1 AS INT) AS pos, trim(href, concat(' ', chr(9), chr(10), chr(13), chr(0), chr(11))) AS raw FROM (SELECT page_id, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1) AS hrefs FROM pages) a) b) c) t""",
+    ),
     "reference_tags": (
         lambda s, d: s.createDataFrame(list(enumerate(_TAGS)), "id int, href string").select("id", *(c.alias(n) for n, c in reftag.parts(F.col("href")).items())),
         "SELECT * FROM (VALUES (0, 'entry', '12', NULL, 'url', NULL), (1, 'asset', '7', '2', 'url', 'https://ex.org/a'), (2, 'category', 'news/x', 'fr', NULL, NULL), (3, 'entry', '5', NULL, 'url', NULL), (4, NULL, NULL, NULL, NULL, NULL), (5, NULL, NULL, NULL, NULL, NULL)) v(id, type, ref, site, attribute, fallback)",
