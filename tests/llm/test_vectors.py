@@ -109,3 +109,11 @@ def test_ann_whole_table(spark, small):
     for r in ann.digest(df, shard_rows=128).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert got == {q: {i for _, i in v} for q, v in want.items()}
+
+
+def test_lengths_without_pivots(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "PIVOT_LENGTHS", 1)
+    rows = [(10 * d + k, [1.0 + (k == 2)] * (d - 1) + [1.0 if k < 2 else -30.0]) for d in (2, 3, 4) for k in range(3)]
+    got = near_vectors.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_bytes=16).collect()
+    want = [(i, 1 if i % 10 < 2 else 0, i - 1 if i % 10 == 1 else i, i % 10 != 1) for i, _ in rows]
+    assert sorted(map(tuple, got)) == want

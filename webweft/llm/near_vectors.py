@@ -28,6 +28,8 @@ COSINE = 0.95
 #: A task holds two blocks; small blocks would be sent to more tasks each.  Products are taken SLICE_ROWS at a time.
 BLOCK_BYTES, SLICE_ROWS = 8 << 20, 512
 LEAST_PIVOTS, MAX_PIVOTS = 4, 1024
+#: So many lengths get pivots; the vectors of any other length are one cell.
+PIVOT_LENGTHS = 1025
 
 
 def _cells(pivots: np.ndarray, reach: float):
@@ -67,7 +69,7 @@ def links(rows: DataFrame, cosine: float = COSINE, id_: str = "vec_id", vec: str
     spark = rows.sparkSession
     reps = stored(clean(rows, id_, vec).groupBy("__vec").agg(F.min("__id").alias("__rep"), F.count("*").alias("__n")), "vectors")
     total = reps.count()
-    dims = [r[0] for r in reps.select(F.size("__vec")).distinct().limit(1025).collect()]
+    dims = [r[0] for r in reps.select(F.size("__vec")).distinct().limit(PIVOT_LENGTHS).collect()]
     reach = math.sqrt(max(0.0, 2 - 2 * cosine))
     assign = {}
     for d in dims:
@@ -83,7 +85,7 @@ def links(rows: DataFrame, cosine: float = COSINE, id_: str = "vec_id", vec: str
             for d, same in frame.groupby(frame["__vec"].map(len)):
                 for at in range(0, len(same), 4096):
                     part = same.iloc[at : at + 4096]
-                    own, outs = cells[int(d)](matrix(part["__vec"]))
+                    own, outs = cells[int(d)](matrix(part["__vec"])) if int(d) in cells else (np.zeros(len(part), np.int32), [[]] * len(part))
                     yield part.assign(dim=np.int32(d), own=own.astype(np.int32), outs=outs)
 
     placed = stored(reps.mapInPandas(place, "__vec array<double>, __rep long, __n long, dim int, own int, outs array<int>"), "cells")
