@@ -1,9 +1,12 @@
 """Mixing sources to target weights.
 
 Each source's documents, in a fixed order, are one stream of words packed into blocks of `block` words.  Every
-output shard draws multinomial source counts for its slots; a source's slots, numbered over all shards, are
-mapped through a pseudorandom permutation of its block indexes (a new one for each pass over the source), and
-blocks join slots by index.
+output shard draws multinomial source counts for its slots; a source's slots, numbered over all shards in shard
+order, are mapped through a pseudorandom permutation of its block indexes (a new one for each pass over the source),
+and blocks join slots by index.  So the draw says how each shard is composed, and with the permutation which shard
+and slot every block goes to; another seed deals otherwise.  A source's quota (whole blocks, nearest to its target)
+is a bound on its draws: slots drawn beyond it stay unused, and what the draws left short is dealt by closing
+shards, numbered after the drawn ones.
 
 Sources weigh `weights` in turn by code point order of their names, null last.  Targets share the total size by
 weight; a target stops at `most` times its source's size and the excess goes to the others by weight.
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stored, text_or_empty
@@ -30,6 +33,8 @@ MAX_SOURCES = 1 << 18
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 64
 SHARD_SLOTS = 4096
+#: Shards whose counts are summed together, and blocks of the sources for each task that deals slots.
+STRETCH, SLOTS_A_TASK = 4096, 1 << 17
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> list[float]:
@@ -83,10 +88,77 @@ def _sized(docs: DataFrame, id_: str, source: str, text: str) -> DataFrame:
     return docs.select(F.col(id_).alias("__id"), F.col(source).alias("__source"), F.xxhash64(text).alias("__tie"), size.alias("__size"))
 
 
+def quotas(sizes: list[int], target: list[float], most: float, block: int) -> list[int]:
+    """Blocks each source gives: whole passes first, then as many blocks as bring it nearest to its target."""
+    out = []
+    for s, t in zip(sizes, target, strict=True):
+        b, whole = -(-s // block), int(min(most, t / s)) if s else 0
+        out.append(whole * b + min(b, round((t - whole * s) / block)) if whole < most else whole * b)
+    return out
+
+
+def _before(rows: DataFrame, key: str, order: str, value: str, group: int) -> DataFrame:
+    """rows with `at`: the sum of value over the key's rows that are earlier in order.  Sums are taken inside stretches
+    of `group` numbers of order and over the stretches, so no key's rows meet in one task."""
+    rows = rows.withColumn("__stretch", F.expr(f"{order} div {group}"))
+    sums = rows.groupBy(key, "__stretch").agg(F.sum(value).alias("__sum"))
+    upto = Window.partitionBy(key).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(key, "__stretch", F.coalesce(F.sum("__sum").over(upto), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy(key, "__stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(sums, [key, "__stretch"])
+    return out.withColumn("at", F.col("__base") + F.col("__in")).drop("__in", "__base", "__stretch")
+
+
+def composition(spark: SparkSession, quota: list[int], seed: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(shard, __rank, drawn, n, at): what each shard drew of each source, what it uses (draws stop at the source's
+    quota), and the number of the source's slots in earlier shards.  Closing shards have drawn 0."""
+    total = sum(quota)
+    shards = -(-total // shard_slots)
+    share, kept = np.array(quota, float) / max(1, total), np.flatnonzero(quota)
+
+    def counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for shard in frame["id"]:
+                n = draw(int(shard), shard_slots, share, seed)[kept]
+                yield pd.DataFrame({"shard": np.int64(shard), "__rank": kept[n > 0], "drawn": n[n > 0]}).astype({"__rank": "int32", "drawn": "int64"})
+
+    drawn = spark.range(shards, numPartitions=max(1, min(shards, 256))).mapInPandas(counts, "shard long, __rank int, drawn long")
+    known = spark.createDataFrame([(int(k), int(quota[k])) for k in kept], "__rank int, quota long")  # bounded: MAX_SOURCES rows
+    drawn = _before(drawn, "__rank", "shard", "drawn", STRETCH).join(F.broadcast(known), "__rank")
+    drawn = drawn.withColumn("n", F.greatest(F.lit(0), F.least("drawn", F.col("quota") - F.col("at"))).cast("long"))
+    used = drawn.groupBy("__rank").agg(F.sum("n").alias("at"))
+    short = known.join(used, "__rank", "left").withColumn("at", F.coalesce("at", F.lit(0))).withColumn("left", F.col("quota") - F.col("at")).where("left > 0")
+    # A closing shard holds shard_slots slots of one source at most.
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(left - 1) div {shard_slots}")))
+    short = short.withColumn("__part", part).select(
+        (F.lit(shards) + F.col("__part")).alias("shard"), "__rank", F.lit(0).cast("long").alias("drawn"), F.least(F.lit(shard_slots).cast("long"), F.col("left") - F.col("__part") * shard_slots).alias("n"), (F.col("at") + F.col("__part") * shard_slots).alias("at")
+    )
+    return drawn.select("shard", "__rank", "drawn", "n", "at").unionByName(short)
+
+
+def slots(made: DataFrame, blocks: list[int], seed: int) -> DataFrame:
+    """(shard, slot, __rank, __pass, __block) of every used slot; slot counts a source's own slots of the shard."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                rank, at, n = int(r[1]), int(r[3]), int(r[2])
+                b = blocks[rank]
+                j = np.arange(at, at + n)
+                for p in np.unique(j // b):
+                    mine = j[j // b == p]
+                    yield pd.DataFrame({"shard": np.int64(r[0]), "slot": (mine - at).astype("int32"), "__rank": np.int32(rank), "__pass": np.int32(p), "__block": permuted(mine % b, b, (seed << 40) ^ (rank << 8) ^ int(p))})
+
+    total = made.where("n > 0").select("shard", "__rank", "n", "at")
+    # A number of partitions that grows with the slots; given, so that adaptive execution does not merge them.
+    parts = max(8, -(-sum(blocks) // SLOTS_A_TASK))
+    return total.repartition(parts, "__rank", "shard").mapInPandas(run, "shard long, slot int, __rank int, __pass int, __block long")
+
+
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, block: int = BLOCK, seed: int = 7, id_: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """One row per document and pass that takes a part of it: __id, __source, __size, __tie, source_size,
-    target, pass (0..), taken (words), ranges (array of start, length in words, in order).
-    Documents of which nothing is taken have one row with taken 0 and a null pass."""
+    """One row per document and pass that takes a part of it: __id, __source, __size, __tie, source_size, target,
+    __pass (0..), taken (words), ranges (array of start, length in words, shard, slot, by start).
+    Documents of which nothing is taken have one row with taken 0 and a null __pass."""
     spark = docs.sparkSession
     rows = stored(_sized(docs, id_, source, text), "sizes")
     per = rows.groupBy("__source").agg(F.sum("__size").alias("size"), F.count("*").alias("docs"))
@@ -110,69 +182,52 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.
     placed = placed.join(before, ["__rank", "__bucket"]).withColumn("__from", F.col("__first") + F.col("__end") - F.col("__size"))
     pieces = placed.where("__size > 0").withColumn("__block", F.explode(F.sequence(F.expr(f"__from div {block}"), F.expr(f"(__from + __size - 1) div {block}"))))
 
-    # Slots.  Whole passes first, then as many blocks as bring the source nearest to its target.
-    blocks = [-(-s // block) for s in sizes]
-    quota = []
-    for s, t, b in zip(sizes, target, blocks, strict=True):
-        whole = int(min(most, t / s)) if s else 0
-        quota.append(whole * b + min(b, round((t - whole * s) / block)) if whole < most else whole * b)
-    total = sum(quota)
-    shards = max(1, -(-total // SHARD_SLOTS))
-    share = np.array(quota, float) / max(1, total)
-    kept = [k for k in range(len(quota)) if quota[k]]
-
-    def counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for shard in frame["id"]:
-                n = draw(int(shard), SHARD_SLOTS, share, seed)
-                yield pd.DataFrame({"shard": np.int64(shard), "__rank": kept, "n": n[kept]}).astype({"__rank": "int32", "n": "int64"})
-
-    def slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                rank, at, n = int(r[0]), int(r[1]), int(r[2])
-                b = blocks[rank]
-                for a in range(at, at + n, 65536):
-                    j = np.arange(a, min(at + n, a + 65536))
-                    for p in np.unique(j // b):
-                        yield pd.DataFrame({"__rank": np.int32(rank), "pass": np.int32(p), "__block": permuted(j[j // b == p] % b, b, (seed << 40) ^ (rank << 8) ^ int(p))})
-
-    drawn = spark.range(shards, numPartitions=min(shards, 64)).mapInPandas(counts, "shard long, __rank int, n long")
-    upto = Window.partitionBy("__rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    quotas = spark.createDataFrame([(k, int(q)) for k, q in enumerate(quota)], "__rank int, quota long")
-    drawn = drawn.withColumn("at", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(F.broadcast(quotas), "__rank")
-    # What the draws leave short of a quota is filled by a closing shard; what they exceed it by is not used.
-    ends = drawn.groupBy("__rank").agg((F.max("quota") - F.sum("n")).alias("n"), F.sum("n").alias("at")).where("n > 0").select("__rank", "at", "n")
-    used = drawn.select("__rank", "at", F.least("n", F.col("quota") - F.col("at")).alias("n")).where("n > 0").unionByName(ends)
-    where = used.repartition("__rank", "at").mapInPandas(slots, "__rank int, pass int, __block long")
-
+    made = composition(spark, quotas(sizes, target, most, block), seed)
+    where = slots(made, [-(-s // block) for s in sizes], seed)
     taken = pieces.join(where, ["__rank", "__block"])
     start = F.greatest(F.col("__block") * block, "__from")
-    taken = taken.withColumn("__range", F.struct((start - F.col("__from")).alias("start"), (F.least((F.col("__block") + 1) * block, F.col("__from") + F.col("__size")) - start).alias("length")))
+    length = F.least((F.col("__block") + 1) * block, F.col("__from") + F.col("__size")) - start
+    taken = taken.withColumn("__range", F.struct((start - F.col("__from")).alias("start"), length.alias("length"), "shard", "slot"))
     key = ["__rank", "__bucket", "__row"]
-    taken = taken.groupBy(*key, "pass").agg(F.sum("__range.length").alias("taken"), F.array_sort(F.collect_list("__range")).alias("ranges"))
-    return placed.join(taken, key, "left").select("__id", "__source", "__size", "__tie", "source_size", "target", "pass", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "ranges", *key)
+    taken = taken.groupBy(*key, "__pass").agg(F.sum("__range.length").alias("taken"), F.array_sort(F.collect_list("__range")).alias("ranges"))
+    return placed.join(taken, key, "left").select("__id", "__source", "__size", "__tie", "source_size", "target", "__pass", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "ranges", *key)
 
 
 def digest(docs: DataFrame, **how) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (over all passes)."""
+    """One row per document: doc_id, size, source_size, target, taken (over all passes), and where it went: n_shards
+    (output shards that hold words of it) and first_shard (the lowest; null where nothing is taken)."""
     p = plan(docs, **how)
-    per = p.groupBy("__rank", "__bucket", "__row").agg(*[F.first(c).alias(c) for c in ("__id", "__size", "source_size", "target")], F.sum("taken").alias("taken"))
-    return per.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", "taken")
+    shards = F.array_distinct(F.flatten(F.collect_list(F.col("ranges.shard"))))
+    per = p.groupBy("__rank", "__bucket", "__row").agg(*[F.first(c).alias(c) for c in ("__id", "__size", "source_size", "target")], F.sum("taken").alias("taken"), shards.alias("shards"))
+    return per.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", "taken", F.size("shards").cast("long").alias("n_shards"), F.array_min("shards").alias("first_shard"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix as documents: one row per document and pass, with the words that pass takes (the text unchanged
-    where it takes all, else the taken words joined by spaces) and n_chars, if there is one, set anew."""
+    """The mix as documents, with the columns of docs: one row per document and pass, with the words that pass takes (the
+    text unchanged where it takes all, else the taken words joined by spaces) and n_chars, if there is one, set anew.
+
+    Rows that share doc_id, source and text count as separate documents; their mix keeps each one's other columns (which
+    of them keeps which part of the words is not said, their words being the same).  No column name is reserved."""
     cols = docs.columns
-    p = plan(docs, **how).where("taken > 0").groupBy("__id", "__tie", "__size", "__source", "pass").agg(F.collect_list("ranges").alias("__lists"), F.max("taken").alias("__taken"))
-    # Repeated rows (same id and text) share a key: each list is one of them, the text is kept once per key.
-    texts = docs.withColumn("__tie", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "__tie"])
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__k")) & F.col("source").eqNullSafe(F.col("__source"))
-    both = texts.join(p.withColumnRenamed("__tie", "__k").withColumn("__ranges", F.explode("__lists")), on)
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("__ranges", lambda r: F.slice(words, (r["start"] + 1).cast("int"), r["length"].cast("int")))), " ")
+    p = plan(docs, **how).where("taken > 0").select("__id", "__tie", "__size", "__source", "__rank", "__bucket", "__row", "ranges")
+    # Repeated rows (same id and text) are numbered on both sides alike, so each keeps its own other columns.
+    same = ["__id", "__source", "__tie"]
+    per = p.groupBy(*same, "__size", "__rank", "__bucket", "__row").agg(F.collect_list("ranges").alias("__lists"))
+    texts = docs.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.xxhash64("text").alias("__tie"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__doc"))
+    often = stored(per.groupBy(*same).agg(F.count("*").alias("__n")).where("__n > 1").select(*same), "repeated")
+    if not often.isEmpty():
+        nth = lambda d, order: d.withColumn("__nth", F.row_number().over(Window.partitionBy(*same).orderBy(*order)))
+        # Numbers past the repeats of a document stay with it: a document of size 0 is in neither side.
+        per, texts = nth(per, ["__bucket", "__row"]), nth(texts, [F.xxhash64("__doc")])
+    else:
+        per, texts = per.withColumn("__nth", F.lit(1)), texts.withColumn("__nth", F.lit(1))
+    left, right = texts.alias("l"), per.alias("r")
+    on = F.col("l.__id").eqNullSafe(F.col("r.__id")) & F.col("l.__source").eqNullSafe(F.col("r.__source")) & (F.col("l.__tie") == F.col("r.__tie")) & (F.col("l.__nth") == F.col("r.__nth"))
+    both = left.join(right, on).select("l.__doc", "r.__size", F.explode("r.__lists").alias("__ranges"))
+    text = F.col("__doc").getField("text")
+    # The words are found once a row: an array of one element gives them a name.
+    some = F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), lambda words: F.array_join(F.flatten(F.transform("__ranges", lambda r: F.slice(words, (r["start"] + 1).cast("int"), r["length"].cast("int")))), " ")), 1)
     n = F.aggregate("__ranges", F.lit(0).cast("long"), lambda a, r: a + r["length"])
-    both = both.withColumn("__new", F.when(n == F.col("__size"), F.col("text")).otherwise(some))
+    both = both.withColumn("__new", F.when(n == F.col("__size"), text).otherwise(some))
     new = {"text": F.col("__new")} | ({"n_chars": F.length("__new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in cols else {})
-    return both.select(*[new.get(c, F.col(c)).alias(c) for c in cols])
+    return both.select(*[new.get(c, F.col("__doc").getField(c)).alias(c) for c in cols])
