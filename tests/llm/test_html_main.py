@@ -57,3 +57,51 @@ def test_edges(spark):
     out = html_main.digest(pages).collect()
     assert len(out) == 4 and sorted(r.n_chars for r in out)[:3] == [0, 0, 0]
     assert not html_main.digest(pages.limit(0)).collect()
+
+
+def test_the_cut_decides(spark, small):
+    """On the table the labels differ from the signs of the blocks' own odds, and maximum flow is reached."""
+    pages = table(spark, small, "pages")
+    weights = html_main.train(pages)
+    assert weights != html_main.WEIGHTS
+    flips, calls, real = {True: 0, False: 0}, [], html_main._max_flow
+    html_main._max_flow = lambda *a: calls.append(1) or real(*a)
+    try:
+        for r in pages.collect():
+            found = html_main.blocks(r.html)
+            z, edges = html_main.graph(found, weights)
+            for v, k in zip(z[: len(found)], html_main.cut(z, edges), strict=False):
+                flips[k] += (v > 0) != k
+    finally:
+        html_main._max_flow = real
+    assert flips[True] > 20 and flips[False] > 20 and len(calls) > 100
+
+
+def test_surroundings_outweigh_a_block():
+    long = "A long sentence of the story that anyone would take for content, with commas, and an end. " * 2
+    page = f"""<body><main><p>{long}</p><p>Ja</p><p>{long}</p></main><aside><p>{long}</p></aside>
+    <div class="cookie-notice">{long}</div><form><p>{long}</p></form><div id="comments"><p>{long}</p><p>{long}</p></div><footer>{long}</footer></body>"""
+    own = [html_main.odds(b) > 0 for b in html_main.blocks(page)]
+    assert own == [True, False, True, *[True] * 6]
+    assert html_main.main_text(page) == f"{long.strip()} Ja {long.strip()}"
+
+
+def test_linear():
+    import time
+
+    pages = ("<a " * 300_000, "<p>" * 200_000 + "</b>" * 200_000, "<b>x<br>" * 50_000, "<div>" * 100_000 + "</p>" * 100_000, "<b>" + "<div>" * 50_000 + "</b>" * 50_000, "<article>" + "<p>ab</p>" * 50_000 + "</article>", "<a href='" * 100_000, '<a x=">' * 100_001)
+    for page in pages:
+        began = time.time()
+        html_main.main_text(page)
+        assert time.time() - began < 5, page[:30]
+
+
+def test_training():
+    import numpy as np
+
+    good, bad = "<article>" + "<p>Some words, and an end.</p>" * 100 + "</article>", "<nav>" + "<a href=x>Home</a><br>" * 100 + "</nav>"
+    x, y = html_main.marked(good + bad)
+    assert len(x) == len(y) == html_main.BLOCKS and set(y) == {0.0, 1.0}
+    w = html_main.fit(np.array(x), np.array(y))
+    assert all((sum(a * b for a, b in zip(v, w, strict=True)) > 0) == (k > 0) for v, k in zip(x, y, strict=True))
+    assert html_main.marked(None) == ([], [])

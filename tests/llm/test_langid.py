@@ -42,3 +42,56 @@ def test_edges(spark):
     from pyspark.sql import functions as F
 
     assert {r.lang_pred for r in langid.digest(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def gram_words(text):
+    """The n-grams of a text as strings, by plain slicing: words of letters with an edge at both ends."""
+    import re
+
+    out = []
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        word = "".join(c for c in word if c.isalpha())
+        padded = f"\0{word}\0"
+        out += [padded[i : i + n] for n in langid.ORDERS for i in range(len(padded) - n + 1)]
+    return out
+
+
+def test_by_plain_counts(spark, small):
+    """The learned n-grams and the predictions against counters and sets of strings."""
+    from collections import Counter
+
+    docs = table(spark, small, "documents").where("length(text) < 3000")
+    rows = [r for r in docs.collect() if r.lang and zlib.crc32(str(r.doc_id).encode()) % 5]
+    counts = {}
+    for r in rows:
+        counts.setdefault(r.lang, Counter()).update(gram_words(r.text))
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    share = {k: {g: n / total[k] for g, n in c.items() if n >= max(2, langid.LEAST * total[k])} for k, c in counts.items()}
+    top = Counter()
+    for f in share.values():
+        for g, v in f.items():
+            top[g] = max(top[g], v)
+    want = {k: {g for g, v in f.items() if v >= langid.SHARE * top[g]} for k, f in share.items()}
+    got = langid.learned(docs, 10**6)
+    assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in want.items()}
+    filters = langid.train(docs, 10**6)
+    same = 0
+    for r in rows[:300]:
+        hits = Counter(k for g in gram_words(r.text) for k in want if g in want[k])
+        same += filters.predict(r.text)[0] == max(sorted(want), key=lambda k: hits[k])
+    assert same >= 298  # the filters' false positives are corrected in the mean only
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, f"word{i} text", "en" if i % 3 else "de") for i in range(3000)] * 2, "doc_id long, text string, lang string")
+    n = {r.lang: r["count"] for r in langid.sampled(docs, 50).groupBy("lang").count().collect()}
+    assert n == {"en": 50, "de": 50}
+
+
+def test_rare_letters_and_clashing_columns(spark):
+    text = chr(0x30000) * 30 + " " + chr(0x31350) * 5
+    assert langid.has_letter(text) and sum(len(h) for h in langid.grams(text)) > 0
+    docs = spark.createDataFrame([(1, text, "zz", 5, "p")] * 2 + [(k, "the and", "en", 1, None) for k in range(2, 9)], "doc_id long, text string, lang string, `__lang` int, `__p` string")
+    out = langid.predict(docs, langid.train(docs))
+    assert out.columns == ["doc_id", "text", "lang", "__p", "__lang", "__lang_score"]
+    assert {r["__lang"] for r in out.where("doc_id = 1").collect()} == {"zz"}

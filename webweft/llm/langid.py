@@ -6,12 +6,18 @@ mask over the languages, adding an n-gram ORs the language's bit into k slots, a
 gives every language that contains the n-gram at once.  A text's n-grams are counted per language (popcounts),
 each count is corrected for the language's false-positive rate, and the largest corrected share decides.
 
-Learns only from rows with a non-null lang and crc32(doc_id) mod 5 not 0: per language the SAMPLE documents of
-lowest id hash, read whole.  Defined cases: null text or no letter gives `und` and score 0; a text none of whose
-n-grams is known gives the first learned language and score 0; nothing to learn from gives `und` everywhere."""
+Learns only from rows with a non-null lang and crc32(doc_id) mod 5 not 0: per language the SAMPLE texts of lowest
+hash, read whole.  An n-gram is learned if its share of its language's n-grams is LEAST or more, so a language has
+1 / LEAST of them at most; that bounds what comes to the driver.  Defined cases: null text or no letter gives `und`
+and score 0; a text none of whose n-grams is known gives the first learned language and score 0; nothing to learn
+from gives `und` everywhere; rows that share doc_id, lang and text are learned once; columns of docs are kept (those
+named __lang and __lang_score are replaced)."""
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,7 +29,6 @@ SAMPLE = 1500
 ORDERS = (2, 3, 4)
 #: An n-gram belongs to a language if its frequency there reaches LEAST and SHARE times its highest frequency.
 LEAST, SHARE = 1e-5, 0.2
-MOST_GRAMS = 60_000
 SLOT_BITS, HASHES = 21, 3
 PIECE = 1 << 18
 _letter: dict[str, np.ndarray] = {}
@@ -31,7 +36,7 @@ _letter: dict[str, np.ndarray] = {}
 
 def _letters() -> np.ndarray:
     if not _letter:
-        _letter["is"] = np.array([chr(c).isalpha() for c in range(0x30000)])
+        _letter["is"] = np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
     return _letter["is"]
 
 
@@ -41,10 +46,7 @@ def grams(text: str | None):
         return
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     letters = _letters()
-    known = np.zeros(len(codes), bool)
-    low = codes < len(letters)
-    known[low] = letters[codes[low]]
-    c = np.where(known, codes, 0).astype(np.uint64)
+    c = np.where(letters[codes], codes, 0).astype(np.uint64)
     c = np.concatenate([np.zeros(1, np.uint64), c, np.zeros(1, np.uint64)])
     c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]  # one edge between words
     with np.errstate(over="ignore"):
@@ -68,20 +70,20 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def _counts(frame: pd.DataFrame) -> pd.DataFrame:
-    """All n-grams of one language's sample that reach LEAST (at most MOST_GRAMS, the commonest)."""
-    total, seen = 0, []
-    for text in frame["text"]:
-        for h in grams(text):
-            seen.append(np.unique(h, return_counts=True))
-            total += len(h)
-        if len(seen) > 512:
-            seen = [_merge(seen)]
-    h, n = _merge(seen) if seen else (np.empty(0, np.uint64), np.empty(0, np.int64))
-    keep = n >= max(2, LEAST * total)
-    h, n = h[keep], n[keep]
-    best = np.lexsort((h, -n))[:MOST_GRAMS]
-    return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "total": [total], "h": [h[best].tobytes()], "n": [n[best].astype(np.int64).tobytes()]})
+def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(lang, h, n, whole): sums of a few texts at a time; the row marked `whole` has the number of all n-grams."""
+    for frame in frames:
+        for lang, same in frame.groupby("lang"):
+            total, seen, held = 0, [], 0
+            for text in same["text"]:
+                for h in grams(text):
+                    seen.append(np.unique(h, return_counts=True))
+                    total, held = total + len(h), held + len(seen[-1][0])
+                if held > 1 << 21:
+                    seen = [_merge(seen)]
+                    held = len(seen[0][0])
+            h, n = _merge(seen) if seen else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            yield pd.DataFrame({"lang": lang, "h": np.append(h.view(np.int64), 0), "n": np.append(n, total), "whole": np.append(np.zeros(len(h), bool), True)})
 
 
 def _merge(parts):
@@ -129,26 +131,38 @@ class Filters:
         return self.langs[best], float(right[best] / right.sum())
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Filters:
+def sampled(docs: DataFrame, sample: int) -> DataFrame:
+    """(lang, text): per language the `sample` learnable texts of lowest hash.  Only texts whose hash is in the part of
+    all hashes that holds some 1.5 times as many are ranked, so no task ranks a language's rows."""
+    h = F.xxhash64("doc_id", "lang", "text")
     rows = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # The sample is chosen on ids alone, per language and slice, so that no language's rows meet in one task.
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("__h")).distinct()
-    order = Window.partitionBy("lang").orderBy("__h", "doc_id")
-    chosen = ids.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= sample).select("doc_id", "lang")
-    picked = rows.join(chosen, ["doc_id", "lang"], "left_semi") if sample > 10_000 else rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-    found = sorted(picked.groupBy("lang").applyInPandas(_counts, "lang string, total long, h binary, n binary").collect(), key=lambda r: r["lang"].encode())
-    hashes = [np.frombuffer(r["h"], np.uint64) for r in found]
-    freq = [np.frombuffer(r["n"], np.int64) / max(1, r["total"]) for r in found]
-    if not found:
-        return Filters([], [])
-    every, where = np.unique(np.concatenate(hashes), return_inverse=True)
-    top = np.zeros(len(every))
-    np.maximum.at(top, where, np.concatenate(freq))
-    kept, at = [], 0
-    for h, f in zip(hashes, freq, strict=True):
-        kept.append(h[f >= SHARE * top[where[at : at + len(h)]]])
-        at += len(h)
-    return Filters([r["lang"] for r in found], kept)
+    ids = rows.select("lang", h.alias("__h")).distinct()
+    many = ids.groupBy("lang").agg(F.count("*").alias("__many"))
+    place = F.col("__h").cast("double") / 2.0**64 + 0.5
+    few = ids.join(many, "lang").where(place * F.col("__many") <= 1.5 * sample + 50)
+    chosen = few.withColumn("__n", F.row_number().over(Window.partitionBy("lang").orderBy("__h"))).where(F.col("__n") <= sample).select("lang", "__h")
+    picked = rows.withColumn("__h", h).join(chosen, ["lang", "__h"], "left_semi")
+    return picked.groupBy("lang", "__h").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def learned(docs: DataFrame, sample: int) -> dict[str, np.ndarray]:
+    """Each language's n-gram hashes."""
+    counts = sampled(docs, sample).mapInPandas(_counts, "lang string, h long, n long, whole boolean").groupBy("lang", "h", "whole").agg(F.sum("n").alias("n"))
+    totals = counts.where("whole").select("lang", F.col("n").alias("total"))
+    often = counts.where("not whole").join(totals, "lang").where((F.col("n") >= 2) & (F.col("n") >= LEAST * F.col("total")))
+    often = often.withColumn("f", F.col("n") / F.col("total"))
+    top = often.groupBy("h").agg(F.max("f").alias("top"))
+    kept = often.join(top, "h").where(F.col("f") >= SHARE * F.col("top"))
+    # At most 1 / LEAST longs a language.
+    found = kept.groupBy("lang").agg(F.array_sort(F.collect_list("h")).alias("h")).collect()
+    empty = {r["lang"]: np.empty(0, np.uint64) for r in totals.select("lang").collect()}
+    return empty | {r["lang"]: np.array(r["h"], np.int64).view(np.uint64) for r in found}
+
+
+def train(docs: DataFrame, sample: int = SAMPLE) -> Filters:
+    found = learned(docs, sample)
+    langs = sorted(found, key=str.encode)
+    return Filters(langs, [found[k] for k in langs])
 
 
 def predict(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
@@ -160,8 +174,9 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
         f = shared.value
         return pd.DataFrame([f.predict(t) for t in texts], columns=["lang", "score"]).astype({"lang": "object", "score": "float64"})
 
-    out = docs.withColumn("__p", run(text))
-    return out.select(*docs.columns, F.col("__p.lang").alias("__lang"), F.col("__p.score").alias("__lang_score"))
+    kept = [c for c in docs.columns if c not in ("__lang", "__lang_score")]
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), run(text).alias("__p"))
+    return out.select(*[F.col("__row").getField(c).alias(c) for c in kept], F.col("__p.lang").alias("__lang"), F.col("__p.score").alias("__lang_score"))
 
 
 def digest(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
