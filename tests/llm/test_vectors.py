@@ -2,7 +2,7 @@ from collections import Counter
 
 import numpy as np
 
-from webweft.llm import ann, near_vectors
+from webweft.llm import ann, near_vectors, vectors
 from webweft.llm.common import table
 
 ROWS = "vec_id long, embedding array<float>, label int, links int, comp long"
@@ -75,8 +75,8 @@ def brute_ann(rows, k=10):
 def test_ann(spark):
     rows = awkward(seed=2)
     df = spark.createDataFrame(rows, ROWS)
-    for shard in (4096, 90):
-        out = ann.digest(df, shard_rows=shard, query_rows=3).collect()
+    for shard, pivot in ((4096, 10**6), (90, 10**6), (20, 30), (7, 5)):
+        out = ann.digest(df, shard_rows=shard, query_rows=3, pivot_rows=pivot).collect()
         got = {}
         for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
             got.setdefault(r.query_id, []).append((r.score, r.vec_id))
@@ -106,14 +106,31 @@ def test_ann_whole_table(spark, small):
     df = table(spark, small, "embeddings")
     want = brute_ann([tuple(r) for r in df.collect()])
     got = {}
-    for r in ann.digest(df, shard_rows=128).collect():
+    for r in ann.digest(df, shard_rows=32, pivot_rows=40).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert got == {q: {i for _, i in v} for q, v in want.items()}
 
 
 def test_lengths_without_pivots(spark, monkeypatch):
-    monkeypatch.setattr(near_vectors, "PIVOT_LENGTHS", 1)
+    monkeypatch.setattr(vectors, "PIVOT_LENGTHS", 1)
     rows = [(10 * d + k, [1.0 + (k == 2)] * (d - 1) + [1.0 if k < 2 else -30.0]) for d in (2, 3, 4) for k in range(3)]
     got = near_vectors.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_bytes=16).collect()
     want = [(i, 1 if i % 10 < 2 else 0, i - 1 if i % 10 == 1 else i, i % 10 != 1) for i, _ in rows]
     assert sorted(map(tuple, got)) == want
+
+
+def test_ann_hot_cell_and_recall(spark):
+    """A third of all rows are one vector; and the whole search's recall at factors above one."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(1200)] + [(5000 + i, [1.0] * 6) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_ann(rows)
+    for factor, least in ((1.0, 1.0), (1.5, 0.9), (2.5, 0.6)):
+        got = {}
+        for r in ann.digest(df, shard_rows=50, pivot_rows=60, factor=factor).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+        recall = np.mean([len({i for _, i in got.get(q, [])} & {i for _, i in v}) / 10 for q, v in want.items()])
+        print(f"recall of the whole search at factor {factor}: {recall:.3f}")
+        assert recall >= least
+        if factor == 1.0:
+            assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}

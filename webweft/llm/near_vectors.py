@@ -22,14 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, stored
-from .vectors import clean, matrix, usable
+from .vectors import batch_rows, clean, matrix, pivots, usable
 
 COSINE = 0.95
 #: A task holds two blocks; small blocks would be sent to more tasks each.  Products are taken SLICE_ROWS at a time.
 BLOCK_BYTES, SLICE_ROWS = 8 << 20, 512
-LEAST_PIVOTS, MAX_PIVOTS = 4, 1024
-#: So many lengths get pivots; the vectors of any other length are one cell.
-PIVOT_LENGTHS = 1025
+#: Pivots grow with the rows, up to so many bytes of them a length (262,144 of 64 components).
+LEAST_PIVOTS, PIVOT_BYTES = 4, 128 << 20
 
 
 def _cells(pivots: np.ndarray, reach: float):
@@ -68,23 +67,18 @@ def links(rows: DataFrame, cosine: float = COSINE, id_: str = "vec_id", vec: str
     links with besides its own, edges(a, b) a spanning forest of the links between reps."""
     spark = rows.sparkSession
     reps = stored(clean(rows, id_, vec).groupBy("__vec").agg(F.min("__id").alias("__rep"), F.count("*").alias("__n")), "vectors")
-    total = reps.count()
-    dims = [r[0] for r in reps.select(F.size("__vec")).distinct().limit(PIVOT_LENGTHS).collect()]
     reach = math.sqrt(max(0.0, 2 - 2 * cosine))
-    assign = {}
-    for d in dims:
-        want = min(MAX_PIVOTS, max(LEAST_PIVOTS, total // (4 * max(1, block_bytes // (8 * d)))))
-        chosen = reps.where(F.size("__vec") == d).orderBy(F.xxhash64("__vec"), "__rep").limit(want).toPandas()
-        p = matrix(chosen["__vec"])
-        assign[d] = p / np.sqrt((p * p).sum(1))[:, None]
-    shared = spark.sparkContext.broadcast(assign)  # at most MAX_PIVOTS vectors a length
+    by_length = pivots(reps.select("__vec"), lambda d: 4 * max(1, block_bytes // (8 * d)), PIVOT_BYTES, LEAST_PIVOTS)
+    assign = {d: p / np.sqrt((p * p).sum(1))[:, None] for d, p in by_length.items()}
+    shared = spark.sparkContext.broadcast(assign)  # at most PIVOT_BYTES a length
 
     def place(frames):
         cells = {d: _cells(p, reach) for d, p in shared.value.items()}
         for frame in frames:
             for d, same in frame.groupby(frame["__vec"].map(len)):
-                for at in range(0, len(same), 4096):
-                    part = same.iloc[at : at + 4096]
+                size = batch_rows(len(shared.value.get(int(d), ())))
+                for at in range(0, len(same), size):
+                    part = same.iloc[at : at + size]
                     own, outs = cells[int(d)](matrix(part["__vec"])) if int(d) in cells else (np.zeros(len(part), np.int32), [[]] * len(part))
                     yield part.assign(dim=np.int32(d), own=own.astype(np.int32), outs=outs)
 
@@ -95,7 +89,7 @@ def links(rows: DataFrame, cosine: float = COSINE, id_: str = "vec_id", vec: str
     sizes = inner.select("dim", "cell", "inner").union(outer.select("dim", "cell", "inner")).groupBy("dim", "cell").agg(F.count_if("inner").alias("i"), F.count_if(~F.col("inner")).alias("o"))
     block_rows = F.greatest(F.lit(1), F.floor(F.lit(block_bytes) / (8 * F.col("dim"))))
     sizes = sizes.select("dim", "cell", F.ceil(F.col("i") / block_rows).cast("int").alias("k"), F.ceil(F.col("o") / block_rows).cast("int").alias("m"))
-    many = inner.union(outer).join(F.broadcast(sizes), ["dim", "cell"])  # sizes: at most MAX_PIVOTS rows a length
+    many = inner.union(outer).join(F.broadcast(sizes), ["dim", "cell"])  # sizes: a row a pivot
     block = F.when(F.col("inner"), F.pmod(F.xxhash64("__rep"), F.col("k"))).otherwise(F.col("k") + F.pmod(F.xxhash64("__rep"), F.greatest("m", F.lit(1)))).cast("int")
     many = many.where("k > 0").withColumn("block", block)
     # A block of own rows meets itself and every later block: task (low, high) gets both.
