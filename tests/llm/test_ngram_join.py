@@ -71,7 +71,31 @@ def test_edges(spark):
     kept = [r.doc_id for r in ngram_join.deduplicated(df).collect()]
     assert kept.count(None) == 2 and kept.count(0) == 3  # a null id stays; so do rows without words
     worded = [i for i in kept if i is not None and i > 2]
-    assert sorted(worded) == sorted({c for i, n, c in brute(rows, 5, 80, 100) if n and i is not None and c == i})
+    # Two rows have doc_id 3 and different texts: each stands for a class of its own.
+    assert sorted(worded) == sorted([3, *{c for i, n, c in brute(rows, 5, 80, 100) if n and i is not None and c == i}])
+
+
+def test_deduplicated_rows_and_clashing_columns(spark):
+    """Rows that share a doc_id are judged by their own texts; no column name is reserved."""
+    a, b, c = prose(80, 1), prose(80, 2), prose(80, 3)
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "y"), (3, b, "x"), (4, c, "x"), (4, c, "x"), (4, c, "z"), (5, None, "x"), (5, "", "x"), (None, a, "x")]
+    names = "doc_id long, text string, `__k` string, `__doc` string, first boolean, fp int, n long, comp long"
+    df = spark.createDataFrame([(*r, "p", True, 1, 2, 3) for r in rows], names)
+    out = ngram_join.deduplicated(df)
+    assert out.columns == df.columns
+    kept = Counter((r.doc_id, r.text) for r in out.collect())
+    assert kept == Counter({(1, a): 1, (2, b): 1, (4, c): 1, (5, None): 1, (5, ""): 1, (None, a): 1})
+
+
+def test_hot_buckets(spark, monkeypatch):
+    """Heavy buckets and large groups are dealt to slices; the classes stay the same."""
+    monkeypatch.setattr(ngram_join, "HEAVY_LEAST", 10)
+    monkeypatch.setattr(ngram_join, "LARGE", 8)
+    monkeypatch.setattr(ngram_join, "SLICES", 5)
+    line = prose(30, 5)
+    rows = [(i, line + " " + prose(4 + i % 3, 100 + i)) for i in range(120)] + [(200 + i, edited(prose(90, 9), 3 * i, f"v{i % 40}")) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df, 4, 85, 100) == brute(rows, 4, 85, 100)
 
 
 def test_chain_of_copies(spark, monkeypatch):

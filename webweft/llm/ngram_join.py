@@ -13,8 +13,10 @@
    so no link is lost.  The rest are verified on the members' full sets, taken from their texts.
 
 Only classes (connected components) are asked for, so a bucket never emits all its pairs: each round compares
-its first few items with all others, leaves out pairs already in one class, and drops a bucket when the rest of
-it is in one class.  Every pair in a bucket is compared, filtered or found in one class in the end.
+a few of its items with all others, leaves out pairs already in one class, and drops a bucket when the rest of
+it is in one class.  Every pair in a bucket is compared, filtered or found in one class in the end.  Buckets of
+frequent shingles, and large groups, are dealt to SLICES slices with their pivots copied to each, so no bucket is one
+task's.
 
 Defined cases: null or blank text has an empty set, links with nothing and is its own class; repeated rows are
 one node; a row with a null doc_id takes its class from rows with an equal set and joins no classes itself;
@@ -34,10 +36,10 @@ from .common import bucketed, components, discard, shingles, stored
 
 #: Shingles in over max(HEAVY_LEAST, documents / HEAVY_SHARE) documents' prefix regions come last in the order.
 #: Hence at most HEAVY_SHARE times the mean region length of them: a bounded list that every task may hold.
-HEAVY_LEAST, HEAVY_SHARE = 256, 1024
+HEAVY_LEAST, HEAVY_SHARE = 256, 1 << 14
+#: Parts of a bucket that many items may share (a heavy shingle's, or a group of over LARGE members).
+SLICES, LARGE = 64, 512
 _FLUSH = 1 << 21
-#: Rows of an Arrow batch when pairs carry both their texts: long texts come in many pairs.
-PAIR_ROWS = 128
 #: Longs in the parity sketch of a short text; longer texts double it until it has two bits a shingle.
 SKETCH_LONGS = 16
 
@@ -119,14 +121,14 @@ def heavy(docs: DataFrame, k: int, num: int, den: int) -> np.ndarray:
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, n, fp (128-bit fingerprint of the set), sketch, m0 and m1 (the sketch in two longs), prefix (shingles
-    in the global order)."""
+    in the global order) and light (how many of all the set's shingles are not heavy; heavy ones come after them)."""
     often = docs.sparkSession.sparkContext.broadcast(heavy(docs, k, num, den))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = often.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                ids, ns, fps, parity, short, lists = [], [], [], [], [], []
+                ids, ns, fps, parity, short, lists, light = [], [], [], [], [], [], []
                 for i, t in _texts([batch.slice(at, 1024)]):
                     s = shingles(t, k)
                     ids.append(i)
@@ -134,15 +136,17 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     parity.append(sketch(s))
                     short.append(np.bitwise_xor.reduce(parity[-1].reshape(-1, 2), axis=0))
+                    light.append(len(s))
                     if len(last) and len(s):
                         where = np.minimum(np.searchsorted(last, s), len(last) - 1)
                         late = last[where] == s
                         if late.any():
                             s = np.concatenate([s[~late], s[late]])
+                            light[-1] -= int(late.sum())
                     lists.append(s[: prefix_length(len(s), num, den)].view(np.int64) if len(s) else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(parity, pa.list_(pa.int64())), *(pa.array([int(m[j]) for m in short], pa.int64()) for j in (0, 1)), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "n", "fp", "sketch", "m0", "m1", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(parity, pa.list_(pa.int64())), *(pa.array([int(m[j]) for m in short], pa.int64()) for j in (0, 1)), pa.array(lists, pa.list_(pa.int64())), pa.array(light, pa.int64())], names=["doc_id", "n", "fp", "sketch", "m0", "m1", "prefix", "light"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp binary, sketch array<long>, m0 long, m1 long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp binary, sketch array<long>, m0 long, m1 long, prefix array<long>, light long")
 
 
 def sketched(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -194,45 +198,57 @@ class _Classes:
             self.table = stored(components(self.table.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(links)), "classes")
 
 
+def _slice(item: Column, slices: Column) -> Column:
+    return F.pmod(F.xxhash64(item), slices).cast("int")
+
+
 def _rounds(items: DataFrame, classes: _Classes, check, num: int, den: int) -> None:
-    """Compare the items of each bucket.  items(bucket, item, n, pos, m0, m1); check(pairs) finds links and adds them.
-    m0 and m1 are null where an item stands for several sets, which its own sketch says nothing of.
+    """Compare the items of each bucket.  items(bucket, slices, slice, item, n, pos, m0, m1); check(pairs) finds links and
+    adds them.  m0 and m1 are null where an item stands for several sets, which its own sketch says nothing of.
 
-    A round takes each bucket's first p items by number as pivots (1, 64, 4096, 4096, ...: later rounds have few buckets)
-    and pairs them with the items after them that are in other classes."""
-    p = 1
+    A round takes some p items of each bucket as pivots (the first by number; then 64, 4096, 4096, ... by hash: later
+    rounds have few buckets) and pairs them with the other items that are in other classes.  Joins go by bucket and slice."""
+    p, turn, columns = 1, 0, ("bucket", "slices", "slice", "item", "n", "pos", "m0", "m1")
+    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     while True:
         now = classes.on(items, "item", "cls")
         # Buckets whose items are all in one class are done.
-        open_ = now.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("bucket")
-        now = stored(now.join(open_, "bucket", "left_semi"), "open")
+        open_ = now.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.max("slices").alias("slices"), F.count("*").alias("c"), F.min("item").alias("first")).where("lo <> hi")
+        open_ = open_.select("bucket", every.alias("slice"), "c", "first")
+        now = now.join(open_, ["bucket", "slice"])
+        chosen = (F.col("item") == F.col("first")) if p == 1 else (F.pmod(F.xxhash64("item", F.lit(turn)), F.ceil(F.col("c") / p).cast("long")) == 0)
+        now = stored(now.select(*columns, "cls", chosen.alias("pivot")), "open")
         if now.isEmpty():
             return
-        pivots = now.groupBy("bucket").agg(F.min(F.struct("item", "n", "pos", "m0", "m1", "cls")).alias("pivot")).select("bucket", "pivot.*")
-        if p > 1:
-            pivots = now.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("item"))).where(F.col("rank") <= p).select("bucket", "item", "n", "pos", "m0", "m1", "cls")
-        pivots = stored(pivots, "pivots")
+        pivots = stored(now.where("pivot").select("bucket", "item", "n", "pos", "m0", "m1", "cls", every.alias("slice")), "pivots")
         a, b = pivots.alias("a"), now.alias("b")
         fit = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= needed(F.col("a.n"), F.col("b.n"), num, den)
         fit &= (num * F.col("a.n") <= den * F.col("b.n")) & (num * F.col("b.n") <= den * F.col("a.n"))
         apart = F.bit_count(F.col("a.m0").bitwiseXOR(F.col("b.m0"))) + F.bit_count(F.col("a.m1").bitwiseXOR(F.col("b.m1")))
         fit &= F.coalesce(apart <= allowed(F.col("a.n"), F.col("b.n"), num, den), F.lit(True))
-        pairs = b.join(a, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.item") < F.col("b.item")) & (F.col("a.cls") != F.col("b.cls")) & fit)
-        pairs = stored(pairs.select(F.col("a.item").alias("a"), F.col("b.item").alias("b")).distinct(), "pairs")
+        other = ~F.col("b.pivot") | (F.col("a.item") < F.col("b.item"))
+        pairs = b.join(a, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.slice") == F.col("b.slice")) & other & (F.col("a.cls") != F.col("b.cls")) & fit)
+        pairs = stored(pairs.select(F.least("a.item", "b.item").alias("a"), F.greatest("a.item", "b.item").alias("b")).distinct(), "pairs")
         check(pairs)
-        last = pivots.groupBy("bucket").agg(F.max("item").alias("last"))
-        old, items = items, stored(now.join(last, "bucket").where("item > last").select("bucket", "item", "n", "pos", "m0", "m1"), "items")
+        old, items = items, stored(now.where("not pivot").select(*columns), "items")
         discard(now, pivots, pairs, *[old] * hasattr(old, "stored_at"))
-        p = min(p * 64, 1 << 12)
+        p, turn = min(p * 64, 1 << 12), turn + 1
 
 
 def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (see the module's text)."""
+    component = F.coalesce("comp", F.when(F.col("n") == 0, F.col("doc_id")))
+    return _marked(docs, k, num, den).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _marked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """One row per document: doc_id, n, fp, comp (null where the set is empty, or only rows without a doc_id have it) and
+    first (whether the row's doc_id and set are those that stand for its class)."""
     spark = docs.sparkSession
     found_sets = stored(prefixes(docs, k, num, den), "found")
     sets = stored(found_sets.select("doc_id", "n", "fp"), "sets")
     full = found_sets.where("n > 0")
-    nodes = full.where("doc_id is not null").groupBy("n", "fp").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("sketch", "m0", "m1", "prefix")))
+    nodes = full.where("doc_id is not null").groupBy("n", "fp").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("sketch", "m0", "m1", "prefix", "light")))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed once written
     discard(found_sets)
     found = _Classes(spark)
@@ -240,15 +256,16 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     # Only groups of several nodes are written; where they are few, joining them moves no prefix.
     key = [F.col("n"), F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2")]
     groups = nodes.groupBy(*key).agg(F.min("node").alias("gid"), F.count("*").alias("members")).where("members > 1")
-    groups = stored(groups.select("n", "p1", "p2", "gid"), "groups")
-    named = nodes.select(*key, "node", "m0", "m1", "prefix").join(groups, ["n", "p1", "p2"], "left")
-    members = stored(named.where("gid is not null").select("gid", "node", "n", "m0", "m1"), "members")
-    places = named.where("gid is null or gid = node").select("node", "n", F.posexplode("prefix").alias("pos", "bucket"))
-    places = places.withColumn("c", F.count("*").over(Window.partitionBy("bucket"))).where("c > 1")
+    groups = stored(groups.select("n", "p1", "p2", "gid", "members"), "groups")
+    named = nodes.select(*key, "node", "m0", "m1", "prefix", "light").join(groups, ["n", "p1", "p2"], "left")
+    members = stored(named.where("gid is not null").select("gid", "node", "n", "m0", "m1", "members"), "members")
+    places = named.where("gid is null or gid = node").select("node", "n", "light", F.posexplode("prefix").alias("pos", "bucket"))
+    places = places.withColumn("slices", F.when(F.col("pos") >= F.col("light"), SLICES).otherwise(1)).withColumn("slice", _slice(F.col("node"), F.col("slices")))
+    places = places.withColumn("c", F.count("*").over(Window.partitionBy("bucket", "slice"))).where("c > 1 or slices > 1")
     # Most shingles are in one place only; what is left takes up the short sketches, unless it stands for a group.
-    places = places.select("bucket", F.col("node").alias("item"), "n", "pos").join(nodes.select(F.col("node").alias("item"), "m0", "m1"), "item")
+    places = places.select("bucket", "slices", "slice", F.col("node").alias("item"), "n", "pos").join(nodes.select(F.col("node").alias("item"), "m0", "m1"), "item")
     places = places.join(members.where("gid = node").select(F.col("gid").alias("item"), "gid"), "item", "left")
-    places = stored(places.select("bucket", "item", "n", "pos", *(F.when(F.col("gid").isNull(), F.col(m)).alias(m) for m in ("m0", "m1"))), "places")
+    places = stored(places.select("bucket", "slices", "slice", "item", "n", "pos", *(F.when(F.col("gid").isNull(), F.col(m)).alias(m) for m in ("m0", "m1"))), "places")
     wide, nodes = nodes, bucketed(nodes.select("node", "doc", "n", "fp", "sketch"), "node", "named")
     discard(wide)
 
@@ -261,24 +278,19 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
         likely = stored(sketched(pairs, nodes, num, den), "likely")
         asked = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(nodes.select("node", "doc", "fp"), "node")
         fetched = stored(_node_texts(texts, often, asked, k), "fetched")
-        conf, rows = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = conf.get(rows)
-        conf.set(rows, PAIR_ROWS)
-        try:
-            links = stored(verified(likely, fetched, k, num, den), "links")
-        finally:
-            conf.set(rows, before)
+        links = stored(verified(likely, fetched, k, num, den), "links")
         found.add(links)
         discard(likely, fetched, links)
 
-    inside = members.select(F.col("gid").alias("bucket"), F.col("node").alias("item"), "n", F.lit(0).alias("pos"), "m0", "m1")
+    inside = members.withColumn("slices", F.when(F.col("members") > LARGE, SLICES).otherwise(1))
+    inside = inside.select(F.col("gid").alias("bucket"), "slices", _slice(F.col("node"), F.col("slices")).alias("slice"), F.col("node").alias("item"), "n", F.lit(0).alias("pos"), "m0", "m1")
     if not inside.isEmpty():
         _rounds(inside, found, check, num, den)
         # Groups of one class from here on.
         split = found.on(members.select("gid", "node"), "node", "cls")
         sub = split.groupBy("gid", "cls").agg(F.min("node").alias("sub"), F.count("*").alias("size"))
         sub = stored(split.join(sub, ["gid", "cls"]).select("gid", "node", "sub", "size"), "split")
-        places = places.join(sub.where("node = sub").select(F.col("gid").alias("item"), "sub"), "item", "left").select("bucket", F.coalesce("sub", "item").alias("item"), "n", "pos", "m0", "m1")
+        places = places.join(sub.where("node = sub").select(F.col("gid").alias("item"), "sub"), "item", "left").select("bucket", "slices", "slice", F.coalesce("sub", "item").alias("item"), "n", "pos", "m0", "m1")
         sub = sub.where("size > 1").select("sub", "node")
     else:
         sub = None
@@ -300,10 +312,19 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     _rounds(places, found, check_groups, num, den)
 
     named = found.on(nodes.select("n", "fp", "node", "doc"), "node", "cls")
-    low = named.groupBy("cls").agg(F.min("doc").alias("comp"))
-    named = named.join(low, "cls").select("n", "fp", "comp")
+    low = named.groupBy("cls").agg(F.min(F.struct("doc", "fp")).alias("low"))
+    named = named.join(low, "cls").select("n", "fp", "low")
     out = sets.select("doc_id", "n", "fp").join(named, ["n", "fp"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
+    first = (F.col("doc_id") == F.col("low.doc")) & (F.col("fp") == F.col("low.fp"))
+    return out.select("doc_id", "n", "fp", F.col("low.doc").alias("comp"), F.coalesce(first, F.lit(False)).alias("first"))
+
+
+def _fingerprint(k: int):
+    @F.udf("binary")
+    def fingerprint(t):
+        return hashlib.blake2b(shingles(t, k).tobytes(), digest_size=16).digest()
+
+    return fingerprint
 
 
 def _node_texts(texts: DataFrame, often: DataFrame | None, nodes: DataFrame, k: int) -> DataFrame:
@@ -313,23 +334,27 @@ def _node_texts(texts: DataFrame, often: DataFrame | None, nodes: DataFrame, k:
     if often is None:
         return both.select(F.col("node").alias("__id"), "__text")
 
-    @F.udf("binary")
-    def fingerprint(t):
-        return hashlib.blake2b(shingles(t, k).tobytes(), digest_size=16).digest()
-
-    rest = both.join(often, "doc", "left_semi").where(fingerprint("__text") == F.col("fp")).groupBy("node").agg(F.min("__text").alias("__text"))
+    rest = both.join(often, "doc", "left_semi").where(_fingerprint(k)("__text") == F.col("fp")).groupBy("node").agg(F.min("__text").alias("__text"))
     return both.join(often, "doc", "left_anti").select("node", "__text").unionByName(rest).withColumnRenamed("node", "__id")
 
 
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each class: the smallest doc_id (of repeated rows of it, one).  Rows with a null
-    doc_id and rows without words stay."""
-    marked = classes(docs, k, num, den).where("n_shingles > 0 and doc_id is not null")
-    keep = marked.groupBy(F.col("doc_id").alias("__k")).agg(F.min("component_id").alias("__c"))
-    drop = stored(keep.where("__k <> __c").select("__k"), "dropped")
-    rest = docs.join(drop, F.col("doc_id") == F.col("__k"), "left_anti")
-    twice = stored(marked.groupBy(F.col("doc_id").alias("__k")).count().where("count > 1").select("__k"), "repeated")
+    """docs with one document of each class: the one of smallest doc_id (where rows share it with different texts, each is
+    judged by its own text; of rows that share doc_id and set of shingles one stays).  Rows with a null doc_id and rows
+    without words stay.  No column name is reserved."""
+    marked = stored(_marked(docs, k, num, den).where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("__k"), "fp", "first"), "marked")
+    twice = stored(marked.groupBy("__k").count().where("count > 1").select("__k"), "repeated")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("__id"))
+    same = F.col("__id") == F.col("__k")
+    plain = [F.col("__doc").getField(c).alias(c) for c in docs.columns]
+    drop = marked.where("not first").join(twice, "__k", "left_anti").select("__k")
+    rest = rows.join(drop, same, "left_anti")
     if twice.isEmpty():
-        return rest
-    same = F.col("doc_id") == F.col("__k")
-    return rest.join(twice, same, "left_anti").unionByName(rest.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+        return rest.select(*plain)
+    text = F.col("__doc").getField("text")
+    again = rest.join(twice, same, "left_semi").withColumn("fp", _fingerprint(k)(text)).withColumn("__empty", ~F.coalesce(text, F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
+    blank = again.where("__empty")
+    kept = again.where("not __empty").join(marked.where("first").select("__k", F.col("fp").alias("__fp")).distinct(), same & (F.col("fp") == F.col("__fp")), "left_semi")
+    one = kept.withColumn("__h", F.row_number().over(Window.partitionBy("__id", "fp").orderBy(F.xxhash64("__doc")))).where("__h = 1")
+    return rest.join(twice, same, "left_anti").select("__doc").unionByName(blank.select("__doc")).unionByName(one.select("__doc")).select(*plain)
