@@ -129,3 +129,43 @@ def test_numbers_with_neighbours(spark):
     assert one(spark, f"ref 123 456 {card}")[0][0].startswith("ref 123 456 4")
     whole = one(spark, f"{card} 123 {iban} EUR", card, iban)
     assert whole[0][0] == f"{whole[1][0]} 123 {whole[2][0]} EUR" and luhn(whole[1][0]) and mod97(whole[2][0]) == 1
+
+
+def test_more_formats(spark):
+    import ipaddress
+
+    texts = ["on 12/25/2020 at 2001:db8::8a2e:370:7334 and 2001:0DB8:0000:0000:0000:FF00:0042:8329.", "a::b std::vec 12:30:45 aa:bb:cc:dd:ee:ff 1::2::3:4 13/32/2020 00/25/2020 ::1 x::1:2:3", "2001:db8::8a2e:370:7334"]
+    (text, found), (left, none), (again, _) = one(spark, *texts)
+    assert found == ["date", "ip", "ip"] and left == texts[1] and none == []
+    m = re.fullmatch(r"on (\d\d)/(\d\d)/(\d{4}) at ([0-9a-f:]+) and ([0-9A-F:]+)\.", text)
+    assert m and m[4] == again and m[4] != texts[2] and "12/25/2020" not in text
+    assert re.sub("[0-9a-f]", "x", m[4]) == re.sub("[0-9a-f]", "x", texts[2])
+    ipaddress.IPv6Address(m[4]), ipaddress.IPv6Address(m[5])
+
+
+def test_numbers_network(spark):
+    """The network over ranges, plainly."""
+    def plain(v, a, b, key):
+        f = lambda v, n, side, r: int(hashlib.sha256(f"{key}|{side}|{r}|{v}".encode()).hexdigest()[:15], 16) % n
+        x, y = divmod(v, b)
+        for r in range(1, pii.ROUNDS // 2 + 1):
+            x = (x + f(y, a, "x", r)) % a
+            y = (y + f(x, b, "y", r)) % b
+        return x * b + y
+
+    rows = spark.range(500).select("id", pii._numbers(F.col("id"), 20, 25, "k").alias("v")).collect()
+    assert all(r.v == plain(r.id, 20, 25, "k") for r in rows) and len({r.v for r in rows}) == 500
+
+
+def test_key_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "mail ab.cd@x.org", 3, "v", "m", None)], "doc_id long, text string, n_chars int, `__v` string, `__m` string, `__new` string")
+    a, b = pii.pseudonymised(docs, "k1"), pii.pseudonymised(docs, "k2")
+    assert a.columns == docs.columns and a.first()["__v"] == "v" and a.first().n_chars == len(a.first().text)
+    assert a.first().text != b.first().text
+    before = pii.digest(docs).first().text
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pii.digest(docs).first().text != before
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert pii.digest(docs).first().text == before

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
 import unicodedata
 from array import array
@@ -19,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Words whose ids a worker remembers, in each of two generations; about 200 bytes each.
 REMEMBERED = 250_000
@@ -88,6 +90,9 @@ class WordBPE:
             self.find_rare = regex.compile(pattern, regex.V1).findall
         self.first_newer = min(self.newer, default="")
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
+        # A text without the letters that all added tokens begin with needs no cutting.
+        stem = os.path.commonprefix(list(self.added))
+        self.begins = (lambda text: stem in text) if stem else (lambda text: True)
         # What the pattern says about lower-cased ASCII.
         self.find_ascii = self.find if pattern_is_other else re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII).findall
         self.known: dict[str, bytes] = {}
@@ -148,7 +153,7 @@ class WordBPE:
         out = array("I")
         if not text:
             return out
-        for k, part in enumerate(self.cut(text) if self.cut and "<|" in text else [text]):
+        for k, part in enumerate(self.cut(text) if self.cut and self.begins(text) else [text]):
             if k % 2:
                 out.append(self.added[part])
             elif part:
@@ -180,20 +185,28 @@ def _little(ids: array) -> bytes:
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """docs with `ids` (array<int>) and `decoded` appended under those names, replacing columns so named."""
-    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "ids array<int>", "decoded string"])
+    """docs with `ids` (array<int>) and `decoded` appended; where docs has a column so named, the new one takes underscores
+    behind its name until it is free.  Repeated rows, null ids and empty tables need no care."""
+    kept = docs.columns
+    ids_name, decoded_name = (free(kept, n) for n in ("ids", "decoded"))
+    schema = StructType([*docs.schema.fields, StructField(ids_name, ArrayType(IntegerType())), StructField(decoded_name, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
             for part in _slices(batch):
                 ids = [bpe.encode(t) for t in part.column(text).to_pylist()]
-                columns = [part.column(c) for c in kept]
+                columns = [part.column(k) for k in range(len(kept))]
                 columns += [pa.array([list(i) for i in ids], pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids_name, decoded_name])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def free(taken: list[str], name: str) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:

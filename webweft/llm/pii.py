@@ -1,9 +1,14 @@
 """Format-preserving pseudonyms for personal data, native.
 
 One pattern finds e-mail addresses, telephone, payment card, bank account (IBAN) and US social security numbers,
-IPv4 addresses and dates; each find is validated (Luhn, ISO 7064 mod 97, issued ranges, octets, calendar) and
-then permuted inside its format by a keyed, alternating Feistel network, so equal values get equal pseudonyms in
-all documents and a pseudonym is again valid.  Finds that fail validation are left as they are.
+IPv4 and IPv6 addresses and dates; each find is validated (Luhn, ISO 7064 mod 97, issued ranges, octets, groups,
+calendar) and then permuted inside its format by a keyed, alternating Feistel network whose round function is SHA-2
+over the key, so equal values get equal pseudonyms in all documents and a pseudonym is again valid.  Finds that fail
+validation are left as they are.  An IPv6 address needs all eight groups, or three colons and a digit where "::"
+shortens it; it is permuted as it is spelled, so two spellings of one address get two pseudonyms.
+
+The key is a parameter (of a job: the setting KEY_SETTING).  Who holds it can undo the pseudonyms; without a setting
+the public DEFAULT_KEY is used, which is good for tests only.
 
 Card numbers and IBANs are validated before they are found, since the spaces inside them let a neighbouring number
 or word join: of a stretch of groups every run of groups with an allowed length and right check digits is a
@@ -12,11 +17,11 @@ longest, then the first).  The rest of the stretch is left to the other kinds.
 number in ten, one IBAN in 97), so long rows of numbers may hold runs that are taken for cards.
 
 All of it is DataFrame expressions; rows pass one by one (no shuffle).  Null text stays null, empty stays empty;
-repeated rows, null ids and extra columns need no care."""
+repeated rows and null ids need no care; columns of docs are kept whatever their names (but for one named __found)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -31,7 +36,9 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"
 ISO_DATE = r"(?<![\w-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\w-])"
 DAY_DATE = r"(?<![\w./])(?:0[1-9]|[12]\d|3[01])([./])(?:0[1-9]|1[0-2])\1(?:19|20)\d\d(?!\w|[./]\d)"
-KINDS = {"email": EMAIL, "ssn": SSN, "ip": IP, "date": ISO_DATE, "day_date": DAY_DATE.replace("\\1", "\\k<sep>").replace("([./])", "(?<sep>[./])"), "iban": IBAN, "card": CARD, "phone": PHONE}
+US_DATE = r"(?<![\w./])(?:0[1-9]|1[0-2])/(?:1[3-9]|2\d|3[01])/(?:19|20)\d\d(?!\w|[./]\d)"
+IPV6 = r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]|\.\d)|(?<![\w:.])(?=[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]*::|[0-9A-Fa-f]{1,4}::[0-9A-Fa-f]{1,4}:)[0-9A-Fa-f:]{6,38}(?<![^:]:)(?![\w:]|\.\d)"
+KINDS = {"email": EMAIL, "ssn": SSN, "ip": IP, "ipv6": IPV6, "us_date": US_DATE, "date": ISO_DATE, "day_date": DAY_DATE.replace("\\1", "\\k<sep>").replace("([./])", "(?<sep>[./])"), "iban": IBAN, "card": CARD, "phone": PHONE}
 #: Stretches of groups that may hold a card number or an IBAN.
 CARDS = r"(?<![\w.+-])(?=\d(?:[ -]?\d){12})\d++(?!\w|-(?!\d))(?:[ -]\d++(?!\w|-(?!\d)))*+"
 IBANS = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]*+(?![A-Za-z0-9])(?: [A-Z0-9]++(?![A-Za-z0-9]))*+"
@@ -54,7 +61,7 @@ def _chars(s: Column) -> Column:
     return F.when(F.length(s) > 0, F.split(s, "")).otherwise(F.array().cast("array<string>"))
 
 
-def _shift(half: Column, other: Column, key: str, r: int) -> Column:
+def _shift(half: Column, other: Column, key: str, r: int, hexadecimal: bool = False) -> Column:
     """half with each character moved inside its class by an amount that a keyed hash of the other half gives.
     Reaches 32 characters a hash; longer halves use one hash per 32."""
 
@@ -62,16 +69,19 @@ def _shift(half: Column, other: Column, key: str, r: int) -> Column:
         h = F.sha2(F.concat(F.lit(f"{key}|{r}|"), (i - i % 32).cast("string"), F.lit("|"), F.length(half).cast("string"), F.lit("|"), other), 512)
         n = F.conv(F.substring(h, (i % 32) * 4 + 1, 4), 16, 10).cast("int")
         move = lambda abc: F.substring(F.lit(abc), ((F.instr(F.lit(abc), c) - 1 + n) % len(abc)) + 1, 1)
+        if hexadecimal:
+            return move(_DIGITS + "abcdef")
         return F.when(c.rlike("[0-9]"), move(_DIGITS)).when(c.rlike("[a-z]"), move(_LOWER)).otherwise(move(_UPPER))
 
     return F.array_join(F.transform(_chars(half), one), "")
 
 
-def permuted(core: Column, key: str) -> Column:
-    """A keyed permutation of strings of digits and letters that keeps length and each character's class."""
+def permuted(core: Column, key: str, hexadecimal: bool = False) -> Column:
+    """A keyed permutation of strings of digits and letters that keeps length and each character's class (or of strings
+    of small hexadecimal digits)."""
     state = F.struct((F.length(core) / 2).cast("int").alias("h"), core.alias("s"))
     for r in range(ROUNDS):
-        state = _named(state, _step(key, r))
+        state = _named(state, _step(key, r, hexadecimal))
     return state["s"]
 
 
@@ -80,13 +90,13 @@ def _named(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _step(key: str, r: int):
-    return lambda x: F.struct(x["h"].alias("h"), _round(x, key, r).alias("s"))
+def _step(key: str, r: int, hexadecimal: bool):
+    return lambda x: F.struct(x["h"].alias("h"), _round(x, key, r, hexadecimal).alias("s"))
 
 
-def _round(x: Column, key: str, r: int) -> Column:
+def _round(x: Column, key: str, r: int, hexadecimal: bool) -> Column:
     left, right = F.substring(x["s"], F.lit(1), x["h"]), F.substring(x["s"], x["h"] + 1, F.length(x["s"]))
-    return F.concat(_shift(left, right, key, r), right) if r % 2 else F.concat(left, _shift(right, left, key, r))
+    return F.concat(_shift(left, right, key, r, hexadecimal), right) if r % 2 else F.concat(left, _shift(right, left, key, r, hexadecimal))
 
 
 def _refill(s: Column, core: Column) -> Column:
@@ -109,7 +119,8 @@ def _numbers(value: Column, a: int, b: int, key: str) -> Column:
     state = F.struct(F.floor(value / b).cast("long").alias("x"), (value % b).cast("long").alias("y"))
 
     def step(s: Column, r: Column) -> Column:
-        f = lambda v, n, side: F.pmod(F.xxhash64(F.lit(key), F.lit(side), r, v), F.lit(n))
+        hashed = lambda v, side: F.sha2(F.concat_ws("|", F.lit(key), F.lit(side), r.cast("string"), v.cast("string")), 256)
+        f = lambda v, n, side: F.conv(F.substring(hashed(v, side), 1, 15), 16, 10).cast("long") % n
         x = (s["x"] + f(s["y"], a, "x")) % a
         return F.struct(x.cast("long").alias("x"), ((s["y"] + f(x.cast("long"), b, "y")) % b).cast("long").alias("y"))
 
@@ -226,6 +237,17 @@ def _ip(m: Column, key: str) -> Column:
     return _named(_numbers(v, 1 << 16, 1 << 16, key + "|ip"), spell)
 
 
+def _ipv6_holds(m: Column) -> Column:
+    groups = F.size(F.filter(F.split(m, ":"), lambda g: g != ""))
+    short = m.contains("::") & ~m.rlike(":::|::.*::") & (groups <= 7) & (groups >= 2) & m.rlike("[0-9]")
+    return ~m.rlike("[0-9A-Fa-f]{5}") & (short | (~m.contains("::") & (groups == 8)))
+
+
+def _ipv6(m: Column, key: str) -> Column:
+    new = _refill(F.lower(m), permuted(F.lower(_core(m)), key + "|ipv6", True))
+    return F.when(m.rlike("[A-F]"), F.upper(new)).otherwise(new)
+
+
 #: Days from 1900-01-01 to 2099-12-31: 17 * 4297.
 _EPOCH, _DAYS = "1900-01-01", (17, 4297)
 
@@ -240,6 +262,7 @@ def pseudonym(m: Column, key: str) -> Column:
     iso = F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date")
     flat = F.regexp_replace(m, "/", ".")
     day = F.try_to_timestamp(flat, F.lit("dd.MM.yyyy")).cast("date")
+    us = F.try_to_timestamp(m, F.lit("MM/dd/yyyy")).cast("date")
     core = _core(m)
     cases = (
         ("email", m.contains("@"), _email(m, key)),
@@ -247,6 +270,8 @@ def pseudonym(m: Column, key: str) -> Column:
         ("ip", m.rlike(_whole("ip")), _ip(m, key)),
         ("date", m.rlike(_whole("date")) & iso.isNotNull(), _date(iso, "yyyy-MM-dd", key)),
         ("date", m.rlike(_whole("day_date")) & day.isNotNull(), F.when(m.contains("/"), _date(day, "dd/MM/yyyy", key)).otherwise(_date(day, "dd.MM.yyyy", key))),
+        ("date", m.rlike(_whole("us_date")) & us.isNotNull(), _date(us, "MM/dd/yyyy", key)),
+        ("ip", m.rlike(_whole("ipv6")) & _ipv6_holds(m), _ipv6(m, key)),
         ("iban", m.rlike(_whole("iban")) & _iban_holds(m), _iban(m, key)),
         ("card", m.rlike(_whole("card")) & _card_holds(m), _card(m, key)),
         ("phone", m.rlike(_whole("phone")) & F.length(core).between(8, 15), _phone(m, key)),
@@ -260,24 +285,40 @@ def pseudonym(m: Column, key: str) -> Column:
 
 def redact(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with the text column pseudonymised and `__found`: the kinds of the validated finds, in order."""
-    out = docs.withColumn("__v", valid_numbers(F.coalesce(text, F.lit(""))))
+    plain = F.coalesce(F.col("__t"), F.lit(""))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__t"))
+    out = out.withColumn("__v", valid_numbers(plain))
     out = out.withColumn("__f", _find(F.col("__v")))
-    out = out.withColumn("__m", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.col("__f"), F.lit(0)))
+    out = out.withColumn("__m", F.regexp_extract_all(plain, F.col("__f"), F.lit(0)))
     out = out.withColumn("__p", F.when(F.size("__m") > 0, F.transform("__m", lambda m: pseudonym(m, key))))
-    gaps = F.split(text, F.col("__f"), -1)
+    gaps = F.split("__t", F.col("__f"), -1)
     new = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("__m")), F.col("__p.value"), lambda g, v: F.concat(g, v)), ""), F.element_at(gaps, -1))
-    out = out.withColumn("__new", F.when(F.col("__p").isNull(), F.col(text)).otherwise(new))
+    out = out.withColumn("__new", F.when(F.col("__p").isNull(), F.col("__t")).otherwise(new))
     found = F.when(F.col("__p").isNull(), F.array().cast("array<string>")).otherwise(F.filter("__p.kind", lambda k: k.isNotNull()))
-    return out.select(*[F.col("__new").alias(c) if c == text else F.col(c) for c in docs.columns], found.alias("__found"))
+    kept = [F.col("__new").alias(c) if c == text else F.col("__row").getField(c).alias(c) for c in docs.columns if c != "__found"]
+    return out.select(*kept, found.alias("__found"))
+
+
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
+    """docs, whatever its columns' names, with the text pseudonymised and n_chars, if there is one, set anew."""
+    cols = docs.columns
+    held = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__doc"))
+    out = redact(held, key)
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in cols else {})
+    return out.select(*[new.get(c, F.col("__doc").getField(c)).alias(c) for c in cols])
 
 
 COUNTED = ("email", "phone", "card", "iban", "ssn", "ip", "date")
-#: The production key is a parameter of the job; this one serves tests and the registered queries.
-DEFAULT_KEY = "webweft"
+#: The session setting that names a job's key, and the key of tests.
+KEY_SETTING, DEFAULT_KEY = "spark.webweft.pii.key", "webweft"
+
+
+def job_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or DEFAULT_KEY
 
 
-def digest(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def digest(docs: DataFrame, key: str | None = None) -> DataFrame:
     """One row per document: doc_id, text with pseudonyms, and the number of finds of each kind."""
-    out = redact(docs.select("doc_id", "text"), key)
+    out = redact(docs.select("doc_id", "text"), key or job_key(docs.sparkSession))
     count = lambda kind: F.size(F.filter("__found", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", "text", *[count(k) for k in COUNTED])
