@@ -23,10 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, mix
+from .common import held_out, mix, stored
 
 SAMPLE = 1500
 ORDERS = (2, 3, 4)
+#: Rows (a language and a long) that may be broadcast.
+FEW_CHOSEN = 1 << 19
 #: An n-gram belongs to a language if its frequency there reaches LEAST and SHARE times its highest frequency.
 LEAST, SHARE = 1e-5, 0.2
 SLOT_BITS, HASHES = 21, 3
@@ -140,7 +142,9 @@ def sampled(docs: DataFrame, sample: int) -> DataFrame:
     many = ids.groupBy("lang").agg(F.count("*").alias("__many"))
     place = F.col("__h").cast("double") / 2.0**64 + 0.5
     few = ids.join(many, "lang").where(place * F.col("__many") <= 1.5 * sample + 50)
-    chosen = few.withColumn("__n", F.row_number().over(Window.partitionBy("lang").orderBy("__h"))).where(F.col("__n") <= sample).select("lang", "__h")
+    chosen = stored(few.withColumn("__n", F.row_number().over(Window.partitionBy("lang").orderBy("__h"))).where(F.col("__n") <= sample).select("lang", "__h"), "chosen")
+    if chosen.count() <= FEW_CHOSEN:  # else the texts are shuffled
+        chosen = F.broadcast(chosen)
     picked = rows.withColumn("__h", h).join(chosen, ["lang", "__h"], "left_semi")
     return picked.groupBy("lang", "__h").agg(F.min("text").alias("text")).select("lang", "text")
 

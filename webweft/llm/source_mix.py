@@ -124,7 +124,8 @@ def composition(spark: SparkSession, quota: list[int], seed: int, shard_slots: i
 
     drawn = spark.range(shards, numPartitions=max(1, min(shards, 256))).mapInPandas(counts, "shard long, __rank int, drawn long")
     known = spark.createDataFrame([(int(k), int(quota[k])) for k in kept], "__rank int, quota long")  # bounded: MAX_SOURCES rows
-    drawn = _before(drawn, "__rank", "shard", "drawn", STRETCH).join(F.broadcast(known), "__rank")
+    # Drawn once: sums, slots and closing shards all read it.
+    drawn = _before(stored(drawn, "drawn"), "__rank", "shard", "drawn", STRETCH).join(F.broadcast(known), "__rank")
     drawn = drawn.withColumn("n", F.greatest(F.lit(0), F.least("drawn", F.col("quota") - F.col("at"))).cast("long"))
     used = drawn.groupBy("__rank").agg(F.sum("n").alias("at"))
     short = known.join(used, "__rank", "left").withColumn("at", F.coalesce("at", F.lit(0))).withColumn("left", F.col("quota") - F.col("at")).where("left > 0")
@@ -182,9 +183,10 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.
     placed = placed.join(before, ["__rank", "__bucket"]).withColumn("__from", F.col("__first") + F.col("__end") - F.col("__size"))
     pieces = placed.where("__size > 0").withColumn("__block", F.explode(F.sequence(F.expr(f"__from div {block}"), F.expr(f"(__from + __size - 1) div {block}"))))
 
-    made = composition(spark, quotas(sizes, target, most, block), seed)
+    made = stored(composition(spark, quotas(sizes, target, most, block), seed), "composition")
     where = slots(made, [-(-s // block) for s in sizes], seed)
-    taken = pieces.join(where, ["__rank", "__block"])
+    # The small table of shards says nothing of how many slots it makes: no broadcast.
+    taken = pieces.join(where.hint("merge"), ["__rank", "__block"])
     start = F.greatest(F.col("__block") * block, "__from")
     length = F.least((F.col("__block") + 1) * block, F.col("__from") + F.col("__size")) - start
     taken = taken.withColumn("__range", F.struct((start - F.col("__from")).alias("start"), length.alias("length"), "shard", "slot"))
