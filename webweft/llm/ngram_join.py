@@ -149,17 +149,37 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp binary, sketch array<long>, m0 long, m1 long, prefix array<long>, light long")
 
 
-def sketched(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+def hot_nodes(pairs: DataFrame) -> DataFrame | None:
+    """(v, parts) of the nodes that are in over LARGE of pairs(a, b); null where none is, or too many to be sent to all."""
+    each = pairs.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") > LARGE)
+    hot = stored(each.select("v", F.ceil(F.col("c") / LARGE).cast("int").alias("parts")), "hot")
+    # Beyond a million rows of 12 bytes, adaptive skew joins are left to split them.
+    return hot if 0 < hot.count() <= 1 << 20 else None
+
+
+def joined(pairs: DataFrame, side: str, table: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """pairs with the row of table (keyed by a column named as side); a hot node's pairs are dealt to its parts by their
+    other end, and its row is copied to each."""
+    if hot is None:
+        return pairs.join(table, side)
+    other, known = "b" if side == "a" else "a", F.broadcast(hot.select(F.col("v").alias(side), "parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    left = pairs.join(known, side, "left").withColumn("part", _slice(F.col(other), parts)).drop("parts")
+    right = table.join(known, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, [side, "part"]).drop("part")
+
+
+def sketched(pairs: DataFrame, nodes: DataFrame, num: int, den: int, hot: DataFrame | None = None) -> DataFrame:
     """Of pairs(a, b) of nodes(node, n, sketch) those whose sketches allow the similarity."""
-    one = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-    both = one.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    one = joined(pairs, "a", nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), hot)
+    both = joined(one, "b", nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), hot)
     return both.where(bits_apart(F.col("sa"), F.col("sb")) <= allowed(F.col("na"), F.col("nb"), num, den)).select("a", "b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int, hot: DataFrame | None = None) -> DataFrame:
     """Of pairs(a, b) those whose sets reach the similarity."""
-    one = pairs.join(texts.select(F.col("__id").alias("a"), F.col("__text").alias("ta")), "a")
-    both = one.join(texts.select(F.col("__id").alias("b"), F.col("__text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    one = joined(pairs, "a", texts.select(F.col("__id").alias("a"), F.col("__text").alias("ta")), hot)
+    both = joined(one, "b", texts.select(F.col("__id").alias("b"), F.col("__text").alias("tb")), hot).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[int, np.ndarray] = {}
@@ -275,10 +295,11 @@ def _marked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     often = None if often.isEmpty() else often
 
     def check(pairs: DataFrame) -> None:
-        likely = stored(sketched(pairs, nodes, num, den), "likely")
+        hot = hot_nodes(pairs)
+        likely = stored(sketched(pairs, nodes, num, den, hot), "likely")
         asked = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(nodes.select("node", "doc", "fp"), "node")
         fetched = stored(_node_texts(texts, often, asked, k), "fetched")
-        links = stored(verified(likely, fetched, k, num, den), "links")
+        links = stored(verified(likely, fetched, k, num, den, hot), "links")
         found.add(links)
         discard(likely, fetched, links)
 
