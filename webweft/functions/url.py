@@ -5,13 +5,16 @@ with spaces survive.  Everything here is native; nothing leaves the JVM."""
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html.entities import html5
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Parameters that only track visitors, and the schemes that can or need not be checked.
-TRACKING = ("fbclid", "gclid", "gclsrc", "dclid", "gbraid", "wbraid", "msclkid", "mc_cid", "mc_eid", "igshid", "yclid", "_hsenc", "_hsmi")
+TRACKING = ("_hsenc", "_hsmi", "dclid", "fbclid", "gbraid", "gclid", "igshid", "mc_cid", "mc_eid", "msclkid", "ttclid", "wbraid", "yclid")
 TRACKING_PREFIX = "utm_"
 CHECKABLE = ("http", "https")
 SKIPPABLE = ("data", "javascript", "mailto", "sms", "tel")
@@ -25,17 +28,37 @@ def part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, "(?s)" + PARTS, group)
 
 
+def _entities() -> Column:
+    """Map of the HTML5 entity names (with their semicolons) to their texts; a constant of the plan."""
+    names = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+
+
+def entities_decoded(s: Column) -> Column:
+    """Character references that end in a semicolon, named or numeric, in one pass; anything else stays."""
+
+    def one(piece: Column) -> Column:
+        name = F.substring_index(piece, ";", 1)
+        rest = F.substring(piece, F.length(name) + 2, F.length(piece))
+        number = F.when(name.rlike("^#[0-9]{1,7}$"), F.substring(name, F.lit(2), F.length(name)).cast("int")).when(name.rlike("^#[xX][0-9A-Fa-f]{1,6}$"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10).cast("int"))
+        known = (number.between(32, 0x10FFFF) | number.isin(9, 10, 13)) & ~number.between(0x7F, 0x9F) & ~number.between(0xD800, 0xDFFF)
+        text = F.when(known, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.element_at(_entities(), name))
+        return F.when(piece.contains(";") & (F.length(name) <= 40) & text.isNotNull(), F.concat(text, rest)).otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.split(s, "&")
+    whole = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), one), ""))
+    return F.when(s.contains("&"), whole).otherwise(s)
+
+
 def clean(href: Column) -> Column:
-    """Line breaks and tabs out, blanks off both ends, the five basic entities decoded (one pass, semicolon needed)."""
+    """Line breaks and tabs out, blanks off both ends, entities decoded (one pass, semicolon needed)."""
     flat = F.btrim(F.translate(href, "\t\n\r", ""), F.lit(BLANK))
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        flat = F.replace(flat, F.lit(entity), F.lit(char))
-    return F.btrim(flat, F.lit(BLANK))
+    return F.btrim(entities_decoded(flat), F.lit(BLANK))
 
 
 def scheme_kind(href: Column) -> Column:
-    """checkable, skippable or unknown."""
-    h = F.btrim(href, F.lit(BLANK))
+    """checkable, skippable or unknown; entities and line breaks inside do not hide a scheme."""
+    h = clean(href)
     scheme = F.lower(F.regexp_extract(h, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     return (
         F.when((h == "") | h.startswith("#"), "skippable")
@@ -78,7 +101,8 @@ def normalised_path(path: Column) -> Column:
 
 def normalised_query(query: Column, strip: bool = True) -> Column:
     """Empty and tracking pairs dropped, order and repeats kept; null where nothing is left."""
-    name = lambda p: F.lower(F.substring_index(p, "=", 1))
+    # A name may be percent-encoded; a plus stays a plus.
+    name = lambda p: F.lower(percent_decoded(F.substring_index(p, "=", 1)))
     pairs = F.filter(F.split(query, "&"), lambda p: p != "")
     if strip:
         pairs = F.filter(pairs, lambda p: ~(name(p).isin(*TRACKING) | name(p).startswith(TRACKING_PREFIX)))
@@ -113,17 +137,120 @@ def absolute(ref: Column, base: Column) -> Column:
     )
 
 
-def normalised(href: Column, base: Column | None = None, strip: bool = True) -> Column:
-    """The address in canonical form; null where there is none to check."""
+@F.pandas_udf("string")
+def _punycode(hosts: pd.Series) -> pd.Series:
+    def one(host: str | None) -> str | None:
+        if host is None:
+            return None
+        try:
+            import idna
+
+            return idna.encode(host, uts46=True).decode()
+        except ImportError:
+            pass
+        except ValueError:  # idna.IDNAError is one
+            return ""
+        try:
+            return host.encode("idna").decode()
+        except UnicodeError:
+            return ""
+
+    return hosts.map(one)
+
+
+def ascii_host(host: Column) -> Column:
+    """The host in letters of DNS: punycode where it has others ('' where it cannot be).  Only here Python is asked, and
+    only for such hosts is there anything to send."""
+    other = host.rlike(r"[^\x00-\x7F]")
+    return F.when(other, _punycode(F.when(other, host))).otherwise(host)
+
+
+def normalised(href: Column, base: Column | None = None, strip: bool = True, idn: bool = False) -> Column:
+    """The address in canonical form; null where there is none to check.  idn: hosts in other letters become punycode
+    (without it they are null, and the expression stays in the JVM)."""
     base = F.lit(None).cast("string") if base is None else base
     url = absolute(clean(href), base)
-    scheme, host = F.lower(part(url, 1)), host_of(url)
+    scheme, host = F.lower(part(url, 1)), ascii_host(host_of(url)) if idn else host_of(url)
     query = normalised_query(part(url, 4), strip)
     fits = host.rlike("^[a-z0-9_]([a-z0-9_-]*[a-z0-9_])?(\\.[a-z0-9_]([a-z0-9_-]*[a-z0-9_])?)*\\.?$") | host.rlike("^\\[[0-9a-f:.]+\\]$")
     whole = F.concat(scheme, F.lit("://"), host, port_of(url), normalised_path(part(url, 3)), F.coalesce(F.concat(F.lit("?"), query), F.lit("")))
     return F.when((scheme_kind(href) == "checkable") & scheme.isin(*CHECKABLE) & fits & (F.length(host) <= 253), whole)
 
 
+def percent_decoded(s: Column) -> Column:
+    """%hh decoded; a plus stays a plus; text with a broken escape stays as it is."""
+    return F.when(s.contains("%"), F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s)).otherwise(s)
+
+
+def fragment_of(url: Column) -> Column:
+    """What follows the first #, null where empty."""
+    return F.nullif(F.when(url.contains("#"), F.substring(url, F.instr(url, "#") + 1, F.length(url))), F.lit(""))
+
+
+def without_fragment(url: Column) -> Column:
+    return F.substring_index(url, "#", 1)
+
+
+def with_fragment(url: Column, href: Column) -> Column:
+    """The normalised address with the fragment its href had, unless that selects text (:~:)."""
+    f = fragment_of(clean(href))
+    again = F.concat(without_fragment(url), F.lit("#"), percent_normalised(F.replace(f, F.lit(" "), F.lit("%20"))))
+    return F.when(f.isNull() | f.startswith(":~:"), url).otherwise(again)
+
+
+def scheme_of(url: Column) -> Column:
+    return F.coalesce(F.lower(part(url, 1)), F.lit(""))
+
+
+def without_credentials(href: Column) -> Column:
+    return F.regexp_replace(href, "(?i)^([a-z][a-z0-9+.-]*://)[^/?#@]*@", "$1")
+
+
+def authority_of(url: Column) -> Column:
+    """Host and any port but the scheme's own, for comparing sites; null where there is no host."""
+    host = host_of(clean(url))
+    return F.when(host != "", F.concat(host, port_of(clean(url))))
+
+
+#: Schemes of stand-ins for addresses that content has not.
+STAND_INS = ("element", "relation")
+
+
+def stand_in(target: Column, relation: bool = False) -> Column:
+    return F.concat(F.lit(STAND_INS[relation] + ":"), target.cast("string"))
+
+
+def stand_in_scheme(url: Column) -> Column:
+    """element or relation where the address is a stand-in, else null."""
+    return F.nullif(F.regexp_extract(url, "^(element|relation):", 1), F.lit(""))
+
+
+#: Fixed value: the page address that stands for a site's home.
+HOME = "__home__"
+
+
+def uri_for(url: Column, base_url: Column) -> Column:
+    """The page address inside its site: decoded path without the site's own (a plain prefix), slashes off both ends."""
+    path = percent_decoded(part(url, 3))
+    base = F.regexp_replace(part(base_url, 3), "/+$", "")
+    inner = F.when((base != "") & path.startswith(base), F.substring(path, F.length(base) + 1, F.length(path))).otherwise(path)
+    uri = F.btrim(inner, F.lit("/"))
+    return F.when(uri == "", HOME).otherwise(uri)
+
+
+def clipped(c: Column, width: int) -> Column:
+    return F.substring(c, 1, width)
+
+
+def numeric_host(host: Column) -> Column:
+    """A host that is a number, which a resolver and a client may take for different things."""
+    return host.rlike("(?i)^([0-9]+|0x[0-9a-f]+)$")
+
+
+def openable(url: Column) -> Column:
+    return scheme_of(url).isin(*CHECKABLE)
+
+
 def fingerprint(url: Column) -> Column:
     return F.sha1(url)
 
