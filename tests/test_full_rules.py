@@ -24,20 +24,6 @@ def addresses(spark, d):
     return {("url", u.id): u.url for u in read(spark, d, "urls")} | own | pages, bases
 
 
-def test_get_fallback(spark, tiny):
-    host = {u.id: u.host for u in read(spark, tiny, "urls")}
-    hostile = [h.host for h in read(spark, tiny, "hosts") if h.bot_hostile]
-    want = {}
-    for r in read(spark, tiny, "responses"):
-        listed = any(host.get(r.url_id, "") == h or host.get(r.url_id, "").endswith("." + h) for h in hostile)
-        signed = "challenge" in (r.h_cf_mitigated or "") or (r.http_status == 403 and ("akamaighost" in r.h_server.lower() or "cloudfront" in (r.h_via or "").lower())) or listed
-        want[r.id] = r.method == "head" and (r.http_status in (405, 501) or r.http_status in (400, 403, 404, 410, 503) and not signed)
-    got = {r.id: r.again for r in run(spark, tiny, "get_fallback_all")}
-    assert got == want
-    short = {r.id: r.again for r in run(spark, tiny, "get_fallback")}
-    assert any(short[i] and not got[i] for i in got)
-
-
 def test_panel_label(spark, tiny):
     found, bases = addresses(spark, tiny)
     own = {urlsplit(b).hostname for _, b in bases}
@@ -46,7 +32,7 @@ def test_panel_label(spark, tiny):
         parts = urlsplit(url)
         label = (parts.path or "/") + ("?" + parts.query if parts.query else "") if parts.hostname in own else url
         want[key] = label if len(label) <= 44 else label[:26] + "…" + label[-17:]
-    got = {(r.source, r.id): r.label for r in run(spark, tiny, "panel_label_all")}
+    got = {(r.source, r.id): r.label for r in run(spark, tiny, "panel_label")}
     assert got == want and any("…" in v for v in got.values()) and any(v.startswith("/") for v in got.values())
 
 
@@ -61,7 +47,7 @@ def test_site_for_url(spark, tiny):
             if b.hostname == parts.hostname and (path == "" or parts.path == path or parts.path.startswith(path + "/")) and len(path) > size:
                 best, size = site, len(path)
         want[key] = best
-    got = {(r.source, r.id): r.site_id for r in run(spark, tiny, "site_for_url_all")}
+    got = {(r.source, r.id): r.site_id for r in run(spark, tiny, "site_for_url")}
     assert got == want and {1, 3, 11, 13} <= set(got.values()) and 14 not in got.values()
 
 
@@ -73,7 +59,7 @@ def test_ignore_verdict(spark, tiny):
         rule = next((h for h in hosts if u.host and (u.host == h.lower() or u.host.endswith("." + h.lower()))), None)
         rule = rule or next((p for p in patterns if re.search(p, u.url, re.I)), None)
         want[u.id] = ("ignored", None) if u.url_hash in by_hash else ("ignore-rule", rule) if rule else (None, None)
-    got = {r.id: (r.reason, r.rule) for r in run(spark, tiny, "ignore_verdict_all")}
+    got = {r.id: (r.reason, r.rule) for r in run(spark, tiny, "ignore_verdict")}
     assert got == want and len({v for v in got.values()}) >= 4
 
 
@@ -81,7 +67,7 @@ def test_extract_links(spark, tmp_path):
     html = """<!-- <a href="/no">x</a> --><script>'<a href="/no">'</script><img alt='i' src=/i.png><IFRAME title=f src="/f"></iframe>
 <map><area alt="m" href='/m?a=1&amp;b=2'></map><a class=x href='/one'>On<b>e</b></a><a name=n>none</a><a href=/two>Two &amp; <a href="/three">3</a><craft-entry><a href="/nested">n</a></craft-entry><img>"""
     spark.createDataFrame([(1, html), (2, None), (3, "plain")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = sorted(tuple(r) for r in run(spark, str(tmp_path), "extract_links_all"))
+    got = sorted(tuple(r) for r in run(spark, str(tmp_path), "extract_links"))
     rest = [("a", "/one", "One"), ("a", "/two", "Two & "), ("a", "/three", "3"), ("area", "/m?a=1&b=2", "m"), ("img", "/i.png", "i")]
     assert got == [(1, k, *r) for k, r in enumerate(rest)]
     assert ("iframe", "/f", "f") in links.page_links(html, iframes=True) and not any(t == "img" for t, _, _ in links.page_links(html, images=False))

@@ -30,15 +30,15 @@ def test_every_link(spark, tmp_path):
     html = "<p>" + "".join(f'<A class=x href = "{h}">t</A>' for h, _ in LINKS)
     spark.createDataFrame([(1, BASE, html), (2, BASE, "<p>none")], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     want = [(1, i, u) for i, (_, u) in enumerate(LINKS)]
-    got = registry.queries()["resolved_links_all"](spark, str(tmp_path))
+    got = registry.queries()["resolved_links"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
-    assert sorted(con.sql(registry.oracle_sql()["resolved_links_all"]).fetchall(), key=lambda r: r[1]) == want
+    assert sorted(con.sql(registry.oracle_sql()["resolved_links"]).fetchall(), key=lambda r: r[1]) == want
 
 
 def test_all_rows(spark, small):
-    got = registry.queries()["resolved_links_all"](spark, small)
+    got = registry.queries()["resolved_links"](spark, small)
     assert got.count() == registry._links(spark, small).count() and not got.where("link is null").count()
 
 
@@ -46,5 +46,5 @@ def test_every_scheme(spark, tmp_path):
     kinds = [("/a", "checkable"), ("HTTP://e.org", "checkable"), (" mailto:a@b", "skippable"), ("#top", "skippable"), ("", "skippable"), ("foo:bar", "unknown")]
     html = "".join(f'<a href="{h}">t</a>' for h, _ in kinds)
     spark.createDataFrame([(1, BASE, html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = registry.queries()["scheme_kind_all"](spark, str(tmp_path)).collect()
+    got = registry.queries()["scheme_kind"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(1, i, k) for i, (_, k) in enumerate(kinds)]

@@ -19,8 +19,18 @@ class _Links(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.found: dict[str, list[list[str]]] = {t: [] for t in tags}
         self.inside, self.open = 0, None
+        self.ids: list[str] = []
+        self.names: list[str] = []
+        self.entries: list[int] = []
 
     def handle_starttag(self, tag, attrs):
+        first = dict(reversed(attrs))
+        if (first.get("id") or "").strip():
+            self.ids.append(first["id"].strip())
+        if tag == "a" and (first.get("name") or "").strip():
+            self.names.append(first["name"].strip())
+        if tag == NESTED and (first.get("data-entry-id") or "").strip().isdecimal() and int(first["data-entry-id"]) > 0:
+            self.entries.append(int(first["data-entry-id"]))
         if tag == NESTED:
             self.inside += 1
         if tag == "a":
@@ -54,6 +64,45 @@ def page_links(html: str | None, images: bool = True, iframes: bool = False) ->
     return [(tag, href, text) for tag, links in parser.found.items() for href, text in links]
 
 
+def anchor_names(html: str | None) -> list[str]:
+    """What a fragment may name: the ids of all elements, then the names of anchors, each once in page order."""
+    parser = _Links(())
+    parser.feed(html or "")
+    parser.close()
+    return list(dict.fromkeys(parser.ids + parser.names))
+
+
+def nested_ids(html: str | None) -> list[int]:
+    """Ids of the entries nested in a text, each once in page order."""
+    parser = _Links(())
+    parser.feed(html or "")
+    parser.close()
+    return list(dict.fromkeys(parser.entries))
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """page_id and its anchor names of pages(page_id, html)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [anchor_names(h) for h in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.string()))], names=["page_id", "anchors"])
+
+    return pages.selectExpr("CAST(page_id AS BIGINT) AS page_id", "html").mapInArrow(run, "page_id long, anchors array<string>")
+
+
+def nested(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, entry_id) of the entries nested in pages(page_id, html)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, k, e) for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, e in enumerate(nested_ids(h))]
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["page_id", "pos", "entry_id"])
+
+    return pages.selectExpr("CAST(page_id AS BIGINT) AS page_id", "html").mapInArrow(run, "page_id long, pos int, entry_id long")
+
+
 def extracted(pages: DataFrame, images: bool = True, iframes: bool = False) -> DataFrame:
     """page_id, pos (from 0), tag, href and text of each link of pages(page_id, html)."""
 

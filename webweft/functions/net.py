@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 # Networks that are not public besides those the standard library calls so.
 EXTRA = [ipaddress.ip_network(n) for n in ("192.88.99.0/24", "224.0.0.0/4", "240.0.0.0/4", "100.64.0.0/10", "ff00::/8")]
@@ -29,7 +30,7 @@ def is_private(text: str | None) -> bool | None:
     return not ip.is_global or any(ip.version == n.version and ip in n for n in EXTRA)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def private(ips: pd.Series) -> pd.Series:
     return ips.map(is_private)
 

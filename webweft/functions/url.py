@@ -10,8 +10,9 @@ from functools import reduce
 from html.entities import html5
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Parameters that only track visitors, and the schemes that can or need not be checked.
 TRACKING = ("_hsenc", "_hsmi", "dclid", "fbclid", "gbraid", "gclid", "igshid", "mc_cid", "mc_eid", "msclkid", "ttclid", "wbraid", "yclid")
@@ -34,39 +35,47 @@ def _entities() -> Column:
     return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
 
 
+def named(value: Column, use) -> Column:
+    """use(value), with value worked out once and not spelled out at each use: an array of one element gives it a name."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def entities_decoded(s: Column) -> Column:
     """Character references that end in a semicolon, named or numeric, in one pass; anything else stays."""
 
+    def number(name: Column) -> Column:
+        code = F.when(name.rlike("^#[0-9]{1,7}$"), F.substring(name, F.lit(2), F.length(name)).cast("int")).when(name.rlike("^#[xX][0-9A-Fa-f]{1,6}$"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10).cast("int"))
+        known = lambda n: (n.between(32, 0x10FFFF) | n.isin(9, 10, 13)) & ~n.between(0x7F, 0x9F) & ~n.between(0xD800, 0xDFFF)
+        return named(code, lambda n: F.when(known(n), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+
     def one(piece: Column) -> Column:
-        name = F.substring_index(piece, ";", 1)
-        rest = F.substring(piece, F.length(name) + 2, F.length(piece))
-        number = F.when(name.rlike("^#[0-9]{1,7}$"), F.substring(name, F.lit(2), F.length(name)).cast("int")).when(name.rlike("^#[xX][0-9A-Fa-f]{1,6}$"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10).cast("int"))
-        known = (number.between(32, 0x10FFFF) | number.isin(9, 10, 13)) & ~number.between(0x7F, 0x9F) & ~number.between(0xD800, 0xDFFF)
-        text = F.when(known, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.element_at(_entities(), name))
-        return F.when(piece.contains(";") & (F.length(name) <= 40) & text.isNotNull(), F.concat(text, rest)).otherwise(F.concat(F.lit("&"), piece))
+        def with_name(name: Column) -> Column:
+            text = F.when(piece.contains(";") & (F.length(name) <= 40), F.coalesce(number(name), F.element_at(_entities(), name)))
+            return named(text, lambda t: F.when(t.isNotNull(), F.concat(t, F.substring(piece, F.length(name) + 2, F.length(piece)))).otherwise(F.concat(F.lit("&"), piece)))
 
-    pieces = F.split(s, "&")
-    whole = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), one), ""))
-    return F.when(s.contains("&"), whole).otherwise(s)
+        return named(F.substring_index(piece, ";", 1), with_name)
+
+    def joined(pieces: Column) -> Column:
+        return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), one), ""))
+
+    return F.when(s.contains("&"), named(F.split(s, "&"), joined)).otherwise(s)
 
 
 def clean(href: Column) -> Column:
     """Line breaks and tabs out, blanks off both ends, entities decoded (one pass, semicolon needed)."""
     flat = F.btrim(F.translate(href, "\t\n\r", ""), F.lit(BLANK))
-    return F.btrim(entities_decoded(flat), F.lit(BLANK))
+    return named(flat, lambda f: F.btrim(entities_decoded(f), F.lit(BLANK)))
+
+
+def _kind(h: Column) -> Column:
+    scheme = F.lower(F.regexp_extract(h, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    by_scheme = named(scheme, lambda s: F.when(s == "", "checkable").when(s.isin(*CHECKABLE), "checkable").when(s.isin(*SKIPPABLE), "skippable").otherwise("unknown"))
+    return F.when((h == "") | h.startswith("#"), "skippable").when(h.isNotNull(), by_scheme)
 
 
 def scheme_kind(href: Column) -> Column:
     """checkable, skippable or unknown; entities and line breaks inside do not hide a scheme."""
-    h = clean(href)
-    scheme = F.lower(F.regexp_extract(h, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    return (
-        F.when((h == "") | h.startswith("#"), "skippable")
-        .when(scheme == "", "checkable")
-        .when(scheme.isin(*CHECKABLE), "checkable")
-        .when(scheme.isin(*SKIPPABLE), "skippable")
-        .otherwise("unknown")
-    )
+    return named(clean(href), _kind)
 
 
 def percent_normalised(s: Column) -> Column:
@@ -79,8 +88,8 @@ def percent_normalised(s: Column) -> Column:
         plain = char.rlike("^[A-Za-z0-9._~-]$")
         return F.when(~code.rlike("^[0-9A-Fa-f]{2}$"), F.concat(F.lit("%"), piece)).when(plain, F.concat(char, rest)).otherwise(F.concat(F.lit("%"), F.upper(code), rest))
 
-    pieces = F.split(s, "%")
-    return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), one), ""))
+    joined = lambda pieces: F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), one), ""))
+    return named(F.split(s, "%"), joined)
 
 
 def dots_removed(path: Column) -> Column:
@@ -91,8 +100,7 @@ def dots_removed(path: Column) -> Column:
         return F.when(seg == ".", done).when(seg == "..", up).otherwise(F.concat(done, F.array(seg)))
 
     done = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
-    out = F.array_join(done, "/")
-    return F.when(out == "", "/").otherwise(out)
+    return named(F.array_join(done, "/"), lambda out: F.when(out == "", "/").otherwise(out))
 
 
 def normalised_path(path: Column) -> Column:
@@ -106,8 +114,7 @@ def normalised_query(query: Column, strip: bool = True) -> Column:
     pairs = F.filter(F.split(query, "&"), lambda p: p != "")
     if strip:
         pairs = F.filter(pairs, lambda p: ~(name(p).isin(*TRACKING) | name(p).startswith(TRACKING_PREFIX)))
-    out = percent_normalised(F.replace(F.array_join(pairs, "&"), F.lit(" "), F.lit("%20")))
-    return F.when(out != "", out)
+    return named(percent_normalised(F.replace(F.array_join(pairs, "&"), F.lit(" "), F.lit("%20"))), lambda out: F.when(out != "", out))
 
 
 def host_of(url: Column) -> Column:
@@ -137,7 +144,7 @@ def absolute(ref: Column, base: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _punycode(hosts: pd.Series) -> pd.Series:
     def one(host: str | None) -> str | None:
         if host is None:
@@ -165,16 +172,36 @@ def ascii_host(host: Column) -> Column:
     return F.when(other, _punycode(F.when(other, host))).otherwise(host)
 
 
-def normalised(href: Column, base: Column | None = None, strip: bool = True, idn: bool = False) -> Column:
-    """The address in canonical form; null where there is none to check.  idn: hosts in other letters become punycode
-    (without it they are null, and the expression stays in the JVM)."""
+FITS = (r"^[a-z0-9_]([a-z0-9_-]*[a-z0-9_])?(\.[a-z0-9_]([a-z0-9_-]*[a-z0-9_])?)*\.?$", r"^\[[0-9a-f:.]+\]$")
+
+
+def _spelled(p: Column, strip: bool) -> Column:
+    whole = F.concat(p["scheme"], F.lit("://"), p["host"], p["port"], normalised_path(p["path"]), F.coalesce(F.concat(F.lit("?"), normalised_query(p["query"], strip)), F.lit("")))
+    fits = p["host"].rlike(FITS[0]) | p["host"].rlike(FITS[1])
+    return F.when(p["scheme"].isin(*CHECKABLE) & fits & (F.length(p["host"]) <= 253), whole)
+
+
+def _parts(url: Column, host: Column) -> Column:
+    return F.struct(F.lower(part(url, 1)).alias("scheme"), host.alias("host"), port_of(url).alias("port"), part(url, 3).alias("path"), part(url, 4).alias("query"))
+
+
+def _whole(href: Column, base: Column | None) -> Column:
     base = F.lit(None).cast("string") if base is None else base
-    url = absolute(clean(href), base)
-    scheme, host = F.lower(part(url, 1)), ascii_host(host_of(url)) if idn else host_of(url)
-    query = normalised_query(part(url, 4), strip)
-    fits = host.rlike("^[a-z0-9_]([a-z0-9_-]*[a-z0-9_])?(\\.[a-z0-9_]([a-z0-9_-]*[a-z0-9_])?)*\\.?$") | host.rlike("^\\[[0-9a-f:.]+\\]$")
-    whole = F.concat(scheme, F.lit("://"), host, port_of(url), normalised_path(part(url, 3)), F.coalesce(F.concat(F.lit("?"), query), F.lit("")))
-    return F.when((scheme_kind(href) == "checkable") & scheme.isin(*CHECKABLE) & fits & (F.length(host) <= 253), whole)
+    return named(clean(href), lambda ref: F.when(_kind(ref) == "checkable", absolute(ref, base)))
+
+
+def normalised(href: Column, base: Column | None = None, strip: bool = True) -> Column:
+    """The address in canonical form; null where there is none to check, and where the host has letters that DNS has not
+    (with_normalised() makes punycode of them)."""
+    return named(_whole(href, base), lambda url: named(_parts(url, host_of(url)), lambda p: _spelled(p, strip)))
+
+
+def with_normalised(df: DataFrame, name: str, href: Column, base: Column | None = None, strip: bool = True) -> DataFrame:
+    """df with the canonical address as a column, hosts in any letters.  Python is asked for hosts alone, in a column of
+    their own, and is sent nothing where a host is ASCII."""
+    out = df.withColumn("__whole", _whole(href, base)).withColumn("__host", named(F.col("__whole"), host_of)).withColumn("__ascii", ascii_host(F.col("__host")))
+    spelled = named(_parts(F.col("__whole"), F.col("__ascii")), lambda p: _spelled(p, strip))
+    return out.withColumn(name, spelled).drop("__whole", "__host", "__ascii")
 
 
 def percent_decoded(s: Column) -> Column:
@@ -193,9 +220,8 @@ def without_fragment(url: Column) -> Column:
 
 def with_fragment(url: Column, href: Column) -> Column:
     """The normalised address with the fragment its href had, unless that selects text (:~:)."""
-    f = fragment_of(clean(href))
-    again = F.concat(without_fragment(url), F.lit("#"), percent_normalised(F.replace(f, F.lit(" "), F.lit("%20"))))
-    return F.when(f.isNull() | f.startswith(":~:"), url).otherwise(again)
+    again = lambda f: F.concat(without_fragment(url), F.lit("#"), percent_normalised(F.replace(f, F.lit(" "), F.lit("%20"))))
+    return named(named(clean(href), fragment_of), lambda f: F.when(f.isNull() | f.startswith(":~:"), url).otherwise(again(f)))
 
 
 def scheme_of(url: Column) -> Column:
@@ -208,8 +234,7 @@ def without_credentials(href: Column) -> Column:
 
 def authority_of(url: Column) -> Column:
     """Host and any port but the scheme's own, for comparing sites; null where there is no host."""
-    host = host_of(clean(url))
-    return F.when(host != "", F.concat(host, port_of(clean(url))))
+    return named(clean(url), lambda u: F.when(host_of(u) != "", F.concat(host_of(u), port_of(u))))
 
 
 #: Schemes of stand-ins for addresses that content has not.

@@ -142,7 +142,7 @@ def retry_after(value: Column, now: Column) -> Column:
     digits = F.when(value.rlike("^[0-9]+$"), F.least(F.lit(LONGEST_WAIT).cast("long"), F.substring(value, 1, 9).cast("long")))
     date = F.try_to_timestamp(F.regexp_extract(value, "^[A-Z][a-z]{2}, ([0-9]{2} [A-Z][a-z]{2} [0-9]{4} [0-9:]{8}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
     wait = F.unix_timestamp(date) - F.unix_timestamp(now)
-    return F.coalesce(digits, F.least(F.lit(LONGEST_WAIT).cast("long"), F.greatest(F.lit(0).cast("long"), wait)))
+    return F.coalesce(digits, F.when(wait.isNotNull(), F.least(F.lit(LONGEST_WAIT).cast("long"), F.greatest(F.lit(0).cast("long"), wait))))
 
 
 def deferral_seconds(wait: Column) -> Column:

@@ -20,17 +20,24 @@ def next_check(status: Column, at: Column) -> Column:
     return out
 
 
-def fold(log: DataFrame) -> DataFrame:
+def fold(log: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """log(check_id, url_id, checked_at, status, reason) to one row per url_id.  Pending rows are deferrals and
-    change nothing; the history starts as pending with no failures."""
+    change nothing.  A history starts as pending with no failures, or from state(url_id, status, reason, fail_count): an
+    address that a person ignored is frozen, its checks change nothing and it has no row."""
     by = Window.partitionBy("url_id").orderBy("checked_at", "check_id")
     seen = log.where("status <> 'pending'")
+    if state is None:
+        seen = seen.withColumn("status0", F.lit("pending")).withColumn("fails0", F.lit(0).cast("long"))
+    else:
+        held = state.select("url_id", F.col("status").alias("status0"), F.col("reason").alias("reason0"), F.col("fail_count").cast("long").alias("fails0"))
+        seen = seen.join(held, "url_id", "left").where("not coalesce(status0 = 'ignored' and reason0 = 'ignored', false)").drop("reason0").fillna({"status0": "pending", "fails0": 0})
     seen = seen.withColumn("g", F.sum(F.when(F.col("status").isin("ok", "redirect"), 1).otherwise(0)).over(by))
     stretch = Window.partitionBy("url_id", "g").orderBy("checked_at", "check_id")
-    seen = seen.withColumn("fails", F.sum(F.when(F.col("status") == "unreachable", 1).otherwise(0)).over(stretch))
+    failed = F.sum(F.when(F.col("status") == "unreachable", 1).otherwise(0)).over(stretch)
+    seen = seen.withColumn("fails", failed + F.when(F.col("g") == 0, F.col("fails0")).otherwise(0))
     limit = F.when(F.col("reason") == "dns", FAILURES_DNS).otherwise(FAILURES)
     seen = seen.withColumn("now", F.when((F.col("status") == "unreachable") & (F.col("fails") >= limit), "broken").otherwise(F.col("status")))
-    seen = seen.withColumn("before", F.lag("now", 1, "pending").over(by))
+    seen = seen.withColumn("before", F.coalesce(F.lag("now").over(by), F.col("status0")))
     key = F.struct("checked_at", "check_id")
     out = seen.groupBy("url_id").agg(
         F.max_by("now", key).alias("status"),
@@ -40,9 +47,3 @@ def fold(log: DataFrame) -> DataFrame:
         F.max(F.when((F.col("now") == "broken") & (F.col("before") != "broken"), F.col("checked_at"))).alias("last_broken"),
     )
     return out.withColumn("next_check", next_check(F.col("status"), F.col("last_checked")))
-
-
-def fetch_plan(urls: DataFrame) -> DataFrame:
-    """Round-robin over hosts: (id, host, sweep, place), one address of each host a sweep."""
-    turn = F.row_number().over(Window.partitionBy("host").orderBy("id"))
-    return urls.where("host <> ''").select("id", "host", turn.cast("long").alias("sweep"))

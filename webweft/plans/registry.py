@@ -43,50 +43,25 @@ SHARED: dict[str, str] = {
     "url_table_by_refs": "SELECT u.id, u.url, c.n AS ref_count FROM urls u JOIN (SELECT url_id, count(*) AS n FROM refs WHERE site_id=1 AND element_type='Entry' AND source='field' GROUP BY url_id) c ON c.url_id=u.id WHERE u.status='ok' ORDER BY c.n DESC, u.id LIMIT 100",
     "url_search": f"SELECT id, url FROM urls u WHERE contains(lower(url), lower('HOST7.')) AND {ON_SITE}",
     "url_references": "SELECT id, element_id, site_id, source FROM refs WHERE url_id=7 AND site_id IN (1,2,3) ORDER BY site_id, id LIMIT 100",
-    "latest_scan": "SELECT id, mode, status, CAST(CASE WHEN date_finished > date_started THEN 7200 ELSE 0 END AS BIGINT) AS seconds FROM scans WHERE status IN ('complete','cancelled') AND mode IN ('full','incremental') ORDER BY date_finished DESC NULLS LAST, id DESC LIMIT 1",
     "running_scan": "SELECT id, mode FROM scans WHERE status IN ('queued','extracting','checking') AND date_updated > TIMESTAMP '2024-01-23 01:00:00' ORDER BY id DESC LIMIT 1",
     "recent_scans": "SELECT id, mode, status FROM scans ORDER BY id DESC LIMIT 5",
-    "last_scan_start": "SELECT date_started FROM scans WHERE mode IN ('full','incremental') ORDER BY id DESC LIMIT 1",
     "ignored_list": "SELECT i.id, i.value, i.user_id, u.status FROM ignores i LEFT JOIN urls u ON u.url_hash=i.url_hash LEFT JOIN (SELECT DISTINCT url_id FROM refs) r ON r.url_id=u.id WHERE u.id IS NULL OR r.url_id IS NOT NULL ORDER BY i.date_created DESC, i.id DESC LIMIT 200",
-    "notify_list": "SELECT u.id, u.url FROM urls u WHERE status='broken' AND id IN (SELECT url_id FROM refs) ORDER BY date_last_checked DESC NULLS LAST, id LIMIT 20",
     # Sources and scheduling
     "due_urls": f"SELECT id FROM urls WHERE status NOT IN ('ignored','unsafe') AND ((status='pending' AND next_check_after IS NULL) OR next_check_after <= {AS_OF})",
     "scannable_elements": "SELECT es.site_id, es.element_id, es.uri FROM elements_sites es JOIN elements e ON e.id=es.element_id LEFT JOIN elements_owners o ON o.element_id=e.id WHERE o.element_id IS NULL AND es.enabled AND e.enabled AND NOT e.archived AND e.draft_id IS NULL AND e.revision_id IS NULL AND e.date_deleted IS NULL AND e.type IN ('Entry','Category') AND (e.section_id IS NULL OR e.section_id NOT IN (3,5))",
-    "rendered_pages": "SELECT es.site_id, es.element_id, es.uri FROM elements_sites es JOIN elements e ON e.id=es.element_id WHERE es.uri IS NOT NULL AND es.enabled AND e.enabled ORDER BY es.site_id, es.element_id LIMIT 500",
-    "changed_since": "SELECT es.site_id, es.element_id FROM elements_sites es JOIN elements e ON e.id=es.element_id WHERE e.date_updated > TIMESTAMP '1997-01-01 00:00:00' OR es.date_updated > TIMESTAMP '1997-01-01 00:00:00'",
     "check_chunks": f"SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 25) AS BIGINT) AS chunk FROM urls WHERE next_check_after <= {AS_OF} AND status NOT IN ('ignored','unsafe')",
-    "fetch_order": "SELECT id, host, row_number() OVER (PARTITION BY host ORDER BY id) AS sweep FROM urls WHERE host<>''",
     "blocked_hosts": "SELECT host, consecutive_failures, CASE WHEN consecutive_failures >= 3 THEN CAST(least(900.0, 60.0 * power(2.0, CAST(consecutive_failures - 3 AS DOUBLE))) AS BIGINT) END AS block_seconds FROM hosts",
     "effective_delay": "SELECT host, CAST(greatest(250, coalesce(min_delay_ms, 0)) AS BIGINT) AS delay_ms FROM hosts",
     # Pruning and mutation
     "orphan_urls": "SELECT u.id FROM urls u LEFT JOIN refs r ON r.url_id=u.id WHERE r.url_id IS NULL AND u.date_first_seen < TIMESTAMP '2024-02-01 00:00:00'",
     "stale_refs": "SELECT id FROM refs WHERE (scan_id IS NULL OR scan_id < 4) AND source<>'rendered' AND date_created < TIMESTAMP '1996-01-01 00:00:00'",
-    "stale_prune_result": "SELECT site_id, source, count(*) AS n FROM refs WHERE NOT ((scan_id IS NULL OR scan_id < 4) AND source<>'rendered' AND date_created < TIMESTAMP '1996-01-01 00:00:00') GROUP BY site_id, source",
     "hosts_unused": "SELECT h.host FROM hosts h WHERE h.host NOT IN (SELECT DISTINCT host FROM urls WHERE host<>'')",
     "upsert_urls": "SELECT n.url_hash, coalesce(u.id, -1) AS id, coalesce(u.status, CASE WHEN i.url_hash IS NOT NULL THEN 'ignored' ELSE 'pending' END) AS status FROM (SELECT DISTINCT sha1('https://gone.example.org/'||CAST(p_partkey AS VARCHAR(20))) AS url_hash FROM part UNION SELECT sha1('https://host'||CAST(p_partkey%37 AS VARCHAR(20))||'.example.org/p/'||CAST(p_partkey AS VARCHAR(20))) FROM part) n LEFT JOIN urls u ON u.url_hash=n.url_hash LEFT JOIN ignores i ON i.url_hash=n.url_hash",
-    "replace_owned_refs": "SELECT count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM refs WHERE NOT (site_id=2 AND source='field' AND coalesce(owner_element_id, element_id) IN (10, 20, 30, 40, 50, 60, 70))",
     "rendered_minus_attributed": "SELECT r.id FROM refs r WHERE r.source='rendered' AND NOT EXISTS (SELECT 1 FROM refs a WHERE a.source<>'rendered' AND a.url_id=r.url_id AND a.site_id=r.site_id AND coalesce(a.owner_element_id, a.element_id)=coalesce(r.owner_element_id, r.element_id))",
     "release_ignores": "SELECT id, CASE WHEN status='ignored' AND reason IN ('setting','ignore-rule') THEN 'pending' ELSE status END AS status, CASE WHEN status='ignored' AND reason IN ('setting','ignore-rule') THEN NULL ELSE reason END AS reason FROM urls",
-    "ignore_restore": "SELECT u.id, CASE WHEN i.url_hash IS NOT NULL AND u.id%2=0 THEN 'pending' WHEN i.url_hash IS NOT NULL THEN 'ignored' ELSE u.status END AS status FROM urls u LEFT JOIN ignores i ON i.url_hash=u.url_hash",
-    "bring_forward": f"SELECT id, CASE WHEN status<>'ignored' AND scheme='element' THEN {AS_OF} - INTERVAL '1' MINUTE ELSE next_check_after END AS next_check_after FROM urls",
-    "recheck_broken": f"SELECT id FROM urls WHERE status IN ('broken','unreachable')",
     "prune_history": "SELECT id FROM scans WHERE status IN ('complete','cancelled','failed') AND date_started < TIMESTAMP '2024-01-10 00:00:00'",
-    "deleted_element_orphans": "SELECT DISTINCT url_id FROM refs r WHERE coalesce(owner_element_id, element_id)=10 AND NOT EXISTS (SELECT 1 FROM refs k WHERE k.url_id=r.url_id AND coalesce(k.owner_element_id, k.element_id)<>10)",
     # Verdicts
     "verdict_from_response": "SELECT id, CASE WHEN http_status BETWEEN 200 AND 299 THEN CASE WHEN hops>0 THEN 'redirect' ELSE 'ok' END WHEN http_status=429 THEN 'pending' WHEN http_status>=500 THEN 'unreachable' WHEN http_status IN (401,407) THEN 'blocked' ELSE 'broken' END AS status, CASE WHEN http_status BETWEEN 200 AND 299 THEN NULL WHEN http_status=429 THEN 'rate-limited' ELSE 'http' END AS reason FROM responses",
-    "redirect_info": "SELECT id, hops, CASE WHEN hops>0 THEN first_hop_status IN (301,308) OR last_hop_status IN (301,308) END AS permanent, CASE WHEN hops>0 THEN first_hop_status END AS redirect_status FROM responses",
-    "get_fallback": "SELECT id, method='head' AND (http_status IN (405,501) OR http_status IN (400,403,404,410,503)) AS again FROM responses",
-    "retry_after": "SELECT id, CASE WHEN h_retry_after IS NOT NULL THEN least(86400, CAST(substring(h_retry_after, 1, 9) AS BIGINT)) END AS seconds FROM responses",
-    "bot_signature": "SELECT id, CASE WHEN http_status BETWEEN 200 AND 299 THEN NULL WHEN http_status=999 THEN 'linkedin-999' WHEN h_cf_mitigated='challenge' THEN 'cloudflare-challenge' WHEN lower(h_server) LIKE '%cloudflare%' AND body LIKE '%just a moment%' THEN 'cloudflare' WHEN lower(h_server) LIKE '%akamaighost%' AND http_status=403 THEN 'akamai' WHEN http_status=403 AND lower(h_via) LIKE '%cloudfront%' THEN 'cloudfront' WHEN http_status=503 AND (body LIKE '%captcha%' OR body LIKE '%automated access%') THEN 'captcha-503' END AS signature FROM responses",
-    "ignore_verdict": "SELECT u.id, CASE WHEN i.url_hash IS NOT NULL THEN 'ignored' WHEN u.host='host3.example.org' THEN 'ignore-rule' WHEN u.url LIKE '%/p/1%' THEN 'ignore-rule' END AS reason FROM urls u LEFT JOIN ignores i ON i.url_hash=u.url_hash",
-    "resolve_element": "SELECT r.id, CASE WHEN e.id IS NULL THEN 'broken' WHEN e.section_id IN (3,5) THEN 'ignored' WHEN NOT e.enabled OR e.date_deleted IS NOT NULL THEN 'broken' ELSE 'ok' END AS status FROM refs r LEFT JOIN elements e ON e.id=coalesce(r.owner_element_id, r.element_id) WHERE r.site_id=1",
-    "element_exists": "SELECT es.site_id, es.element_id FROM elements_sites es JOIN elements e ON e.id=es.element_id WHERE es.uri IS NOT NULL AND es.enabled AND e.enabled AND e.draft_id IS NULL AND e.date_deleted IS NULL AND e.post_date <= TIMESTAMP '1998-01-01 00:00:00' AND (e.expiry_date IS NULL OR e.expiry_date > TIMESTAMP '1998-01-01 00:00:00')",
-    "host_outcomes": "SELECT url_id, count(CASE WHEN status='unreachable' THEN 1 END) AS failures, count(CASE WHEN status IN ('ok','redirect','broken') THEN 1 END) AS successes, count(CASE WHEN status='pending' THEN 1 END) AS rate_limited FROM check_log GROUP BY url_id",
-    "panel_label": "SELECT id, CASE WHEN length(url) > 30 THEN concat(substring(url, 1, 18), '…', right(url, 11)) ELSE url END AS label FROM urls",
-    "status_labels": "SELECT status, CASE status WHEN 'ok' THEN 'Working' WHEN 'broken' THEN 'Broken' WHEN 'redirect' THEN 'Redirect' WHEN 'unreachable' THEN 'Unreachable' WHEN 'blocked' THEN 'Could not verify' WHEN 'ignored' THEN 'Ignored' WHEN 'unsafe' THEN 'Unsafe' ELSE 'Pending' END AS label, count(*) AS n FROM urls GROUP BY status",
-    "csv_cells": "SELECT id, concat('\"', replace(CASE WHEN substring(url, 1, 1) IN ('=','+','-','@') THEN concat('''', url) ELSE url END, '\"', '\"\"'), '\"') AS cell FROM urls",
-    "site_for_url": "SELECT u.id, s.site_id FROM urls u LEFT JOIN sites s ON u.url LIKE concat(s.base_url, '%')",
-    "nested_walk": "SELECT owner_id, count(*) AS nested, min(element_id) AS first_nested FROM elements_owners GROUP BY owner_id",
 }
 
 # The reference's full rules, beside the shorter statements above.  Addresses: the audit's, the sites' own and pages.
@@ -106,10 +81,9 @@ def _values(rows: tuple, columns: str) -> str:
 
 _BASES = f"SELECT site_id, lower(regexp_extract(base_url, '^[^:/?#]+://([^/?#:]*)', 1)) AS host, regexp_replace(regexp_extract(base_url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS base_path FROM (SELECT site_id, base_url FROM sites UNION ALL SELECT * FROM {_values(SUBSITES, 'site_id, base_url')}) all_sites"
 SHARED |= {
-    "get_fallback_all": "SELECT r.id, r.method='head' AND (r.http_status IN (405,501) OR (r.http_status IN (400,403,404,410,503) AND b.url_id IS NULL AND NOT (coalesce(lower(r.h_cf_mitigated) LIKE '%challenge%', false) OR (r.http_status=403 AND coalesce(lower(r.h_server) LIKE '%akamaighost%', false)) OR (r.http_status=403 AND coalesce(lower(r.h_via) LIKE '%cloudfront%', false))))) AS again FROM responses r LEFT JOIN (SELECT DISTINCT u.id AS url_id FROM urls u JOIN hosts h ON u.host=h.host OR u.host LIKE concat('%.', h.host) WHERE h.bot_hostile) b ON b.url_id=r.url_id",
-    "panel_label_all": f"SELECT source, id, CASE WHEN length(label) > 44 THEN concat(substring(label, 1, 26), '…', right(label, 17)) ELSE label END AS label FROM (SELECT a.source, a.id, CASE WHEN o.host IS NULL THEN a.url ELSE concat(CASE WHEN a.path='' THEN '/' ELSE a.path END, a.query) END AS label FROM ({_ADDRESSES}) a LEFT JOIN (SELECT DISTINCT host FROM ({_BASES}) b) o ON o.host=a.host) t",
-    "ignore_verdict_all": f"SELECT id, CASE WHEN by_hash THEN 'ignored' WHEN rule IS NOT NULL THEN 'ignore-rule' END AS reason, CASE WHEN NOT by_hash THEN rule END AS rule FROM (SELECT u.id, i.url_hash IS NOT NULL AS by_hash, m.rule, row_number() OVER (PARTITION BY u.id ORDER BY m.kind NULLS LAST, m.ord) AS k FROM urls u LEFT JOIN (SELECT DISTINCT url_hash FROM ignores) i ON i.url_hash=u.url_hash LEFT JOIN (SELECT 1 AS kind, ord, trim(rule) AS rule FROM {_values(IGNORE_HOSTS, 'ord, enabled, rule')} WHERE enabled AND trim(rule)<>'' UNION ALL SELECT 2, ord, trim(rule) FROM {_values(IGNORE_PATTERNS, 'ord, enabled, rule')} WHERE enabled AND trim(rule)<>'') m ON CASE WHEN m.kind=1 THEN u.host<>'' AND (lower(u.host)=lower(m.rule) OR right(lower(u.host), length(m.rule)+1)=concat('.', lower(m.rule))) ELSE regexp_extract(u.url, concat('(?i)^.*?(?:', m.rule, ').*$'), 0)<>'' END) t WHERE k=1",
-    "site_for_url_all": f"SELECT source, id, site_id FROM (SELECT a.source, a.id, coalesce(b.site_id, {FALLBACK_SITE}) AS site_id, row_number() OVER (PARTITION BY a.source, a.id ORDER BY length(b.base_path) DESC NULLS LAST, b.site_id) AS k FROM ({_ADDRESSES}) a LEFT JOIN ({_BASES}) b ON b.host=a.host AND (b.base_path='' OR a.path=b.base_path OR left(a.path, length(b.base_path)+1)=concat(b.base_path, '/'))) t WHERE k=1",
+    "panel_label": f"SELECT source, id, CASE WHEN length(label) > 44 THEN concat(substring(label, 1, 26), '…', right(label, 17)) ELSE label END AS label FROM (SELECT a.source, a.id, CASE WHEN o.host IS NULL THEN a.url ELSE concat(CASE WHEN a.path='' THEN '/' ELSE a.path END, a.query) END AS label FROM ({_ADDRESSES}) a LEFT JOIN (SELECT DISTINCT host FROM ({_BASES}) b) o ON o.host=a.host) t",
+    "ignore_verdict": f"SELECT id, CASE WHEN by_hash THEN 'ignored' WHEN rule IS NOT NULL THEN 'ignore-rule' END AS reason, CASE WHEN NOT by_hash THEN rule END AS rule FROM (SELECT u.id, i.url_hash IS NOT NULL AS by_hash, m.rule, row_number() OVER (PARTITION BY u.id ORDER BY m.kind NULLS LAST, m.ord) AS k FROM urls u LEFT JOIN (SELECT DISTINCT url_hash FROM ignores) i ON i.url_hash=u.url_hash LEFT JOIN (SELECT 1 AS kind, ord, trim(rule) AS rule FROM {_values(IGNORE_HOSTS, 'ord, enabled, rule')} WHERE enabled AND trim(rule)<>'' UNION ALL SELECT 2, ord, trim(rule) FROM {_values(IGNORE_PATTERNS, 'ord, enabled, rule')} WHERE enabled AND trim(rule)<>'') m ON CASE WHEN m.kind=1 THEN u.host<>'' AND (lower(u.host)=lower(m.rule) OR right(lower(u.host), length(m.rule)+1)=concat('.', lower(m.rule))) ELSE regexp_extract(u.url, concat('(?i)^.*?(?:', m.rule, ').*$'), 0)<>'' END) t WHERE k=1",
+    "site_for_url": f"SELECT source, id, site_id FROM (SELECT a.source, a.id, coalesce(b.site_id, {FALLBACK_SITE}) AS site_id, row_number() OVER (PARTITION BY a.source, a.id ORDER BY length(b.base_path) DESC NULLS LAST, b.site_id) AS k FROM ({_ADDRESSES}) a LEFT JOIN ({_BASES}) b ON b.host=a.host AND (b.base_path='' OR a.path=b.base_path OR left(a.path, length(b.base_path)+1)=concat(b.base_path, '/'))) t WHERE k=1",
 }
 
 Q = "https://ex.org/b/c?x=1"
@@ -135,6 +109,8 @@ def _links(s: SparkSession, d: str) -> DataFrame:
     return pages.select("page_id", "url", F.posexplode(found).alias("pos", "href"))
 
 
+#: Every double-quoted anchor of the pages, in page order.
+_CLEAN_SQL = r"""SELECT page_id, url, CAST(generate_subscripts(hrefs, 1) - 1 AS INT) AS pos, unnest(hrefs) AS href FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1) AS hrefs FROM pages) a"""
 _RESOLVED_ALL = r"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1) AS found FROM pages),
  b AS (SELECT page_id, url, unnest(found) AS href, CAST(generate_subscripts(found, 1) - 1 AS INT) AS pos, concat(' ', chr(9), chr(10), chr(13), chr(0), chr(11)) AS blank FROM a),
  c AS (SELECT page_id, pos, trim(href, blank) AS raw, regexp_extract(url, '^([^:/?#]+)://', 1) AS bscheme, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS bauth, coalesce(nullif(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), ''), '/') AS bpath,
@@ -143,7 +119,7 @@ _RESOLVED_ALL = r"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '(?
   CASE WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN ref WHEN bauth = '' THEN NULL WHEN starts_with(ref, '//') THEN concat(bscheme, ':', ref) WHEN starts_with(ref, '/') THEN concat(bscheme, '://', bauth, ref) WHEN starts_with(ref, '?') THEN concat(bscheme, '://', bauth, bpath, ref) ELSE concat(bscheme, '://', bauth, regexp_replace(bpath, '[^/]*$', ''), ref) END AS whole FROM c),
  e AS (SELECT page_id, pos, checkable, lower(regexp_extract(whole, '^([^:/?#]+):', 1)) AS scheme, regexp_replace(regexp_extract(whole, '^[^:/?#]+://([^/?#]*)', 1), '^.*@', '') AS auth, replace(regexp_extract(whole, '(?s)^[^:/?#]+:(?://[^/?#]*)?([^?#]*)', 1), ' ', '%20') AS path, regexp_extract(whole, '(?s)^[^?#]*\?([^#]*)', 1) AS query FROM d),
  f AS (SELECT page_id, pos, checkable, scheme, lower(regexp_replace(auth, ':[0-9]*$', '')) AS host, regexp_extract(auth, ':([0-9]+)$', 1) AS port, path,
-  replace(array_to_string(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=]*|fbclid|gclid|gclsrc|dclid|gbraid|wbraid|msclkid|mc_cid|mc_eid|igshid|yclid|_hsenc|_hsmi)(=|$)')), '&'), ' ', '%20') AS query FROM e),
+  replace(array_to_string(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=]*|_hsenc|_hsmi|dclid|fbclid|gbraid|gclid|igshid|mc_cid|mc_eid|msclkid|ttclid|wbraid|yclid)(=|$)')), '&'), ' ', '%20') AS query FROM e),
  g AS (SELECT page_id, pos, checkable, scheme, host, port,
   array_to_string(list_transform(string_split(path, '%'), lambda p, i: CASE WHEN i = 1 THEN p WHEN NOT regexp_matches(p, '^[0-9A-Fa-f]{2}') THEN concat('%', p) WHEN regexp_matches(p, '^(2[DdEe]|3[0-9]|[46][1-9A-Fa-f]|[57][0-9Aa]|5[Ff]|7[Ee])') THEN concat(chr(CAST(concat('0x', p[1:2]) AS INT)), p[3:]) ELSE concat('%', upper(p[1:2]), p[3:]) END), '') AS path,
   array_to_string(list_transform(string_split(query, '%'), lambda p, i: CASE WHEN i = 1 THEN p WHEN NOT regexp_matches(p, '^[0-9A-Fa-f]{2}') THEN concat('%', p) WHEN regexp_matches(p, '^(2[DdEe]|3[0-9]|[46][1-9A-Fa-f]|[57][0-9Aa]|5[Ff]|7[Ee])') THEN concat(chr(CAST(concat('0x', p[1:2]) AS INT)), p[3:]) ELSE concat('%', upper(p[1:2]), p[3:]) END), '') AS query FROM f),
@@ -173,7 +149,6 @@ PAIRED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
  FROM (SELECT *, lag(now, 1, 'pending') OVER (PARTITION BY url_id ORDER BY checked_at, check_id) AS before FROM (SELECT *, CASE WHEN status='unreachable' AND fails >= CASE WHEN reason='dns' THEN 2 ELSE 3 END THEN 'broken' ELSE status END AS now
  FROM (SELECT *, sum(CASE WHEN status='unreachable' THEN 1 ELSE 0 END) OVER (PARTITION BY url_id, g ORDER BY checked_at, check_id) AS fails FROM (SELECT *, sum(CASE WHEN status IN ('ok','redirect') THEN 1 ELSE 0 END) OVER (PARTITION BY url_id ORDER BY checked_at, check_id) AS g FROM check_log WHERE status<>'pending') a) b) c) e GROUP BY url_id""",
     ),
-    "fetch_plan": (lambda s, d: fold.fetch_plan(bridge.view(s, d, "urls")), SHARED["fetch_order"]),
     "normalise_urls": (
         lambda s, d: _url_frame(s, d).select("page_id", U.normalised(F.col("url")).alias("norm")),
         r"""SELECT page_id, concat(lower(regexp_extract(url, '^([a-z]+)://', 1)), '://', lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/'),
@@ -182,10 +157,6 @@ PAIRED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "url_hash": (lambda s, d: _url_frame(s, d).select("page_id", U.fingerprint(F.col("url")).alias("hash")), "SELECT page_id, sha1(url) AS hash FROM pages"),
     "host_of": (lambda s, d: _url_frame(s, d).select("page_id", U.host_of(F.col("url")).alias("host")), "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host FROM pages"),
     "scheme_kind": (
-        lambda s, d: _examples(s).select("id", U.scheme_kind(F.col("href")).alias("kind")),
-        "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}')" for i, k in enumerate("checkable checkable checkable checkable checkable skippable skippable skippable unknown checkable checkable checkable skippable checkable checkable".split())) + ") v(id, kind)",
-    ),
-    "scheme_kind_all": (
         lambda s, d: _links(s, d).select("page_id", "pos", U.scheme_kind(F.col("href")).alias("kind")),
         r"""SELECT page_id, pos, CASE WHEN raw='' OR starts_with(raw, '#') OR scheme IN ('data', 'javascript', 'mailto', 'sms', 'tel') THEN 'skippable' WHEN scheme IN ('', 'http', 'https') THEN 'checkable' ELSE 'unknown' END AS kind FROM (SELECT page_id, pos, raw, lower(regexp_extract(raw, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme FROM (SELECT page_id, CAST(pos - 1 AS INT) AS pos, trim(href, concat(' ', chr(9), chr(10), chr(13), chr(0), chr(11))) AS raw FROM (SELECT page_id, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1) AS hrefs FROM pages) a) b) c) t""",
     ),
@@ -202,16 +173,13 @@ PAIRED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         )
         + ") v(id, url)",
     ),
-    "extract_links": (lambda s, d: _links(s, d).select("page_id", "href").groupBy("page_id", "href").agg(F.count("*").alias("n")), r"""SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1)) AS href FROM pages) t GROUP BY page_id, href"""),
-    "dedupe_links": (lambda s, d: _links(s, d).groupBy("page_id").agg(F.count_distinct("href").alias("n")), r"""SELECT page_id, count(DISTINCT href) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1)) AS href FROM pages) t GROUP BY page_id"""),
-    "resolved_links": (lambda s, d: _links(s, d).where(F.col("href").rlike("^/[A-Za-z]+$")).select("page_id", "pos", U.normalised(F.col("href"), F.col("url")).alias("link")), r"""SELECT page_id, CAST(pos - 1 AS INT) AS pos, concat(lower(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)), href) AS link FROM (SELECT page_id, url, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1) AS hrefs FROM pages) a) t WHERE regexp_matches(href, '^/[A-Za-z]+$')"""),
-    "extract_links_all": (
+    "extract_links": (
         lambda s, d: links.extracted(s.read.parquet(f"{d}/pages.parquet").select("page_id", "html")),
         r"""SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY tag, k) - 1 AS INT) AS pos, tag, href, text FROM (
  SELECT page_id, 'a' AS tag, generate_subscripts(found, 1) AS k, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1)) AS href, regexp_replace(unnest(found), '<[^>]*>', '', 'g') AS text FROM (SELECT page_id, html, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"[^"]*"[^>]*>(.*?)</a>', 1) AS found FROM pages) t
  UNION ALL SELECT page_id, tag, k, regexp_extract(piece, '(?is)\b(?:href|src)\s*=\s*"([^"]*)"', 1), regexp_extract(piece, '(?is)\balt\s*=\s*"([^"]*)"', 1) FROM (SELECT page_id, lower(regexp_extract(unnest(found), '(?i)^<([a-z]+)', 1)) AS tag, unnest(found) AS piece, generate_subscripts(found, 1) AS k FROM (SELECT page_id, regexp_extract_all(html, '(?is)<(?:area\b[^>]*?\bhref|img\b[^>]*?\bsrc)\s*=\s*"[^>]*>', 0) AS found FROM pages) t) u) v""",
     ),
-    "resolved_links_all": (lambda s, d: _links(s, d).select("page_id", "pos", U.normalised(F.col("href"), F.col("url")).alias("link")), _RESOLVED_ALL),
+    "resolved_links": (lambda s, d: _links(s, d).select("page_id", "pos", U.normalised(F.col("href"), F.col("url")).alias("link")), _RESOLVED_ALL),
 }
 
 
@@ -219,9 +187,18 @@ def _shared(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: bridge.run(spark, sf_dir, bridge.with_views(sql))
 
 
+def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
+    from . import audit
+
+    out = {n: (audit.OPERATORS.get(n) or _shared(q), q) for n, q in SHARED.items()} | PAIRED
+    for name, (run, sql) in audit.PAIRED.items():
+        out[name] = (run, sql or out.get(name, (None, ""))[1])
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**{n: _shared(q) for n, q in SHARED.items()}, **{n: f for n, (f, _) in PAIRED.items()}}
+    return {n: f for n, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: bridge.with_views(q) for n, q in {**SHARED, **{n: q for n, (_, q) in PAIRED.items()}}.items()}
+    return {n: bridge.with_views(q) for n, (_, q) in _all().items() if q}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that the views read.
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages")
 
 VIEWS: dict[str, str] = {}
@@ -21,6 +22,8 @@ SELECT id, url, sha1(url) AS url_hash, host, scheme, is_internal, status,
  CAST(id%4 AS BIGINT) AS fail_count,
  TIMESTAMP '2024-01-01 00:00:00' + CAST(id%30 AS INT) * INTERVAL '1' DAY AS date_first_seen,
  CASE WHEN status<>'pending' THEN TIMESTAMP '2024-02-01 00:00:00' + CAST(id%28 AS INT) * INTERVAL '1' DAY END AS date_last_checked,
+ CASE WHEN status='redirect' THEN concat(url, '/new') END AS final_url,
+ CASE WHEN status='broken' AND id%6<>0 THEN TIMESTAMP '2024-01-25 00:00:00' + CAST(id%33 AS INT) * INTERVAL '1' DAY END AS date_last_broken,
  CASE WHEN status IN ('ok','redirect') OR id%7=0 THEN TIMESTAMP '2024-01-20 00:00:00' + CAST(id%40 AS INT) * INTERVAL '1' DAY END AS date_last_ok,
  CASE WHEN status IN ('pending','ignored','unsafe') AND id%5<>0 THEN NULL ELSE TIMESTAMP '2024-02-15 00:00:00' + CAST(id%45 AS INT) * INTERVAL '1' DAY END AS next_check_after
  FROM (SELECT p_partkey AS id, CASE WHEN p_partkey%40=0 THEN 'element:'||CAST(p_partkey AS VARCHAR(20)) ELSE 'https://'||'host'||CAST(p_partkey%37 AS VARCHAR(20))||'.example.org/p/'||CAST(p_partkey AS VARCHAR(20)) END AS url,
@@ -29,14 +32,16 @@ SELECT id, url, sha1(url) AS url_hash, host, scheme, is_internal, status,
  CASE p_size%10 WHEN 0 THEN 'pending' WHEN 1 THEN 'broken' WHEN 2 THEN 'broken' WHEN 3 THEN 'redirect' WHEN 4 THEN 'unreachable' WHEN 5 THEN 'blocked' WHEN 6 THEN 'ignored' WHEN 7 THEN 'unsafe' ELSE 'ok' END AS status FROM part) t
 """
 VIEWS["refs"] = """
-SELECT CAST(row_number() OVER (ORDER BY l_orderkey,l_linenumber,l_partkey,l_suppkey,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate) AS BIGINT) AS id,
- l_partkey AS url_id, l_orderkey*10+l_linenumber AS element_id,
- CASE WHEN l_linenumber>2 THEN l_orderkey*10 END AS owner_element_id,
+SELECT (((CAST(l_orderkey AS BIGINT)*10+l_linenumber)*100000+l_partkey)*2000+l_suppkey)*64+CAST(l_quantity AS BIGINT) AS id,
+ l_partkey AS url_id, CASE WHEN l_partkey%59=0 THEN 10 ELSE l_orderkey*10+l_linenumber END AS element_id,
+ CASE WHEN l_linenumber>2 AND l_partkey%59<>0 THEN l_orderkey*10 END AS owner_element_id,
+ CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN 'intro' ELSE 'body' END AS field_handle,
+ CASE l_linenumber WHEN 1 THEN '=SUM(A1)' WHEN 2 THEN 'say "hi", you' WHEN 3 THEN NULL WHEN 4 THEN '-5' WHEN 5 THEN concat(chr(9), 'x') ELSE 'Link' END AS link_text,
  CASE l_linestatus WHEN 'O' THEN 'Entry' ELSE 'Category' END AS element_type,
  CAST(n_regionkey+1 AS BIGINT) AS site_id,
  CASE l_returnflag WHEN 'A' THEN 'field' WHEN 'N' THEN 'nav' ELSE 'rendered' END AS source,
  CASE WHEN l_suppkey%9=0 THEN NULL ELSE CAST(l_suppkey%6+1 AS BIGINT) END AS scan_id, l_shipdate AS date_created
- FROM lineitem JOIN orders ON o_orderkey=l_orderkey JOIN customer ON c_custkey=o_custkey JOIN nation ON n_nationkey=c_nationkey
+ FROM lineitem JOIN orders ON o_orderkey=l_orderkey JOIN customer ON c_custkey=o_custkey JOIN nation ON n_nationkey=c_nationkey WHERE l_partkey%53<>0
 """
 VIEWS["elements_sites"] = """
 SELECT o_orderkey*10 AS element_id, CAST(n_regionkey+1 AS BIGINT) AS site_id,
@@ -58,8 +63,9 @@ VIEWS["scans"] = """
 SELECT CAST(n_nationkey+1 AS BIGINT) AS id, CASE WHEN n_nationkey%3=0 THEN NULL ELSE CAST(n_regionkey+1 AS BIGINT) END AS site_id,
  CASE n_nationkey%4 WHEN 0 THEN 'full' WHEN 1 THEN 'incremental' WHEN 2 THEN 'check-only' ELSE 'single' END AS mode,
  CASE n_nationkey%6 WHEN 0 THEN 'complete' WHEN 1 THEN 'complete' WHEN 2 THEN 'cancelled' WHEN 3 THEN 'failed' WHEN 4 THEN 'complete' ELSE 'checking' END AS status,
- TIMESTAMP '2024-01-01 00:00:00' + CAST(n_nationkey AS INT) * INTERVAL '1' DAY AS date_started,
- CASE WHEN n_nationkey%6<>5 THEN TIMESTAMP '2024-01-01 02:00:00' + CAST(n_nationkey AS INT) * INTERVAL '1' DAY END AS date_finished,
+ CASE WHEN n_nationkey%10<>4 THEN TIMESTAMP '2024-01-01 00:00:00' + CAST(n_nationkey AS INT) * INTERVAL '1' DAY END AS date_started,
+ TIMESTAMP '2023-12-31 23:50:00' + CAST(n_nationkey AS INT) * INTERVAL '1' DAY AS date_created,
+ CASE WHEN n_nationkey%6<>5 THEN TIMESTAMP '2024-01-01 02:00:00' + CAST(n_nationkey AS INT) * INTERVAL '1' DAY + CAST(n_nationkey*n_nationkey AS INT) * INTERVAL '7' SECOND END AS date_finished,
  TIMESTAMP '2024-01-01 01:30:00' + CAST(n_nationkey AS INT) * INTERVAL '1' DAY AS date_updated FROM nation
 """
 VIEWS["ignores"] = """
@@ -67,8 +73,8 @@ SELECT id, 'url' AS scope, url_hash, url AS value, date_first_seen AS date_creat
  UNION ALL SELECT p_partkey+100000, 'url', sha1('https://gone.example.org/'||CAST(p_partkey AS VARCHAR(20))), 'https://gone.example.org/'||CAST(p_partkey AS VARCHAR(20)), TIMESTAMP '2024-01-05 00:00:00', CAST(NULL AS BIGINT) FROM part WHERE p_partkey<20
 """
 VIEWS["hosts"] = """
-SELECT host, CAST(length(host)%5 AS BIGINT) AS consecutive_failures, CASE WHEN length(host)%2=0 THEN 1000 END AS min_delay_ms, host LIKE '%7.%' AS bot_hostile FROM (SELECT DISTINCT host FROM urls WHERE host<>'') h
- UNION ALL SELECT 'unused'||CAST(s_suppkey AS VARCHAR(20))||'.example.net', CAST(0 AS BIGINT), CAST(NULL AS INT), false FROM supplier WHERE s_suppkey<5
+SELECT host, CAST(length(host)%5 AS BIGINT) AS consecutive_failures, CASE WHEN length(host)%2=0 THEN 1000 END AS min_delay_ms, host LIKE '%7.%' AS bot_hostile, CASE WHEN host LIKE '%3.%' THEN TIMESTAMP '2024-03-01 00:10:00' WHEN host LIKE '%4.%' THEN TIMESTAMP '2024-02-01 00:00:00' END AS blocked_until FROM (SELECT DISTINCT host FROM urls WHERE host<>'') h
+ UNION ALL SELECT 'unused'||CAST(s_suppkey AS VARCHAR(20))||'.example.net', CAST(0 AS BIGINT), CAST(NULL AS INT), false, CAST(NULL AS TIMESTAMP) FROM supplier WHERE s_suppkey<5
 """
 VIEWS["check_log"] = """
 SELECT event_id AS check_id, user_id AS url_id, ts AS checked_at,
@@ -84,6 +90,37 @@ SELECT event_id AS id, user_id AS url_id, ts AS responded_at, CASE WHEN event_id
  CASE WHEN event_id%10=5 THEN 'please solve this captcha' WHEN event_id%10=6 THEN 'just a moment' END AS body,
  CASE event_id%3 WHEN 0 THEN '120' WHEN 1 THEN NULL ELSE '999999999999' END AS h_retry_after FROM events
 """
+VIEWS["replies"] = """
+SELECT event_id AS id, ts AS replied_at, 'https://'||host||'/p/'||CAST(user_id AS VARCHAR(20)) AS url, host, CASE WHEN event_id%2=0 THEN 'HEAD' ELSE 'GET' END AS method,
+ CASE event_id%17 WHEN 0 THEN 404 WHEN 1 THEN 410 WHEN 2 THEN 403 WHEN 3 THEN 429 WHEN 4 THEN 500 WHEN 5 THEN 503 WHEN 6 THEN 401 WHEN 7 THEN 405 WHEN 8 THEN 999 WHEN 9 THEN 304 WHEN 10 THEN 403 WHEN 11 THEN 503 WHEN 12 THEN NULL ELSE 200 END AS http_status,
+ CASE event_id%5 WHEN 0 THEN '' WHEN 1 THEN '302' WHEN 2 THEN '302,301' WHEN 3 THEN '' ELSE '307,308,302' END AS hops,
+ CASE event_id%5 WHEN 0 THEN NULL WHEN 3 THEN NULL ELSE 'https://'||host||CASE WHEN event_id%3=0 THEN '/Accounts/Login?next=x' ELSE '/home' END END AS final_url,
+ CASE event_id%9 WHEN 0 THEN 'cloudflare' WHEN 1 THEN 'AkamaiGHost' ELSE 'nginx' END AS h_server, CASE WHEN event_id%11=2 THEN '1.1 abc.CloudFront.net' END AS h_via,
+ CASE WHEN event_id%19=0 THEN 'Error from cloudfront' END AS h_x_cache, CASE WHEN event_id%23=0 THEN 'block' END AS h_waf, CASE WHEN event_id%13=0 THEN 'Challenge' END AS h_cf_mitigated,
+ CASE event_id%29 WHEN 0 THEN 'datadome=abc; path=/' WHEN 1 THEN 'visid_incap_1=x' ELSE NULL END AS h_set_cookie, CASE WHEN event_id%31=0 THEN 'protected' END AS h_x_datadome,
+ CASE WHEN event_id%37=0 THEN '1' END AS h_x_px, CASE WHEN event_id%41=0 THEN '9-1' END AS h_x_iinfo,
+ CASE event_id%10 WHEN 5 THEN 'Please solve this CAPTCHA' WHEN 6 THEN 'Just a moment' WHEN 7 THEN 'error code: 1020' WHEN 8 THEN 'var _pxhd=1' END AS body,
+ CASE event_id%7 WHEN 0 THEN '120' WHEN 1 THEN NULL WHEN 2 THEN 'Fri, 01 Mar 2024 00:02:00 GMT' WHEN 3 THEN 'Sat, 02 Mar 2024 12:00:00 GMT' WHEN 4 THEN 'Thu, 29 Feb 2024 00:00:00 GMT' WHEN 5 THEN 'soon' ELSE '999999999999' END AS h_retry_after,
+ CASE event_id%12 WHEN 0 THEN 'cURL error 60: SSL certificate problem (see https://curl.haxx.se/libcurl/c/libcurl-errors.html) for https://x' WHEN 1 THEN 'cURL error 6: Could not resolve host: x.example (see https://curl.haxx.se/libcurl/c/libcurl-errors.html)' WHEN 2 THEN 'Operation timed out after 20001 ms' WHEN 3 THEN 'Connection refused' WHEN 4 THEN 'Status code must be an integer value between 1xx and 5xx.' WHEN 5 THEN 'cURL error 7:' WHEN 6 THEN '' ELSE 'TLS handshake' END AS message,
+ CASE event_id%15 WHEN 0 THEN 'unsafe-dns' WHEN 1 THEN 'unsafe' WHEN 2 THEN 'redirects' ELSE 'other' END AS error_kind,
+ CASE event_id%4 WHEN 0 THEN 'dns' WHEN 1 THEN 'private-ip' WHEN 2 THEN 'scheme' END AS refusal
+ FROM (SELECT event_id, ts, user_id, CASE event_id%8 WHEN 0 THEN 'www.facebook.com' WHEN 1 THEN 'x.com' WHEN 2 THEN 'notx.com' ELSE 'host'||CAST(user_id%37 AS VARCHAR(20))||'.example.org' END AS host FROM events) e
+"""
+VIEWS["host_log"] = """
+SELECT 'host'||CAST(user_id%23 AS VARCHAR(20))||'.example.org' AS host, ts AS seen_at, event_id AS seq, CASE event_type WHEN 'view' THEN 'ok' WHEN 'click' THEN 'blocked' WHEN 'signup' THEN 'broken' WHEN 'error' THEN 'unreachable' ELSE 'pending' END AS status,
+ CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 403 WHEN 'signup' THEN 404 WHEN 'error' THEN 503 ELSE 429 END AS http_status, CAST(CASE WHEN event_id%3=0 THEN NULL ELSE event_id%1500 END AS BIGINT) AS wait FROM events
+"""
+VIEWS["nesting"] = """
+SELECT CAST(p_partkey AS BIGINT) AS element_id, CASE WHEN p_partkey=1 THEN CAST(5 AS BIGINT) ELSE CAST(floor(p_partkey/3.0) AS BIGINT) END AS owner_id FROM part WHERE p_partkey>0
+"""
+VIEWS["nodes"] = """
+SELECT CAST(s_suppkey AS BIGINT) AS node_id, CAST(s_nationkey%5+1 AS BIGINT) AS site_id, 'Node '||CAST(s_suppkey AS VARCHAR(20)) AS title,
+ CASE s_suppkey%4 WHEN 0 THEN 'passive' WHEN 1 THEN 'element' ELSE 'custom' END AS kind, CASE WHEN s_suppkey%4=1 AND s_suppkey%5<>0 THEN CAST(s_suppkey*10 AS BIGINT) END AS target_id,
+ CASE s_suppkey%9 WHEN 0 THEN '{entry}' WHEN 1 THEN '$HOME_URL' WHEN 2 THEN '@web/x' WHEN 3 THEN '  ' WHEN 4 THEN 'mailto:a@b.example' WHEN 5 THEN '/about' ELSE 'https://Host1.example.org:443/a/../b' END AS raw_url, CASE WHEN s_suppkey%2=0 THEN '?utm_source=nav&x=1' END AS suffix FROM supplier
+"""
+VIEWS["values_"] = """
+SELECT CAST(c_custkey AS BIGINT) AS id, CASE c_custkey%7 WHEN 0 THEN '  HTTPS://host1.example.org/a ' WHEN 1 THEN 'see http://x.example' WHEN 2 THEN 'http://y.example/ b' WHEN 3 THEN c_name WHEN 4 THEN 'ftp://u:p@h.example/f' WHEN 5 THEN NULL ELSE 'http://z.example/'||CAST(c_custkey AS VARCHAR(20)) END AS value FROM customer
+"""
 NEEDS = {"ignores": ("urls",), "hosts": ("urls",)}
 
 
@@ -103,12 +140,15 @@ def with_views(sql: str) -> str:
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """sql with its tables read from sf_dir; no view of the caller's session is touched."""
     import re
 
+    sql, tables = sql.replace("{", "{{").replace("}", "}}"), {}
     for name in RAW:
-        if re.search(rf"\b{name}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return spark.sql(sql)
+        new = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}} AS {name}", sql)
+        if new != sql:
+            sql, tables[name] = new, spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.sql(sql, **tables)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
