@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns renamed c0, c1, ..., and each name's new one: beside them no other name can clash."""
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*inner.values()), inner
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, mix, stored
+from .common import held_out, mix, shielded, stored
 
 SAMPLE = 1500
 ORDERS = (2, 3, 4)
@@ -179,8 +179,9 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
         return pd.DataFrame([f.predict(t) for t in texts], columns=["lang", "score"]).astype({"lang": "object", "score": "float64"})
 
     kept = [c for c in docs.columns if c not in ("__lang", "__lang_score")]
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), run(text).alias("__p"))
-    return out.select(*[F.col("__row").getField(c).alias(c) for c in kept], F.col("__p.lang").alias("__lang"), F.col("__p.score").alias("__lang_score"))
+    out, inner = shielded(docs)
+    out = out.withColumn("__p", run(inner[text]))
+    return out.select(*[F.col(inner[c]).alias(c) for c in kept], F.col("__p.lang").alias("__lang"), F.col("__p.score").alias("__lang_score"))
 
 
 def digest(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

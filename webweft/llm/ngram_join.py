@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed, components, discard, shingles, stored
+from .common import bucketed, components, discard, shielded, shingles, stored
 
 #: Shingles in over max(HEAVY_LEAST, documents / HEAVY_SHARE) documents' prefix regions come last in the order.
 #: Hence at most HEAVY_SHARE times the mean region length of them: a bounded list that every task may hold.
@@ -365,17 +365,17 @@ def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     without words stay.  No column name is reserved."""
     marked = stored(_marked(docs, k, num, den).where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("__k"), "fp", "first"), "marked")
     twice = stored(marked.groupBy("__k").count().where("count > 1").select("__k"), "repeated")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")
-    rows = docs.select(row, F.col("doc_id").cast("long").alias("__id"))
+    rows, inner = shielded(docs)
+    rows = rows.withColumn("__id", F.col(inner["doc_id"]).cast("long"))
     same = F.col("__id") == F.col("__k")
-    plain = [F.col("__doc").getField(c).alias(c) for c in docs.columns]
+    plain = [F.col(i).alias(c) for c, i in inner.items()]
     drop = marked.where("not first").join(twice, "__k", "left_anti").select("__k")
     rest = rows.join(drop, same, "left_anti")
     if twice.isEmpty():
         return rest.select(*plain)
-    text = F.col("__doc").getField("text")
+    text = F.col(inner["text"])
     again = rest.join(twice, same, "left_semi").withColumn("fp", _fingerprint(k)(text)).withColumn("__empty", ~F.coalesce(text, F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
     blank = again.where("__empty")
     kept = again.where("not __empty").join(marked.where("first").select("__k", F.col("fp").alias("__fp")).distinct(), same & (F.col("fp") == F.col("__fp")), "left_semi")
-    one = kept.withColumn("__h", F.row_number().over(Window.partitionBy("__id", "fp").orderBy(F.xxhash64("__doc")))).where("__h = 1")
-    return rest.join(twice, same, "left_anti").select("__doc").unionByName(blank.select("__doc")).unionByName(one.select("__doc")).select(*plain)
+    one = kept.withColumn("__h", F.row_number().over(Window.partitionBy("__id", "fp").orderBy(F.xxhash64(*inner.values())))).where("__h = 1")
+    return rest.join(twice, same, "left_anti").select(*plain).unionByName(blank.select(*plain)).unionByName(one.select(*plain))

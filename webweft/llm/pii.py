@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import shielded
+
 ROUNDS = 8
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -286,7 +288,8 @@ def pseudonym(m: Column, key: str) -> Column:
 def redact(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with the text column pseudonymised and `__found`: the kinds of the validated finds, in order."""
     plain = F.coalesce(F.col("__t"), F.lit(""))
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__t"))
+    out, inner = shielded(docs)
+    out = out.withColumnRenamed(inner[text], "__t")
     out = out.withColumn("__v", valid_numbers(plain))
     out = out.withColumn("__f", _find(F.col("__v")))
     out = out.withColumn("__m", F.regexp_extract_all(plain, F.col("__f"), F.lit(0)))
@@ -295,17 +298,17 @@ def redact(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     new = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("__m")), F.col("__p.value"), lambda g, v: F.concat(g, v)), ""), F.element_at(gaps, -1))
     out = out.withColumn("__new", F.when(F.col("__p").isNull(), F.col("__t")).otherwise(new))
     found = F.when(F.col("__p").isNull(), F.array().cast("array<string>")).otherwise(F.filter("__p.kind", lambda k: k.isNotNull()))
-    kept = [F.col("__new").alias(c) if c == text else F.col("__row").getField(c).alias(c) for c in docs.columns if c != "__found"]
+    kept = [F.col("__new").alias(c) if c == text else F.col(inner[c]).alias(c) for c in docs.columns if c != "__found"]
     return out.select(*kept, found.alias("__found"))
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """docs, whatever its columns' names, with the text pseudonymised and n_chars, if there is one, set anew."""
-    cols = docs.columns
-    held = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__doc"))
-    out = redact(held, key)
-    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in cols else {})
-    return out.select(*[new.get(c, F.col("__doc").getField(c)).alias(c) for c in cols])
+    held, inner = shielded(docs)
+    out = redact(held, key, inner["text"])
+    if "n_chars" in inner:
+        out = out.withColumn(inner["n_chars"], F.length(inner["text"]).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(i).alias(c) for c, i in inner.items()])
 
 
 COUNTED = ("email", "phone", "card", "iban", "ssn", "ip", "date")

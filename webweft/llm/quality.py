@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, stored
+from .common import held_out, shielded, stored
 
 SAMPLE = 4000
 THRESHOLD = 0.3
@@ -230,33 +230,35 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     return net, *calibrate(_forward(xp, net)[1], _forward(xu, net)[1], prior), lex, prior
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, model=None) -> DataFrame:
-    """docs with `__score` (double) and `__predicted` (int)."""
-    model = train(docs, labels, sample) if model is None else model
-    kept = [c for c in docs.columns if c not in ("__score", "__predicted")]
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+def _scored(docs: DataFrame, model) -> tuple[DataFrame, dict[str, str]]:
+    """docs as shielded, with `__s`."""
+    out, inner = shielded(docs)
     if isinstance(model, float):
-        scored = docs.select(row, F.lit(model).alias("__s"))
-    else:
-        shared = docs.sparkSession.sparkContext.broadcast(model)  # the lexicon's 256 KB and some hundred weights
+        return out.withColumn("__s", F.lit(model)), inner
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the lexicon's 256 KB and some hundred weights
+
+    @F.pandas_udf("double")
+    def scorer(text: pd.Series) -> pd.Series:
+        net, a, b, lex, _ = shared.value
+        if not len(text):
+            return pd.Series([], dtype=float)
+        x = np.array([features(t, lex) for t in text], float)
+        return pd.Series(1 / (1 + np.exp(-np.clip(a * _forward(x, net)[1] + b, -30, 30))))
 
-        @F.pandas_udf("double")
-        def scorer(text: pd.Series) -> pd.Series:
-            net, a, b, lex, _ = shared.value
-            if not len(text):
-                return pd.Series([], dtype=float)
-            x = np.array([features(t, lex) for t in text], float)
-            return pd.Series(1 / (1 + np.exp(-np.clip(a * _forward(x, net)[1] + b, -30, 30))))
+    return out.withColumn("__s", scorer(inner["text"])), inner
 
-        scored = docs.select(row, scorer("text").alias("__s"))
-    return scored.select(*[F.col("__row").getField(c).alias(c) for c in kept], F.col("__s").alias("__score"), F.when(F.col("__s") >= threshold, 1).otherwise(0).alias("__predicted"))
+
+def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, model=None) -> DataFrame:
+    """docs with `__score` (double) and `__predicted` (int)."""
+    scored, inner = _scored(docs, train(docs, labels, sample) if model is None else model)
+    kept = [F.col(inner[c]).alias(c) for c in docs.columns if c not in ("__score", "__predicted")]
+    return scored.select(*kept, F.col("__s").alias("__score"), F.when(F.col("__s") >= threshold, 1).otherwise(0).alias("__predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier accepts, with the columns of docs whatever their names."""
-    held = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
-    good = score(held, labels, **how).where("__predicted = 1")
-    return good.select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns])
+    scored, inner = _scored(docs, train(docs, labels, sample))
+    return scored.where(F.col("__s") >= threshold).select(*[F.col(i).alias(c) for c, i in inner.items()])
 
 
 def digest(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

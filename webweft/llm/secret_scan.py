@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import shielded, text_or_empty
 
 ASSIGN = """(?i)(password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{16,}"  # AKIA and everything after it, 20 characters or more
@@ -181,7 +181,8 @@ def scan(docs: DataFrame, text: str = "text", classes: tuple[EntropyClass, ...]
         ("access", ACCESS, lambda m: F.lit(True)),
         ("hex", HEX, lambda m: F.lit(True)),
     )
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), text_or_empty(text).alias("__t"))
+    out, inner = shielded(docs)
+    out = out.withColumn("__t", text_or_empty(inner[text]))
     for kind, pattern, keep in rules:
         out = out.withColumn(f"__m_{kind}", F.regexp_extract_all("__t", F.lit(pattern), F.lit(0)))
         out = out.withColumn(f"__s_{kind}", _spans(F.slice(F.split("__t", pattern, -1), 1, F.size(f"__m_{kind}")), F.col(f"__m_{kind}"), kind, keep))
@@ -208,7 +209,7 @@ def scan(docs: DataFrame, text: str = "text", classes: tuple[EntropyClass, ...]
         out = out.withColumn(f"__e_{k}", _entropy_spans(F.col(f"__c_{k}"), cls)).withColumn(f"__u_{k}", _blanked(left, run, F.col(f"__m_{k}"), both))
         spans, left = [*spans, f"__e_{k}"], F.col(f"__u_{k}")
     out = out.withColumn("__spans", F.array_sort(F.concat(*spans)))
-    kept = [F.col("__row").getField(c).alias(c) for c in docs.columns if c not in ("__base", "__spans")]
+    kept = [F.col(inner[c]).alias(c) for c in docs.columns if c not in ("__base", "__spans")]
     return out.select(*kept, "__base", "__spans")
 
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, text_or_empty
+from .common import WORD, shielded, stored, text_or_empty
 
 MAX_SOURCES = 1 << 18
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -215,21 +215,22 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     # Repeated rows (same id and text) are numbered on both sides alike, so each keeps its own other columns.
     same = ["__id", "__source", "__tie"]
     per = p.groupBy(*same, "__size", "__rank", "__bucket", "__row").agg(F.collect_list("ranges").alias("__lists"))
-    texts = docs.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.xxhash64("text").alias("__tie"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__doc"))
+    texts, inner = shielded(docs)
+    texts = texts.withColumn("__id", F.col(inner["doc_id"])).withColumn("__source", F.col(inner["source"])).withColumn("__tie", F.xxhash64(inner["text"]))
     often = stored(per.groupBy(*same).agg(F.count("*").alias("__n")).where("__n > 1").select(*same), "repeated")
     if not often.isEmpty():
         nth = lambda d, order: d.withColumn("__nth", F.row_number().over(Window.partitionBy(*same).orderBy(*order)))
         # Numbers past the repeats of a document stay with it: a document of size 0 is in neither side.
-        per, texts = nth(per, ["__bucket", "__row"]), nth(texts, [F.xxhash64("__doc")])
+        per, texts = nth(per, ["__bucket", "__row"]), nth(texts, [F.xxhash64(*inner.values())])
     else:
         per, texts = per.withColumn("__nth", F.lit(1)), texts.withColumn("__nth", F.lit(1))
     left, right = texts.alias("l"), per.alias("r")
     on = F.col("l.__id").eqNullSafe(F.col("r.__id")) & F.col("l.__source").eqNullSafe(F.col("r.__source")) & (F.col("l.__tie") == F.col("r.__tie")) & (F.col("l.__nth") == F.col("r.__nth"))
-    both = left.join(right, on).select("l.__doc", "r.__size", F.explode("r.__lists").alias("__ranges"))
-    text = F.col("__doc").getField("text")
+    both = left.join(right, on).select(*[f"l.{i}" for i in inner.values()], "r.__size", F.explode("r.__lists").alias("__ranges"))
+    text = F.col(inner["text"])
     # The words are found once a row: an array of one element gives them a name.
     some = F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), lambda words: F.array_join(F.flatten(F.transform("__ranges", lambda r: F.slice(words, (r["start"] + 1).cast("int"), r["length"].cast("int")))), " ")), 1)
     n = F.aggregate("__ranges", F.lit(0).cast("long"), lambda a, r: a + r["length"])
     both = both.withColumn("__new", F.when(n == F.col("__size"), text).otherwise(some))
     new = {"text": F.col("__new")} | ({"n_chars": F.length("__new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in cols else {})
-    return both.select(*[new.get(c, F.col("__doc").getField(c)).alias(c) for c in cols])
+    return both.select(*[new.get(c, F.col(inner[c])).alias(c) for c in cols])
