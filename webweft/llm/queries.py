@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, over their whole tables."""
+"""The registered queries of the operators, over their whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_main, langid, near_vectors, ngram_join, pii, quality, secret_scan, source_mix
+from . import ann, bpe, html_main, langid, lexical, near_vectors, ngram_join, periodic, pii, quality, secret_scan, source_mix, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,4 +24,7 @@ def queries() -> dict[str, Query]:
         "op8_near_vectors": lambda s, d: near_vectors.digest(table(s, d, "embeddings")),
         "op9_ngram_join": lambda s, d: ngram_join.classes(table(s, d, "documents")),
         "op10_pii": lambda s, d: pii.digest(table(s, d, "documents")),
+        "op11_lexical": lambda s, d: lexical.digest(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op12_url_filter": lambda s, d: url_filter.digest(table(s, d, "pages")),
+        "op13_periodic": lambda s, d: periodic.digest(table(s, d, "documents")),
     }

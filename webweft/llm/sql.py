@@ -9,9 +9,28 @@ _NEAREST = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM em
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS k FROM d)
  SELECT query_id, CAST(k AS INT) AS rank, vec_id, score FROM r WHERE k <= 10"""
 
+#: The ten best documents of every item; documents without an id count but are not ranked.
+_RANKED = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+ q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+ g AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(words)) AS BIGINT) AS total FROM d WHERE len(words) > 0),
+ p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d) GROUP BY r, term),
+ f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+ w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM f, g),
+ m AS (SELECT r, doc_id, 10 + (90 * len(words) * docs) // total AS m FROM d, g WHERE doc_id IS NOT NULL),
+ s AS (SELECT q.item_id, p.r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score, any_value(doc_id) AS doc_id FROM q JOIN p USING (term) JOIN w USING (term) JOIN m ON m.r = p.r GROUP BY q.item_id, p.r),
+ k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM s WHERE score > 0)
+ SELECT item_id, CAST(n AS INT) AS rank, doc_id, score FROM k WHERE n <= 10"""
+
+#: Every page's verdict: the longest rule that fits host and path.
+_JUDGED = """WITH rules(r_host, r_path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+ u AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ h AS (SELECT r, page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*(/[^?#]*)?', 1) AS path FROM u),
+ x AS (SELECT h.r, arg_max(r_host || r_path, length(r_host || r_path)) AS rule, arg_max(verdict, length(r_host || r_path)) AS verdict FROM h JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY h.r)
+ SELECT page_id, host, coalesce(path, '') AS path, x.rule, coalesce(x.verdict, 'allow') AS verdict FROM h LEFT JOIN x USING (r)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_lexical": _RANKED, "op12_url_filter": _JUDGED}
 
 
 #: The order of additions differs between the engines, so scores agree to some 15 digits only: the statement serves the
