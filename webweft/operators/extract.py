@@ -15,10 +15,12 @@ DEEPEST = 10
 TAG_TYPES = ("entry", "asset", "category")
 
 
-def records(found: DataFrame, bases: DataFrame, strip: bool = True, fragments: bool = False, rendered: bool = False, idn: bool = False) -> DataFrame:
+def records(found: DataFrame, bases: DataFrame, strip: bool = True, fragments: bool = False, rendered: bool = False, idn: bool = False, targets: DataFrame | None = None, sites: DataFrame | None = None) -> DataFrame:
     """found(href, text, base, ...) with kind, url, raw_href, target_id and link_text; rows without a link are left out.
 
     A reference tag to an entry, asset or category by number becomes a stand-in (kind element), any other one its fallback.
+    With targets(id, site_id, url) and sites(site_id, handle, base_url) it becomes its target's own address at the site that
+    it names by number or handle, else at the row's site_id, which is set to that site.
     Schemes that cannot be checked give an ignored row, without credentials, from content, and none from rendered pages.
     An internal address keeps its fragment where fragments are checked."""
     out = found.withColumn("__raw", F.btrim("href", F.lit(U.BLANK)))
@@ -38,7 +40,22 @@ def records(found: DataFrame, bases: DataFrame, strip: bool = True, fragments: b
     address = F.when(F.col("kind") == "element", U.stand_in(F.col("target_id"))).when(F.col("kind") == "ignored", bare).otherwise(url)
     raw = F.when(F.col("kind") == "ignored", bare).otherwise(F.col("__raw"))
     kept = [c for c in found.columns if c not in ("href", "text", "base", "url", "kind", "raw_href", "target_id", "link_text")]
-    return out.select(*kept, "kind", address.alias("url"), U.clipped(raw, 500).alias("raw_href"), "target_id", U.tidy_text(F.col("text")).alias("link_text"))
+    out = out.select(*kept, "kind", address.alias("url"), U.clipped(raw, 500).alias("raw_href"), "target_id", U.tidy_text(F.col("text")).alias("link_text"), tag["site"].alias("__named"))
+    return out.drop("__named") if targets is None else at_targets(out, targets, sites, strip)
+
+
+def at_targets(links: DataFrame, targets: DataFrame, sites: DataFrame, strip: bool = True) -> DataFrame:
+    """links(site_id, kind, url, target_id, __named) with the address that the target of each link of kind element has at the
+    site named (a number, or a handle that exists), else at the link's own site; the stand-in stays where it has none."""
+    is_element = F.col("kind") == "element"
+    number = F.when(F.col("__named").rlike("^[0-9]{1,18}$"), F.col("__named").cast("long"))
+    by_handle = sites.select(F.lower("handle").alias("__handle"), F.col("site_id").alias("__by_handle"))
+    out = links.join(by_handle, is_element & number.isNull() & (F.lower("__named") == F.col("__handle")), "left")
+    out = out.withColumn("site_id", F.when(is_element, F.coalesce(number, "__by_handle", "site_id")).otherwise(F.col("site_id")))
+    own = targets.select(F.col("id").alias("__id"), F.col("site_id").alias("__at"), F.col("url").alias("__own"))
+    base = sites.select(F.col("site_id").alias("__site"), F.col("base_url").alias("__base"))
+    out = out.join(own, is_element & (F.col("target_id") == F.col("__id")) & (F.col("site_id") == F.col("__at")), "left").join(base, F.col("site_id") == F.col("__site"), "left")
+    return out.withColumn("url", F.when(is_element, F.coalesce(U.normalised(F.col("__own"), F.col("__base"), strip), "url")).otherwise(F.col("url"))).select(*(c for c in links.columns if c != "__named"))
 
 
 def plain_text(value: Column) -> Column:

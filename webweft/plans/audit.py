@@ -269,7 +269,7 @@ PAIRED: dict[str, Query] = {
     "fragment_verdict": (lambda s, d: _pages(s, d).select("page_id", resolve.fragment_verdict(U.fragment_of(F.col("url")), F.when(F.col("page_id") % 3 > 0, F.array(F.lit("intro"), F.when(F.col("page_id") % 3 == 1, "section").otherwise("x")))).alias("status")), "SELECT page_id, CASE WHEN frag='' OR page_id%3=0 OR frag IN ('top', 'intro') OR (page_id%3=1 AND frag='section') OR (page_id%3=2 AND frag='x') THEN 'ok' ELSE 'broken' END AS status FROM (SELECT page_id, regexp_extract(url, '#(.*)$', 1) AS frag FROM pages) t"),
     "link_dispatch": (lambda s, d: resolve.dispatch(_addresses(s, d).withColumn("kind", F.when(F.col("id") % 4 == 0, "relation").when(F.col("id") % 4 == 1, "internal").when(F.col("id") % 4 == 2, "external").otherwise("ignored"))).select("source", "id", "way"), f"SELECT source, id, CASE id%4 WHEN 0 THEN 'element' WHEN 2 THEN 'http' WHEN 3 THEN 'ignored' ELSE CASE WHEN regexp_matches(url, '#.') THEN 'http' ELSE 'url' END END AS way FROM ({_ADDRESSES}) a"),
     # Extraction
-    "extract_links": (lambda s, d: links.extracted(_pages(s, d).select("page_id", "html")), ""),
+    "extract_links": (lambda s, d: links.extracted(s.read.parquet(f"{d}/pages.parquet")), ""),
     "link_records": (_records, "SELECT page_id, pos, CASE WHEN lower(regexp_extract(link, '^[a-z]+://([^/:?#]*)', 1))='m.therou.example.com' THEN 'internal' ELSE 'external' END AS kind, link AS url FROM (" + _RESOLVED_ALL + ") r WHERE link IS NOT NULL"),
     "dedupe_links": (lambda s, d: extract.last_of_each(_links(s, d), url="href").select("page_id", "href", "pos"), f"SELECT page_id, href, max(pos) AS pos FROM ({_CLEAN_SQL}) t GROUP BY page_id, href"),
     "nested_walk": (lambda s, d: extract.walk(s.createDataFrame([(1,), (2,), (7,)], "element_id long"), T(s, d, "nesting")), "WITH RECURSIVE w(root, element_id, depth) AS (SELECT v, v, 0 FROM (VALUES (CAST(1 AS BIGINT)), (2), (7)) r(v) UNION SELECT w.root, n.element_id, w.depth + 1 FROM w JOIN nesting n ON n.owner_id=w.element_id WHERE w.depth < 10) SELECT root, element_id, CAST(min(depth) AS INT) AS depth FROM w GROUP BY root, element_id"),

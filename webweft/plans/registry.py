@@ -104,12 +104,12 @@ def _examples(s: SparkSession) -> DataFrame:
 
 
 def _links(s: SparkSession, d: str) -> DataFrame:
-    pages = s.read.parquet(f"{d}/pages.parquet")
-    found = F.regexp_extract_all("html", F.lit(r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"'), F.lit(1))
-    return pages.select("page_id", "url", F.posexplode(found).alias("pos", "href"))
+    read = links.bodies(s.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html"), "html", images=False)
+    found = F.transform(F.filter("links", lambda x: x["tag"] == "a"), lambda x: x["href"])
+    return read.select("page_id", "url", F.posexplode(found).alias("pos", "href"))
 
 
-#: Every double-quoted anchor of the pages, in page order.
+#: Every anchor of the pages, in page order; the statements find it by a pattern.
 _CLEAN_SQL = r"""SELECT page_id, url, CAST(generate_subscripts(hrefs, 1) - 1 AS INT) AS pos, unnest(hrefs) AS href FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1) AS hrefs FROM pages) a"""
 _RESOLVED_ALL = r"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1) AS found FROM pages),
  b AS (SELECT page_id, url, unnest(found) AS href, CAST(generate_subscripts(found, 1) - 1 AS INT) AS pos, concat(' ', chr(9), chr(10), chr(13), chr(0), chr(11)) AS blank FROM a),
@@ -188,10 +188,10 @@ def _shared(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
-    from . import audit
+    from . import audit, content
 
     out = {n: (audit.OPERATORS.get(n) or _shared(q), q) for n, q in SHARED.items()} | PAIRED
-    for name, (run, sql) in audit.PAIRED.items():
+    for name, (run, sql) in (audit.PAIRED | content.PAIRED).items():
         out[name] = (run, sql or out.get(name, (None, ""))[1])
     return out
 

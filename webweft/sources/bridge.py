@@ -121,6 +121,25 @@ SELECT CAST(s_suppkey AS BIGINT) AS node_id, CAST(s_nationkey%5+1 AS BIGINT) AS
 VIEWS["values_"] = """
 SELECT CAST(c_custkey AS BIGINT) AS id, CASE c_custkey%7 WHEN 0 THEN '  HTTPS://host1.example.org/a ' WHEN 1 THEN 'see http://x.example' WHEN 2 THEN 'http://y.example/ b' WHEN 3 THEN c_name WHEN 4 THEN 'ftp://u:p@h.example/f' WHEN 5 THEN NULL ELSE 'http://z.example/'||CAST(c_custkey AS VARCHAR(20)) END AS value FROM customer
 """
+VIEWS["content_elements"] = """
+SELECT CAST(p_partkey AS BIGINT) AS id, CAST(r_regionkey+1 AS BIGINT) AS site_id, 'Part  '||CAST(p_partkey AS VARCHAR(20)) AS title, p_partkey%11<>3 AS enabled,
+ CASE WHEN p_partkey%7<>0 THEN (p_partkey+r_regionkey)%13<>0 END AS enabled_for_site,
+ CASE WHEN p_partkey%4<>0 THEN 'https://'||lower(replace(r_name,' ','-'))||'.example.com/p/'||CAST(p_partkey AS VARCHAR(20)) END AS url FROM part JOIN region ON r_regionkey<2 WHERE p_partkey>0
+"""
+VIEWS["field_values"] = """
+SELECT element_id, site_id, 'u'||CAST(pos AS VARCHAR(20)) AS field_uid, CASE pos WHEN 0 THEN 'body' WHEN 1 THEN 'blocks' WHEN 2 THEN 'related' WHEN 3 THEN 'link' WHEN 4 THEN 'links' WHEN 5 THEN 'plain' WHEN 6 THEN 'rows' ELSE 'hidden' END AS field_handle, CAST(pos AS INT) AS pos,
+ CASE pos WHEN 0 THEN 'html' WHEN 1 THEN 'nested' WHEN 2 THEN 'relation' WHEN 3 THEN 'link' WHEN 4 THEN 'links' WHEN 5 THEN 'text' WHEN 6 THEN 'table' ELSE 'text' END AS kind,
+ CASE pos
+ WHEN 0 THEN '<h2 id="t'||x||'">T</h2><P>See <A class=x HREF="/p/'||x||'/next">next <b>one</b></A>, <a href="https://out'||CAST(element_id%9 AS VARCHAR(20))||'.example.org/x?utm_source=a&amp;b='||x||'">out &amp; about</a> <a href="{entry:'||CAST(element_id*2 AS VARCHAR(20))||CASE element_id%3 WHEN 0 THEN '@2' WHEN 1 THEN '@Africa' ELSE '' END||':url||https://fall.example.org/}">ref</a><!-- <a href="/no">no</a><craft-entry data-entry-id="'||CAST(element_id+7 AS VARCHAR(20))||'"></craft-entry> --><craft-entry data-entry-id="'||CAST(element_id*3 AS VARCHAR(20))||'"><a href="/inner">i</a></craft-entry><CRAFT-ENTRY data-entry-id='||CAST(element_id*3+1 AS VARCHAR(20))||'></CRAFT-ENTRY>'||CASE WHEN element_id%50=9 THEN '<craft-entry data-entry-id="'||CAST(CAST(floor(element_id/9.0) AS BIGINT) AS VARCHAR(20))||'"></craft-entry>' ELSE '' END
+ WHEN 1 THEN CASE WHEN element_id%17=5 THEN '[oops' ELSE '['||CAST(element_id*3+2 AS VARCHAR(20))||',"x"]' END
+ WHEN 2 THEN CASE WHEN element_id%19=5 THEN '{"a":1}' ELSE '['||CAST(element_id%100+1 AS VARCHAR(20))||',999999999]' END
+ WHEN 3 THEN CASE element_id%6 WHEN 0 THEN '{"type":"url","value":"https://Link.example.org:443/'||x||'","label":" A  label "}' WHEN 1 THEN '{"type":"entry","value":"{entry:'||CAST(element_id+1 AS VARCHAR(20))||'@1:url}"}' WHEN 2 THEN '{"type":"email","value":"mailto:a@b.example"}' WHEN 3 THEN '{"type":"asset","value":"lost"}' WHEN 4 THEN '{"value":"https://no.type.example.org/"}' END
+ WHEN 4 THEN '[{"type":"links'||chr(92)||chr(92)||'Url","linkValue":"ftp://u:p@files.example.org/'||x||'","linkText":"files"},{"type":"links'||chr(92)||chr(92)||'Entry","linkValue":['||CAST(element_id+2 AS VARCHAR(20))||'],"linkText":"two"},{"type":"links'||chr(92)||chr(92)||'Asset","linkValue":"'||CAST(element_id*5 AS VARCHAR(20))||'"},{"type":"links'||chr(92)||chr(92)||'Category","linkValue":"none"},{"linkValue":"https://untyped.example.org/"},7,null]'
+ WHEN 5 THEN CASE element_id%3 WHEN 0 THEN '  https://plain.example.org/'||x||' ' WHEN 1 THEN 'see https://plain.example.org/' ELSE '' END
+ WHEN 6 THEN '[["https://cell.example.org/'||x||'",5,"no address"],{"c":"http://cell.example.org/b"},"row"]'
+ ELSE 'https://hidden.example.org/' END AS value
+ FROM (SELECT CAST(p_partkey AS BIGINT) AS element_id, CAST(p_partkey AS VARCHAR(20)) AS x, CAST(r_regionkey+1 AS BIGINT) AS site_id FROM part JOIN region ON r_regionkey<2 WHERE p_partkey>0) e JOIN (SELECT n_nationkey AS pos FROM nation WHERE n_nationkey<8) f ON true
+"""
 NEEDS = {"ignores": ("urls",), "hosts": ("urls",)}
 
 
