@@ -9,10 +9,8 @@ import json
 from functools import reduce
 from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Parameters that only track visitors, and the schemes that can or need not be checked.
 TRACKING = ("_hsenc", "_hsmi", "dclid", "fbclid", "gbraid", "gclid", "igshid", "mc_cid", "mc_eid", "msclkid", "ttclid", "wbraid", "yclid")
@@ -144,32 +142,11 @@ def absolute(ref: Column, base: Column) -> Column:
     )
 
 
-@F.pandas_udf(StringType())
-def _punycode(hosts: pd.Series) -> pd.Series:
-    def one(host: str | None) -> str | None:
-        if host is None:
-            return None
-        try:
-            import idna
-
-            return idna.encode(host, uts46=True).decode()
-        except ImportError:
-            pass
-        except ValueError:  # idna.IDNAError is one
-            return ""
-        try:
-            return host.encode("idna").decode()
-        except UnicodeError:
-            return ""
-
-    return hosts.map(one)
-
-
 def ascii_host(host: Column) -> Column:
-    """The host in letters of DNS: punycode where it has others ('' where it cannot be).  Only here Python is asked, and
-    only for such hosts is there anything to send."""
-    other = host.rlike(r"[^\x00-\x7F]")
-    return F.when(other, _punycode(F.when(other, host))).otherwise(host)
+    """The host in letters of DNS: where it has others, mapped (case, width, composition) and in punycode by the JVM's own
+    IDNA function, '' where that refuses it."""
+    other = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host, F.lit(1))  # 1: letters younger than the tables pass
+    return F.when(host.rlike(r"[^\x00-\x7F]"), F.coalesce(F.lower(other), F.lit(""))).otherwise(host)
 
 
 FITS = (r"^[a-z0-9_]([a-z0-9_-]*[a-z0-9_])?(\.[a-z0-9_]([a-z0-9_-]*[a-z0-9_])?)*\.?$", r"^\[[0-9a-f:.]+\]$")
@@ -191,17 +168,13 @@ def _whole(href: Column, base: Column | None) -> Column:
 
 
 def normalised(href: Column, base: Column | None = None, strip: bool = True) -> Column:
-    """The address in canonical form; null where there is none to check, and where the host has letters that DNS has not
-    (with_normalised() makes punycode of them)."""
-    return named(_whole(href, base), lambda url: named(_parts(url, host_of(url)), lambda p: _spelled(p, strip)))
+    """The address in canonical form, its host in punycode; null where there is none to check."""
+    return named(_whole(href, base), lambda url: named(_parts(url, ascii_host(host_of(url))), lambda p: _spelled(p, strip)))
 
 
 def with_normalised(df: DataFrame, name: str, href: Column, base: Column | None = None, strip: bool = True) -> DataFrame:
-    """df with the canonical address as a column, hosts in any letters.  Python is asked for hosts alone, in a column of
-    their own, and is sent nothing where a host is ASCII."""
-    out = df.withColumn("__whole", _whole(href, base)).withColumn("__host", named(F.col("__whole"), host_of)).withColumn("__ascii", ascii_host(F.col("__host")))
-    spelled = named(_parts(F.col("__whole"), F.col("__ascii")), lambda p: _spelled(p, strip))
-    return out.withColumn(name, spelled).drop("__whole", "__host", "__ascii")
+    """df with the canonical address as a column."""
+    return df.withColumn(name, normalised(href, base, strip))
 
 
 def percent_decoded(s: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import links, reftag
+from ..functions import links, net, reftag
+from ..functions import url as U
 from ..operators import content
 from ..sources import bridge
 
@@ -88,7 +89,38 @@ _LINKS_SQL = rf"""WITH RECURSIVE {_WALK}, {_ITEMS},
   CASE WHEN kind='ignored' THEN regexp_replace(href, '//[^@/]*@', '//') ELSE href END AS raw_href, y.target_id, nullif(trim(regexp_replace(CASE WHEN kind='relation' THEN t.title ELSE y.text END, '\s+', ' ', 'g')), '') AS link_text
  FROM y LEFT JOIN content_elements t ON t.id=y.target_id AND t.site_id=y.site_id AND kind IN ('element','relation') WHERE kind IS NOT NULL AND (kind<>'relation' OR t.id IS NOT NULL)"""
 
+#: Punycode after RFC 3492, label by label: each letter beyond ASCII, in order of code point and place, is a number of steps
+#: of the decoder (delta), written in digits whose thresholds follow the bias.
+_PUNYCODE = r"""WITH RECURSIVE u AS (SELECT id, nfc_normalize(lower(regexp_extract(url, '://([^/]*)', 1))) AS host FROM idn_addresses),
+ l AS (SELECT id, generate_subscripts(string_split(host, '.'), 1) AS lab, unnest(string_split(host, '.')) AS label FROM u),
+ c AS (SELECT id, lab, generate_subscripts(string_split(label, ''), 1) AS pos, unnest(string_split(label, '')) AS ch FROM l),
+ k AS (SELECT *, unicode(ch)::BIGINT AS cp, unicode(ch) < 128 AS basic FROM c),
+ b AS (SELECT id, lab, count(*) FILTER (basic) AS b, coalesce(string_agg(ch, '' ORDER BY pos) FILTER (basic), '') AS plain, count(*) FILTER (NOT basic) AS ext FROM k GROUP BY id, lab),
+ e AS (SELECT x.id, x.lab, x.cp, x.pos, b.b, row_number() OVER (PARTITION BY x.id, x.lab ORDER BY x.cp, x.pos) AS k, (SELECT count(*) FROM k y WHERE y.id=x.id AND y.lab=x.lab AND y.pos<x.pos AND (y.basic OR y.cp<=x.cp)) AS i FROM k x JOIN b ON b.id=x.id AND b.lab=x.lab WHERE NOT x.basic),
+ d AS (SELECT *, b + k AS points, (cp - coalesce(lag(cp) OVER w, 128)) * (b + k) + i - coalesce(lag(i) OVER w + 1, 0) AS delta FROM e WINDOW w AS (PARTITION BY id, lab ORDER BY k)),
+ a AS (SELECT *, CASE WHEN k=1 THEN delta // 700 ELSE delta // 2 END AS half FROM d), s AS (SELECT *, half + half // points AS s0 FROM a),
+ f AS (SELECT *, CASE WHEN s0<=455 THEN 36*s0 // (s0+38) WHEN s0//35<=455 THEN 36 + 36*(s0//35) // (s0//35+38) ELSE 72 + 36*(s0//1225) // (s0//1225+38) END AS after FROM s),
+ g AS (SELECT id, lab, k, delta, coalesce(lag(after) OVER (PARTITION BY id, lab ORDER BY k), 72) AS bias FROM f),
+ r(id, lab, k, q, kk, bias, digits, done) AS (SELECT id, lab, k, delta, 36::BIGINT, bias::BIGINT, '', false FROM g
+  UNION ALL SELECT id, lab, k, CASE WHEN q<t THEN 0 ELSE (q-t) // (36-t) END, kk+36, bias, digits||substr('abcdefghijklmnopqrstuvwxyz0123456789', CAST(CASE WHEN q<t THEN q ELSE t + (q-t) % (36-t) END AS INT) + 1, 1), q<t FROM (SELECT *, greatest(1, least(26, kk-bias)) AS t FROM r WHERE NOT done) z),
+ p AS (SELECT id, lab, string_agg(digits, '' ORDER BY k) AS tail FROM r WHERE done GROUP BY id, lab),
+ o AS (SELECT b.id, b.lab, CASE WHEN ext=0 THEN plain ELSE 'xn--'||CASE WHEN plain<>'' THEN plain||'-' ELSE '' END||tail END AS label FROM b LEFT JOIN p ON p.id=b.id AND p.lab=b.lab)
+ SELECT id, 'http://'||string_agg(label, '.' ORDER BY lab)||'/x' AS url FROM o GROUP BY id"""
+
+_IPV4 = r"'^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$'"
+#: 128 bits as 32 hexadecimal digits, compared with networks by their first ones.
+_IPS_SQL = rf"""WITH t AS (SELECT id, ip, lower(trim(ip, '[]')) AS s FROM ip_texts),
+ v AS (SELECT *, regexp_extract(s, '([0-9.]+)$', 1) AS tail FROM t),
+ w AS (SELECT *, CASE WHEN contains(s, ':') AND contains(tail, '.') THEN regexp_replace(s, '[0-9.]+$', '')||format('{{:x}}:{{:x}}', CAST(split_part(tail, '.', 1) AS INT)*256+CAST(split_part(tail, '.', 2) AS INT), CAST(split_part(tail, '.', 3) AS INT)*256+CAST(split_part(tail, '.', 4) AS INT)) ELSE s END AS x FROM v),
+ y AS (SELECT *, len(string_split(x, '::')) AS parts, list_filter(string_split(split_part(x, '::', 1), ':'), lambda g: g<>'') AS a, list_filter(string_split(split_part(x, '::', 2), ':'), lambda g: g<>'') AS b FROM w),
+ z AS (SELECT *, CASE WHEN contains(x, ':') THEN CASE WHEN (parts=2 AND len(a)+len(b)<8) OR (parts=1 AND len(a)=8) THEN array_to_string(list_transform(a, lambda g: lpad(g, 4, '0')), '')||repeat('0', CAST(32-4*(len(a)+len(b)) AS INT))||array_to_string(list_transform(b, lambda g: lpad(g, 4, '0')), '') END END AS h FROM y),
+ i AS (SELECT *, CASE WHEN h IS NULL AND regexp_matches(s, {_IPV4}) THEN format('{{:02x}}{{:02x}}{{:02x}}{{:02x}}', CAST(split_part(s, '.', 1) AS INT), CAST(split_part(s, '.', 2) AS INT), CAST(split_part(s, '.', 3) AS INT), CAST(split_part(s, '.', 4) AS INT)) WHEN starts_with(h, '00000000000000000000ffff') OR starts_with(h, '0064ff9b0000000000000000') THEN h[25:32] WHEN starts_with(h, '2002') THEN h[5:12] END AS four FROM z)
+ SELECT id, ip, CASE WHEN four IS NOT NULL THEN regexp_matches(four, '^(00|0a|7f|a9fe|ac1|c0a8|c00000|c00002|c05863|c612|c613|c63364|cb0071|[ef]|64[4-7])') WHEN h IS NULL THEN true
+  ELSE (regexp_matches(h, '^(0{{31}}[01]|0064ff9b0001|0100000000000000|200100|2001010|2001011|20010[1]|20010db8|3fff0|f[cdf]|fe[89ab])') OR starts_with(h, '2001010') OR (starts_with(h, '2001') AND h[5:8] < '0200')) AND NOT regexp_matches(h, '^(20010001000000000000000000000[0]{{2}}[12]|20010003|200100040112|2001002|2001003)') END AS private FROM i"""
+
 PAIRED = {
+    "international_hosts": (lambda s, d: bridge.view(s, d, "idn_addresses").select("id", U.normalised(F.col("url")).alias("url")), _PUNYCODE),
+    "private_ips": (lambda s, d: bridge.view(s, d, "ip_texts").select("id", "ip", net.private(F.col("ip")).alias("private")), _IPS_SQL),
     "content_walk": (_walk, f"WITH RECURSIVE {_WALK} SELECT root, site_id, element_id, depth FROM reached"),
     "content_links": (_links, _LINKS_SQL),
     "content_problems": (_problems, f"WITH RECURSIVE {_WALK}, {_ITEMS} SELECT bad.element_id, bad.site_id, field_handle, problem, count(DISTINCT root) AS roots FROM bad JOIN reached w ON w.element_id=bad.element_id AND w.site_id=bad.site_id GROUP BY ALL"),

@@ -140,6 +140,17 @@ SELECT element_id, site_id, 'u'||CAST(pos AS VARCHAR(20)) AS field_uid, CASE pos
  ELSE 'https://hidden.example.org/' END AS value
  FROM (SELECT CAST(p_partkey AS BIGINT) AS element_id, CAST(p_partkey AS VARCHAR(20)) AS x, CAST(r_regionkey+1 AS BIGINT) AS site_id FROM part JOIN region ON r_regionkey<2 WHERE p_partkey>0) e JOIN (SELECT n_nationkey AS pos FROM nation WHERE n_nationkey<8) f ON true
 """
+VIEWS["idn_addresses"] = """
+SELECT CAST(c_custkey AS BIGINT) AS id, 'HTTP://'||CASE c_custkey%8 WHEN 0 THEN 'Bücher' WHEN 1 THEN 'ПРИМЕР' WHEN 2 THEN '例え' WHEN 3 THEN 'παράδειγμα' WHEN 4 THEN 'उदाहरण' WHEN 5 THEN 'mañana-b' WHEN 6 THEN 'cafe\u0301s' ELSE 'مثال' END
+ ||CASE WHEN c_custkey%8=7 THEN substr('بتثجحخدذرز', CAST(c_custkey%10+1 AS INT), 1)||substr('حخدذرزبتثج', CAST(c_custkey%7+1 AS INT), 1) ELSE CAST(c_custkey AS VARCHAR(20))||substr('äйω例ñabc', CAST(c_custkey%8+1 AS INT), 1) END||'.テスト.Example.org/x' AS url FROM customer
+"""
+VIEWS["ip_texts"] = """
+SELECT id, CASE form WHEN 0 THEN g0||':'||g1||':'||g2||'::'||g7 WHEN 1 THEN '::ffff:'||v4 WHEN 2 THEN '64:FF9B::'||h6||':'||h7 WHEN 3 THEN '2002:'||h6||':'||h7||'::1' WHEN 4 THEN '['||g0||':0:0:'||g2||':0:0:0:'||g7||']' WHEN 5 THEN v4 WHEN 6 THEN '::'||g7 WHEN 7 THEN g0||'::' WHEN 8 THEN g0||':'||g1||'::'||v4 ELSE g0||':'||g1||':1::2::3' END AS ip
+ FROM (SELECT id, form, CASE id%13 WHEN 0 THEN 'fe80' WHEN 1 THEN 'fd12' WHEN 2 THEN '2001' WHEN 3 THEN 'ff02' WHEN 4 THEN '100' WHEN 5 THEN '2606' WHEN 6 THEN '3fff' WHEN 7 THEN 'FC00' WHEN 8 THEN '2a00' WHEN 9 THEN '64' WHEN 10 THEN '2001' ELSE lower(hex(id%65536)) END AS g0,
+  CASE id%11 WHEN 0 THEN 'db8' WHEN 1 THEN '0' WHEN 2 THEN '20' WHEN 3 THEN '3' WHEN 4 THEN 'ff9b' WHEN 5 THEN '4' WHEN 6 THEN '1' ELSE '4700' END AS g1, CASE id%5 WHEN 0 THEN '112' WHEN 1 THEN '1' ELSE '0' END AS g2, CAST(id%3+1 AS VARCHAR(20)) AS g7,
+  CASE id%9 WHEN 0 THEN '7f00' WHEN 1 THEN 'a9fe' WHEN 2 THEN 'a00' WHEN 3 THEN 'c0a8' WHEN 4 THEN '101' ELSE lower(hex(id*7%65536)) END AS h6, CASE id%2 WHEN 0 THEN '1' ELSE 'a9fe' END AS h7,
+  CAST(CASE id%6 WHEN 0 THEN 127 WHEN 1 THEN 10 WHEN 2 THEN 198 WHEN 3 THEN 224 ELSE id%256 END AS VARCHAR(20))||'.'||CAST(id%7*3 AS VARCHAR(20))||'.'||CAST(id%4 AS VARCHAR(20))||'.1' AS v4 FROM (SELECT CAST(c_custkey AS BIGINT) AS id, c_custkey%10 AS form FROM customer) c) t
+"""
 NEEDS = {"ignores": ("urls",), "hosts": ("urls",)}
 
 
