@@ -39,9 +39,11 @@ def response_reason(code: Column) -> Column:
 
 
 def redirect_info(chain: Column, targets: Column) -> Column:
-    """struct(count, final_url, permanent, status) of the hops' codes and addresses: permanent where any hop is, the first
-    hop's code; all but the count null without hops."""
-    n = F.size(chain)
+    """struct(count, final_url, permanent, status) of the hops' codes and addresses: as many hops as addresses (codes may be
+    fewer or none), permanent where any code is, the first code; all but the count null without hops."""
+    targets = F.coalesce(F.array_compact(targets), F.array().cast("array<string>"))
+    chain = F.coalesce(chain, F.array().cast("array<int>"))
+    n = F.size(targets)
     return F.struct(
         n.alias("count"),
         F.when(n > 0, F.element_at(targets, -1)).alias("final_url"),
@@ -100,8 +102,10 @@ def host_list(rows: Column) -> Column:
 
 
 def body_snippet(body: Column, code: Column, method: Column) -> Column:
-    """The first two kilobytes, lower case, of what a GET was refused with."""
-    return F.when((F.lower(method) == "get") & ~ok(code), F.lower(F.substring(body, 1, SNIPPET_BYTES)))
+    """The first two kilobytes, A-Z in lower case, of what a GET was refused with; null where that is empty.  A letter that the
+    limit cuts becomes U+FFFD."""
+    head = F.make_valid_utf8(F.substring(F.encode(body, "UTF-8"), 1, SNIPPET_BYTES).cast("string"))
+    return F.when((F.lower(method) == "get") & ~ok(code), F.nullif(F.translate(head, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("")))
 
 
 def bot_signature(url: Column, code: Column, headers: Column, final_url: Column, body: Column, hostile: Column) -> Column:
@@ -137,11 +141,34 @@ def response_verdict(code: Column, hops: Column, signature: Column) -> Column:
     return F.struct(F.when(walled, "blocked").otherwise(status).alias("status"), F.when(walled, "http").otherwise(response_reason(code)).alias("reason"))
 
 
+#: Forms of a date: pattern of the text, and its day, month, year, time and offset among the groups.
+_DATES = (
+    (r"(?i)^(?:[a-z]{3,9},? )?(\d{1,2}) ([a-z]{3}) (\d{4}) (\d{2}:\d{2}:\d{2}) ?(GMT|UTC|Z|[+-]\d{2}:?\d{2})?$", (1, 2, 3, 4, 5)),
+    (r"(?i)^[a-z]{6,9}, (\d{2})-([a-z]{3})-(\d{2}) (\d{2}:\d{2}:\d{2}) (GMT|UTC)$", (1, 2, 3, 4, 5)),
+    (r"(?i)^[a-z]{3} ([a-z]{3}) {1,2}(\d{1,2}) (\d{2}:\d{2}:\d{2}) (\d{4})()$", (2, 1, 4, 3, 5)),
+    (r"(?i)^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}:\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2})?$", (3, 2, 1, 4, 5)),
+)
+
+
+def http_date(text: Column) -> Column:
+    """Seconds since 1970 of a date in one of the forms that servers write (RFC 1123, RFC 850, asctime, ISO 8601), in UTC
+    unless it has an offset; null for anything else."""
+    out = F.lit(None).cast("long")
+    for pattern, order in _DATES:
+        day, month, year, time, offset = (F.regexp_extract(text, pattern, k) for k in order)
+        full = F.when(F.length(year) == 2, F.concat(F.when(year < "70", "20").otherwise("19"), year)).otherwise(year)
+        zone = F.when(offset.rlike("^[+-]"), F.regexp_replace(offset, "^(...):?(..)$", "$1:$2")).otherwise("+00:00")
+        plain = F.concat_ws(" ", F.lpad(day, 2, "0"), F.initcap(month), full, time, zone)
+        parsed = F.try_to_timestamp(plain, F.lit("dd MM yyyy HH:mm:ss xxx" if pattern.startswith(r"(?i)^(\d{4})") else "dd MMM yyyy HH:mm:ss xxx"))
+        out = F.coalesce(out, F.when(text.rlike(pattern), F.unix_timestamp(parsed)))
+    return out
+
+
 def retry_after(value: Column, now: Column) -> Column:
-    """Seconds a host asks to wait: digits, or an RFC 1123 date; at most a day, null for anything else."""
-    digits = F.when(value.rlike("^[0-9]+$"), F.least(F.lit(LONGEST_WAIT).cast("long"), F.substring(value, 1, 9).cast("long")))
-    date = F.try_to_timestamp(F.regexp_extract(value, "^[A-Z][a-z]{2}, ([0-9]{2} [A-Z][a-z]{2} [0-9]{4} [0-9:]{8}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
-    wait = F.unix_timestamp(date) - F.unix_timestamp(now)
+    """Seconds a host asks to wait: digits, or a date; at most a day, null for anything else."""
+    bare = F.btrim(value, F.lit(" \t\n\r\x00\x0b"))
+    digits = F.when(bare.rlike("^[0-9]+$"), F.least(F.lit(LONGEST_WAIT).cast("long"), F.substring(bare, 1, 9).cast("long")))
+    wait = http_date(bare) - F.unix_timestamp(now)
     return F.coalesce(digits, F.when(wait.isNotNull(), F.least(F.lit(LONGEST_WAIT).cast("long"), F.greatest(F.lit(0).cast("long"), wait))))
 
 

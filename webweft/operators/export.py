@@ -112,8 +112,10 @@ def broken(urls: DataFrame, refs: DataFrame, since: str | None = None, site: int
     return out if since is None else out.where(F.col("date_last_broken") >= F.lit(since).cast("timestamp_ntz"))
 
 
+# The message's subject, for one and for more, and who sends it.
+SUBJECT, SENDER = ("One broken link on ", " broken links on "), "Link Audit"
 def digest(found: DataFrame, site_name: str, report_url: str, threshold: int = 1, most: int = 20) -> DataFrame:
-    """One row (subject, body) where the threshold is reached, else none.  found(id, url, url_hash, http_status, reason,
+    """One row (total, body) where the threshold is reached, else none.  found(id, url, url_hash, http_status, reason,
     date_last_broken); listed are the `most` that broke last."""
     total = found.agg(F.count("*").alias("total"))
     last = found.orderBy(F.desc_nulls_last("date_last_broken"), "id").limit(most)
@@ -128,3 +130,13 @@ def digest(found: DataFrame, site_name: str, report_url: str, threshold: int = 1
     end = F.lit(f"\n\nThe note after each link is what the website said when it was asked. The full list, and the pages carrying each one, is here: {report_url}")
     body = F.concat(top, F.array_join(F.col("items.t"), "\n"), more, end)
     return total.crossJoin(listed).where(n >= max(1, threshold)).select(n.alias("total"), body.alias("body"))  # one row by one row
+
+
+def messages(found: DataFrame, site_name: str, report_url: str, threshold: int = 1, most: int = 20) -> DataFrame:
+    """digest() as it is sent: one row (subject, body, slack), or none.  slack is the JSON to post, with the three characters
+    that have a meaning there written as entities."""
+    n = F.col("total")
+    subject = F.concat(F.when(n == 1, SUBJECT[0]).otherwise(F.concat(n.cast("string"), F.lit(SUBJECT[1]))), F.lit(site_name))
+    out = digest(found, site_name, report_url, threshold, most).select(subject.alias("subject"), "body")
+    text = F.concat(F.lit("*"), slack_text(F.col("subject")), F.lit("*\n"), slack_text(F.col("body")))
+    return out.withColumn("slack", F.to_json(F.struct(F.lit(SENDER).alias("username"), text.alias("text"))))

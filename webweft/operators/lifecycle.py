@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RUNNING, WHOLE = ("queued", "extracting", "checking"), ("full", "incremental")
@@ -73,3 +73,39 @@ def finalised(scan: dict, urls: DataFrame, refs: DataFrame, as_of: str, crawling
     total = refs.where(F.col("scan_id") == scan["id"]).agg(F.count_distinct("url_id").alias("urls_total"))
     broken = urls.where("status = 'broken'").join(held.select(F.col("url_id").alias("id")), "id", "left_semi").agg(F.count("*").alias("urls_broken"))
     return urls, refs, total.crossJoin(broken).select(F.lit(scan["id"]).cast("long").alias("id"), F.lit("complete").alias("status"), "urls_total", "urls_broken")  # one row by one row
+
+
+def transitions(events: DataFrame) -> DataFrame:
+    """events(scan_id, happened, seq, event) in order, each with the scan's status after it and whether it was refused.
+
+    event is queued, extracting or checking (a phase begins), complete (a scan is finalised), failed or cancelled.  A scan that
+    runs may fail or be cancelled; one that does not, or is not known, refuses that and stays as it is.  Phases and the end
+    are taken as they come.  Each event leaves a scan either running or not, whatever it was before, so the guard sees the
+    event before and no fold over a scan's history is needed."""
+    by = Window.partitionBy("scan_id").orderBy("happened", "seq")
+    runs = F.col("event").isin(*RUNNING)
+    out = events.withColumn("__runs", F.coalesce(F.lag(runs).over(by), F.lit(False)))
+    out = out.withColumn("refused", F.col("event").isin("failed", "cancelled") & ~F.col("__runs"))
+    now = F.last(F.when(~F.col("refused"), F.col("event")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn("status", now).drop("__runs")
+
+
+def histories(events: DataFrame) -> DataFrame:
+    """(scan_id, status, date_started, date_finished, refused): each scan after transitions(events).  A scan starts with its
+    first phase after queueing, and a later one does not move that; it finished when it last ended."""
+    seen = transitions(events)
+    key = F.struct("happened", "seq")
+    taken = ~F.col("refused")
+    ended = taken & ~F.col("event").isin(*RUNNING)
+    phase = F.col("event").isin("extracting", "checking")
+    return seen.groupBy("scan_id").agg(
+        F.max_by("status", key).alias("status"),
+        F.min(F.when(phase, F.col("happened"))).alias("date_started"),
+        F.max(F.when(ended, F.col("happened"))).alias("date_finished"),
+        F.count_if("refused").alias("refused"),
+    )
+
+
+def by_id(scans: DataFrame, scan_id: int) -> DataFrame:
+    """The scan's row, or none."""
+    return scans.where(F.col("id") == scan_id).limit(1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STATUSES = ("pending", "ok", "broken", "redirect", "unreachable", "blocked", "ignored", "unsafe")
@@ -100,6 +100,40 @@ def element_summary(urls: DataFrame, refs: DataFrame, site: int, element_id: int
     return one.groupBy("element_id").agg(n(F.lit(True)).alias("total"), n(F.col("status") != "pending").alias("checked"), n(F.col("status") == "broken").alias("broken"), F.max("date_last_checked").alias("last_checked"))
 
 
+def element_panel(urls: DataFrame, refs: DataFrame, site: int, most: int = 10, element_id: int | None = None) -> DataFrame:
+    """Per page, or of the page asked for: its different addresses in all and by verdict, those checked and broken, when one
+    was last checked, and the first `most` broken ones by address, each with the reference that comes first.
+
+    A page has the references on it and in what it owns, so a reference counts for its element and its owner.  An address
+    counts once a page and verdict, however many references hold it."""
+    held = refs.where(F.col("site_id") == site).withColumn("page_id", F.explode(F.array_distinct(F.filter(F.array("element_id", "owner_element_id"), lambda i: i.isNotNull()))))
+    if element_id is not None:
+        held = held.where(F.col("page_id") == element_id)
+    first = held.groupBy("page_id", "url_id").agg(F.min(F.struct("id", "element_id", "owner_element_id", "field_handle")).alias("ref"))
+    one = first.join(urls.select(F.col("id").alias("url_id"), "url", "url_hash", "status", "http_status", "date_last_checked"), "url_id")
+    n = lambda test: F.count_if(test)
+    status = F.col("status")
+    sums = one.groupBy("page_id").agg(F.count("*").alias("total"), n(status != "pending").alias("checked"), *(n(status == s).alias(s) for s in STATUSES), F.max("date_last_checked").alias("last_checked"))
+    ranked = one.where("status = 'broken'").withColumn("__n", F.row_number().over(Window.partitionBy("page_id").orderBy("url", "url_id"))).where(F.col("__n") <= most)
+    nested = F.coalesce(F.col("ref.owner_element_id") != F.col("ref.element_id"), F.lit(False))
+    item = F.struct("__n", "url", F.col("http_status").cast("int").alias("http_status"), F.col("ref.id").alias("ref_id"), F.when(nested, F.col("ref.element_id")).alias("block_id"), F.col("ref.field_handle").alias("field_handle"))
+    listed = ranked.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("__n")).alias("broken_urls"))  # at most `most` a page
+    return sums.join(listed, "page_id", "left")
+
+
+def reference_location(refs: DataFrame, elements: DataFrame, ids: list[int]) -> DataFrame:
+    """Where references are: (id, page_id, site_id, block_id, field_handle, raw text); none where the page is gone."""
+    found = refs.where(F.col("id").isin(*ids)).withColumn("page_id", F.coalesce("owner_element_id", "element_id"))
+    alive = elements.where("date_deleted is null").select(F.col("id").alias("page_id"))
+    block = F.when(F.col("owner_element_id").isNotNull() & (F.col("owner_element_id") != F.col("element_id")), F.col("element_id"))
+    return found.join(alive, "page_id", "left_semi").select("id", "page_id", "site_id", block.alias("block_id"), "field_handle", "link_text")
+
+
+def with_total(page: DataFrame, found: DataFrame) -> DataFrame:
+    """A page of a list with the number of all rows found beside each of its rows."""
+    return page.crossJoin(found.agg(F.count("*").alias("total")))  # with one row
+
+
 def broken_locations(urls: DataFrame, refs: DataFrame, site: int) -> DataFrame:
     """Per element and broken address the first reference."""
     broken = urls.where("status = 'broken'").select(F.col("id").alias("url_id"), "url")

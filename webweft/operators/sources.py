@@ -82,17 +82,45 @@ def link_fields(fields: DataFrame, classes: list[str]) -> DataFrame:
     return fields.where(F.col("class").isin(*classes)).orderBy(F.lower("name"), "name")
 
 
+# The ranges of the settings that are whole numbers (no upper limit: None), those that are on or off, texts, lists.
+RANGES = {
+    "concurrency": (1, 50), "hostConcurrency": (1, 10), "maxConcurrentPerHost": (1, 10), "minHostDelayMs": (0, 60000), "connectTimeout": (1, 120), "timeout": (1, 300), "maxRedirects": (0, 20), "retryCount": (0, 10),
+    "brokenAfterDnsFailures": (1, 20), "brokenAfterFailures": (1, 20), "maxPagesToCrawl": (1, 100000), "blockedTtlDays": (0, 3650), "okTtlDays": (0, 3650), "redirectTtlDays": (0, 3650), "retainDays": (0, 3650),
+    "brokenRecheckHours": (0, 8760), "unreachableRecheckHours": (0, 8760), "notifyBrokenThreshold": (1, None), "scheduledScanIntervalHours": (1, 8760),
+}
+SWITCHES = ("checkAnchorFragments", "checkIframes", "checkImages", "checkInternalLinks", "notifyEmailEnabled", "notifyOnNewBroken", "notifySlackEnabled", "pruneOrphanUrls", "renderedCrawlEnabled", "scanNavigationNodes", "scanOnSave", "scanPlainTextUrls", "scanRelationFields", "scheduledScanEnabled", "stripTrackingParams", "verifySsl")
+TEXTS = ("notifyEmailRecipients", "notifySlackWebhookUrl", "proxy", "userAgent")
+LISTS = ("scannedElementTypes", "excludedCategoryGroupUids", "excludedFieldUids", "excludedSectionUids")
+PATTERNS = ("patterns", "excludedUriPatterns", "ignorePatterns", "internalUrlAllowPatterns")
+
+
+def _whole_number(value) -> int | None:
+    if isinstance(value, bool):
+        return None
+    if isinstance(value, str):
+        return int(value) if re.fullmatch(r"\s*[+-]?\d+\s*", value) else None
+    return value if isinstance(value, int) else None
+
+
 def settings_errors(settings: dict, spark=None) -> list[str]:
-    """Names of settings that are out of range or hold a pattern that is no regular expression."""
-    # The ranges of the settings.
-    ranges = {"concurrency": (1, 50), "hostConcurrency": (1, 10), "minHostDelayMs": (0, 60000)}
-    out = [k for k, (low, high) in ranges.items() if k in settings and not (isinstance(settings[k], int) and low <= settings[k] <= high)]
-    for row in settings.get("patterns", ()):
-        if row.get("enabled", True):
-            try:
-                re.compile(row.get("pattern", ""))
-            except re.error:
-                out.append(row["pattern"])
+    """Names of settings that are out of range or of another kind, and patterns that are no regular expression (only those that
+    are switched on count).  Numbers may be written as text, switches as 0 and 1; a setting that is not given is right."""
+    out = []
+    for name, (low, high) in RANGES.items():
+        if settings.get(name) is not None:
+            n = _whole_number(settings[name])
+            if n is None or n < low or (high is not None and n > high):
+                out.append(name)
+    out += [k for k in SWITCHES if settings.get(k) is not None and settings[k] not in (True, False, 0, 1, "0", "1")]
+    out += [k for k in TEXTS if settings.get(k) is not None and not isinstance(settings[k], str)]
+    out += [k for k in LISTS if settings.get(k) and not (isinstance(settings[k], list) and all(isinstance(x, str) for x in settings[k]))]
+    for name in PATTERNS:
+        for row in settings.get(name) or ():
+            if row.get("enabled", True):
+                try:
+                    re.compile(row.get("pattern", ""))
+                except re.error:
+                    out.append(row["pattern"])
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import url as U
 from ..functions.url import clipped
 
 # Column widths of the store.
@@ -24,6 +25,39 @@ def upsert(links: DataFrame, urls: DataFrame, ignores: DataFrame) -> DataFrame:
     return out.select("url_hash", F.coalesce("id", F.lit(-1).cast("long")).alias("id"), F.coalesce("status", F.when(F.col("hit"), "ignored").otherwise("pending")).alias("status"))
 
 
+def new_urls(links: DataFrame, urls: DataFrame, ignores: DataFrame, as_of: str) -> DataFrame:
+    """The rows to store for addresses of links(url, is_internal, site_id, pos) that are not stored yet, each once, as its first
+    link says: url_hash, url, host, scheme, site_id (own addresses only), is_internal, status, date_first_seen, clipped.
+
+    A stand-in has its own scheme and no host.  An address whose hash a person ignored comes back ignored."""
+    first = links.where("url is not null").groupBy("url").agg(F.min_by(F.struct("is_internal", "site_id"), F.struct("pos", "site_id")).alias("f"))
+    first = first.withColumn("url_hash", U.fingerprint(F.col("url"))).join(urls.select("url_hash"), "url_hash", "left_anti")
+    hit = ignores.where("scope = 'url'").select("url_hash").distinct().withColumn("__hit", F.lit(True))
+    out = first.join(hit, "url_hash", "left")
+    kind = U.stand_in_scheme(F.col("url"))
+    return clip(out.select(
+        "url_hash",
+        "url",
+        F.when(kind.isNotNull(), "").otherwise(F.coalesce(U.host_of(F.col("url")), F.lit(""))).alias("host"),
+        F.coalesce(kind, U.scheme_of(F.col("url"))).alias("scheme"),
+        F.when(F.col("f.is_internal"), F.col("f.site_id")).alias("site_id"),
+        F.col("f.is_internal").alias("is_internal"),
+        F.when(F.col("__hit"), "ignored").otherwise("pending").alias("status"),
+        F.lit(as_of).cast("timestamp_ntz").alias("date_first_seen"),
+    ))
+
+
+def addresses_of(elements_sites: DataFrame, sites: DataFrame, ids: DataFrame, strip: bool = True) -> DataFrame:
+    """(element_id, url_hash) of every address under which elements ids(element_id) may be linked: both stand-ins, and their
+    page on each site that has one (elements_sites(element_id, site_id, uri), sites(site_id, base_url))."""
+    who = ids.select("element_id").distinct()
+    stand_ins = who.select("element_id", F.explode(F.array(U.stand_in(F.col("element_id")), U.stand_in(F.col("element_id"), True))).alias("url"))
+    pages = elements_sites.where("uri is not null").join(who, "element_id", "left_semi").join(sites.select("site_id", "base_url").where("base_url is not null"), "site_id")
+    path = F.when(F.col("uri") == U.HOME, "").otherwise(F.ltrim("uri", F.lit("/")))
+    pages = pages.select("element_id", U.normalised(F.concat(F.regexp_replace("base_url", "/+$", ""), F.lit("/"), path), strip=strip).alias("url")).where("url is not null")
+    return stand_ins.unionByName(pages).select("element_id", U.fingerprint(F.col("url")).alias("url_hash")).distinct()
+
+
 def replace(table: DataFrame, where: Column, rows: DataFrame | None = None) -> DataFrame:
     """table without the rows where the condition holds, and with new ones (a null condition keeps a row)."""
     kept = table.where(~F.coalesce(where, F.lit(False)))

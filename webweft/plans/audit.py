@@ -255,7 +255,7 @@ PAIRED: dict[str, Query] = {
     "error_reason": (lambda s, d: T(s, d, "replies").select("id", V.error_reason(F.col("message")).alias("reason")), f"SELECT id, {_ERROR_SQL} AS reason FROM replies"),
     "error_verdict": (lambda s, d: T(s, d, "replies").select("id", V.error_verdict(F.col("error_kind"), F.col("message")).alias("v")).select("id", "v.status", "v.reason"), f"SELECT id, CASE error_kind WHEN 'unsafe-dns' THEN 'unreachable' WHEN 'unsafe' THEN 'unsafe' ELSE CASE WHEN lower(message) LIKE '%status code must be%' THEN 'blocked' WHEN error_kind='redirects' THEN 'broken' ELSE 'unreachable' END END AS status, CASE error_kind WHEN 'unsafe-dns' THEN 'dns' WHEN 'unsafe' THEN 'private-ip' ELSE CASE WHEN lower(message) LIKE '%status code must be%' OR error_kind='redirects' THEN 'http' ELSE {_ERROR_SQL} END END AS reason FROM replies"),
     "guard_verdict": (lambda s, d: T(s, d, "replies").select("id", V.guard_verdict(F.col("refusal")).alias("v")).select("id", "v.status", "v.reason"), "SELECT id, CASE WHEN refusal IS NULL THEN NULL WHEN refusal='dns' THEN 'unreachable' ELSE 'unsafe' END AS status, CASE WHEN refusal='scheme' THEN 'unsafe-scheme' ELSE refusal END AS reason FROM replies"),
-    "redirect_info": (lambda s, d: _signed(s, d).select("id", V.redirect_info(F.col("chain"), F.array(F.col("final_url"))).alias("r")).select("id", F.col("r.count").alias("hops"), "r.permanent", "r.status", "r.final_url"), "SELECT id, len(h) AS hops, CASE WHEN len(h)>0 THEN list_contains(h, '301') OR list_contains(h, '308') END AS permanent, CAST(h[1] AS INT) AS status, CASE WHEN len(h)>0 THEN final_url END AS final_url FROM (SELECT id, final_url, list_filter(string_split(hops, ','), lambda x: x<>'') AS h FROM replies) t"),
+    "redirect_info": (lambda s, d: _signed(s, d).select("id", V.redirect_info(F.col("chain"), F.transform("chain", lambda _: F.col("final_url"))).alias("r")).select("id", F.col("r.count").alias("hops"), "r.permanent", "r.status", "r.final_url"), "SELECT id, len(h) AS hops, CASE WHEN len(h)>0 THEN list_contains(h, '301') OR list_contains(h, '308') END AS permanent, CAST(h[1] AS INT) AS status, CASE WHEN len(h)>0 THEN final_url END AS final_url FROM (SELECT id, final_url, list_filter(string_split(hops, ','), lambda x: x<>'') AS h FROM replies) t"),
     "bot_signature": (lambda s, d: _signed(s, d).select("id", "signature"), f"SELECT id, {_SIGNATURE_SQL} AS signature FROM replies"),
     "body_snippet": (lambda s, d: T(s, d, "replies").select("id", V.body_snippet(F.col("body"), F.col("http_status"), F.col("method")).alias("snippet")), "SELECT id, CASE WHEN method='GET' AND NOT (http_status BETWEEN 200 AND 299) THEN lower(body) END AS snippet FROM replies"),
     "get_fallback": (lambda s, d: _signed(s, d).select("id", F.coalesce(V.worth_one_get(F.col("method"), F.col("http_status"), F.col("signature")), F.lit(False)).alias("again")), f"SELECT id, method='HEAD' AND coalesce(http_status IN (405,501) OR (http_status IN (400,403,404,410,503) AND {_SIGNATURE_SQL} IS NULL), false) AS again FROM replies"),

@@ -188,10 +188,10 @@ def _shared(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
-    from . import audit, content
+    from . import audit, content, upkeep
 
     out = {n: (audit.OPERATORS.get(n) or _shared(q), q) for n, q in SHARED.items()} | PAIRED
-    for name, (run, sql) in (audit.PAIRED | content.PAIRED).items():
+    for name, (run, sql) in (audit.PAIRED | content.PAIRED | upkeep.PAIRED).items():
         out[name] = (run, sql or out.get(name, (None, ""))[1])
     return out
 
