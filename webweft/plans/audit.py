@@ -72,7 +72,7 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recent_scans": lambda s, d: T(s, d, "scans").orderBy(F.desc("id")).limit(5).select("id", "mode", "status"),
     "ignored_list": lambda s, d: reports.ignored(*T(s, d, "ignores", "urls", "refs")).orderBy(F.desc("date_created"), F.desc("id")).limit(200).select("id", "value", "user_id", "status"),
     "due_urls": lambda s, d: sources.due(T(s, d, "urls"), NOW).select("id"),
-    "check_chunks": lambda s, d: sources.chunks(T(s, d, "urls").where("next_check_after <= timestamp_ntz'2024-03-01' and status not in ('ignored', 'unsafe')"), stretch=64),
+    "check_chunks": lambda s, d: sources.chunks(T(s, d, "urls").where("next_check_after <= timestamp_ntz'2024-03-01' and status not in ('ignored', 'unsafe')")),
     "blocked_hosts": lambda s, d: T(s, d, "hosts").select("host", "consecutive_failures", hosts.backoff_seconds(F.col("consecutive_failures")).alias("block_seconds")),
     "effective_delay": lambda s, d: T(s, d, "hosts").select("host", hosts.effective_delay(F.col("min_delay_ms")).alias("delay_ms")),
     "orphan_urls": lambda s, d: lifecycle.orphans(*T(s, d, "urls", "refs"), "2024-02-01 01:00:00").select("id"),

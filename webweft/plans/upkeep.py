@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import verdicts as V
-from ..operators import counts, export, lifecycle, reports, routing, state
+from ..operators import counts, export, hosts, lifecycle, reports, routing, state
 from ..sources import bridge, store
 from ..sources.staging import shared_dir, stored
 from .audit import _DIGEST_SQL, _SIGNATURE_SQL, _STATUS_SQL, NOW, T, _signed
@@ -123,5 +123,9 @@ PAIRED = {
     "message": (_message, f"SELECT CASE WHEN total=1 THEN 'One broken link' ELSE CAST(total AS VARCHAR)||' broken links' END||' on Example & Co <x>' AS subject, replace(body, 'on Example has', 'on Example & Co <x> has') AS body, '{{\"username\":\"Link Audit\",\"text\":'||CAST(to_json('*'||CASE WHEN total=1 THEN 'One broken link' ELSE CAST(total AS VARCHAR)||' broken links' END||' on Example &amp; Co &lt;x&gt;*'||chr(10)||replace(replace(replace(replace(body, 'on Example has', 'on Example & Co <x> has'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS VARCHAR)||'}}' AS slack FROM ({_DIGEST_SQL}) t"),
     "url_page_with_total": (_page, "SELECT u.id, u.url, c.n AS ref_count, count(*) OVER () AS total FROM urls u JOIN (SELECT url_id, count(*) AS n FROM refs WHERE site_id=1 GROUP BY url_id) c ON c.url_id=u.id WHERE u.status='broken' ORDER BY u.url NULLS FIRST, u.id LIMIT 30 OFFSET 30"),
     "element_forward": (_forward, _FORWARD_SQL),
+    # The delay step by step: a limit raises it, a success halves it or ends it.
+    "host_delays": (lambda s, d: hosts.folded(T(s, d, "host_log")).select("host", "min_delay_ms", "date_last_request"), """WITH RECURSIVE k AS (SELECT host, seen_at, wait, CASE WHEN status IN ('ok','redirect','broken','blocked') THEN 's' WHEN status='pending' AND http_status=429 THEN 'l' WHEN status='unreachable' THEN 'f' END AS kind, row_number() OVER (PARTITION BY host ORDER BY seen_at, seq) AS k FROM host_log WHERE status<>'pending' OR http_status=429),
+ r(host, k, delay) AS (SELECT DISTINCT host, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM k UNION ALL SELECT k.host, k.k, CASE kind WHEN 'l' THEN greatest(delay, least(30000, 1000*least(900, greatest(1, coalesce(wait, 60))))) WHEN 's' THEN CASE WHEN delay//2 > 250 THEN delay//2 ELSE 0 END ELSE delay END FROM r JOIN k ON k.host=r.host AND k.k=r.k+1)
+ SELECT r.host, nullif(arg_max(delay, r.k), 0) AS min_delay_ms, max(seen_at) AS date_last_request FROM r JOIN k ON k.host=r.host AND k.k=r.k GROUP BY r.host"""),
     "verdict_override": (_overridden, f"SELECT id, CASE WHEN http_status=999 AND host='x.com' THEN 'blocked' WHEN http_status=999 THEN 'ok' WHEN host='x.com' AND v='ok' THEN 'blocked' ELSE v END AS status, CASE WHEN http_status=999 THEN CASE WHEN host='x.com' THEN 'http' END WHEN host='x.com' AND v='ok' THEN 'http' ELSE r END AS reason FROM (SELECT id, host, http_status, CASE WHEN st='pending' OR sig IS NULL THEN st ELSE 'blocked' END AS v, CASE WHEN st='pending' THEN 'rate-limited' WHEN sig IS NOT NULL THEN 'http' WHEN http_status BETWEEN 200 AND 299 THEN NULL ELSE 'http' END AS r FROM (SELECT id, host, http_status, {_STATUS_SQL} AS st, {_SIGNATURE_SQL} AS sig FROM replies WHERE http_status IS NOT NULL) t) u"),
 }
