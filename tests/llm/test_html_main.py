@@ -105,3 +105,23 @@ def test_training():
     w = html_main.fit(np.array(x), np.array(y))
     assert all((sum(a * b for a, b in zip(v, w, strict=True)) > 0) == (k > 0) for v, k in zip(x, y, strict=True))
     assert html_main.marked(None) == ([], [])
+
+
+def test_the_classifier_decides(spark, small):
+    """Without weights nothing is content, with negated ones other blocks are; no page keeps its text.  Without the text's weights,
+    or with them negated, a page's text changes where its marks mislead."""
+    pages = table(spark, small, "pages")
+    weights = html_main.train(pages)
+    assert len(weights) == html_main.SHAPES + 2 and min(weights[html_main.SHAPES :]) > 0
+    negated = tuple(-w for w in weights)
+    for r in pages.collect():
+        text = html_main.main_text(r.html, weights)
+        assert text and html_main.main_text(r.html, (0.0,) * len(weights)) == ""
+        assert html_main.main_text(r.html, negated) not in (text, "")
+    story = "<p>" + "A long sentence of the story, with commas and all, that anyone would take for the content of a page. " * 6 + "</p>"
+    page = f'<body><nav><a href="/x">Home</a></nav><div class="share">{story * 8}</div></body>'
+    blind = (*[0.0] * html_main.SHAPES, *weights[html_main.SHAPES :])
+    assert len(html_main.main_text(page, weights)) > 4000 and html_main.main_text(page, blind) == ""
+    assert html_main.main_text(page, (*negated[: html_main.SHAPES], *weights[html_main.SHAPES :])) == ""
+    comments = page.replace("share", "comments").replace(story * 8, "<p>Nice read, thank you for it, really.</p>" * 8)
+    assert html_main.main_text(comments, weights) == ""

@@ -1,15 +1,19 @@
 """Main text of web pages by minimum cut.
 
-A page becomes a list of text blocks.  A trained classifier, which sees a block's text and links alone, gives its
-log-odds of being content: the terminal capacities.  Smoothness edges join neighbours in page order, neighbours under
-one DOM parent, and each block with the node of the nearest element that marks its surroundings (article or main;
-nav, footer, aside, form; telling class names), which bears capacity of its own.  The minimum cut labels every block,
-against its own odds where its surroundings weigh more.  Nodes whose own odds outweigh all their edges are settled
-first (which never changes the cut); Dinic's algorithm solves what is left.
-
-The classifier is a logistic model of FEATURES text shapes, trained on a bounded sample of the pages themselves
+A page becomes a list of text blocks.  A trained classifier gives capacities: a block's log-odds of being content, by its
+text and links alone, are its terminal capacity; what a mark is worth (article or main; nav, footer, aside, form; telling
+class names) is learned with them, one weight for marks by element and one for marks by name.  Smoothness edges join
+neighbours in page order, neighbours under one DOM parent, and each block with the node of the nearest element that marks its
+surroundings; that edge, and the node's own capacity, are the mark's weight.  The minimum cut labels every block, against its
+own odds where its surroundings weigh more, and against its mark where its text, or the texts of all that the mark covers,
+weigh more.  Without learned weights nothing is content.  Nodes whose own odds outweigh all their edges are settled first
+(which never changes the cut); Dinic's algorithm solves what is left.
+
+The classifier is a logistic model of SHAPES text shapes and two marks, trained on a bounded sample of the pages themselves
 (SAMPLE pages of lowest hash, BLOCKS blocks of each): blocks under article or main are its positives, blocks under
-boilerplate elements its negatives.  Without both it falls back to the fixed WEIGHTS.
+boilerplate elements its negatives.  The text's weights are fitted with all marks held out, so they stand alone; the marks'
+weights are fitted on blocks that come twice, with their mark and without it, so they stay of the text's order.  Without both
+kinds it falls back to the fixed WEIGHTS.
 
 Defined cases: null or empty html gives an empty text and 0; markup without a content block gives an empty text;
 unclosed, stray or nested tags are repaired as they come, in time linear in the page; repeated pages give repeated
@@ -45,12 +49,14 @@ BAD_WORDS = set("ad ads advert advertisement adverts advertising banner breadcru
 GOOD_WORDS = set("article body content entry main post story text".split())
 _ENDS = re.compile(r"[.!?…:;\"”»)]\s*$")
 
-SAMPLE, BLOCKS, FEATURES = 1000, 64, 6
-#: Used where a sample has no blocks of both kinds: bias, length, links, sentence end, commas, capitals.
-WEIGHTS = (-2.0, 4.0, -4.0, 1.0, 1.0, -0.5)
-#: A block's odds are held within MOST; edges: next block, next under the same parent, to a marking element by its tag
-#: and by its names, and between surroundings that differ.  A marking element bears ANCHOR and SHARE for each block.
-MOST, NEXT, NEAR, BY_TAG, BY_NAME, APART, ANCHOR, SHARE = 1.5, 0.5, 0.3, 2.5, 2.0, 0.1, 3.0, 1.8
+SAMPLE, BLOCKS, SHAPES = 1000, 64, 6
+#: Used where a sample has no blocks of both kinds: bias, length, links, sentence end, commas, capitals; a mark by element, by name.
+WEIGHTS = (-2.0, 4.0, -4.0, 1.0, 1.0, -0.5, 5.0, 4.0)
+#: Names whose marks weigh like elements'.
+FIRM_WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "advertising", "comment", "comments", "cookie", "cookies", "disqus", "replies", "sponsored"}
+#: A block's odds are held within MOST; edges: next block, next under the same parent, between surroundings that differ.  A
+#: marking node's own capacity is its mark's weight, and SHARE of it (FIRM_SHARE by element) for each block.
+MOST, NEXT, NEAR, APART, SHARE, FIRM_SHARE = 6.0, 0.5, 0.3, 0.1, 0.5, 0.75
 
 
 class Block:
@@ -77,8 +83,8 @@ def _mark(tag: str, attrs: str) -> tuple[int, int, bool]:
                     good = 2
         if words:
             b, g = bool(words & BAD_WORDS), bool(words & GOOD_WORDS)
-            if b and (not g or words & {"comment", "comments", "ad", "ads", "advert", "sponsored"}):
-                bad = max(bad, 1)
+            if b and (not g or words & FIRM_WORDS):
+                bad = max(bad, 2 if words & FIRM_WORDS else 1)
             elif g and not b:
                 good = max(good, 1)
     return good, bad, hidden
@@ -206,7 +212,7 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 40) -> tuple[float, ...]:
 
 def odds(b: Block, weights: tuple[float, ...] = WEIGHTS) -> float:
     """Log-odds that a block is content, by its text alone."""
-    return max(-MOST, min(MOST, sum(v * w for v, w in zip(shape(b), weights, strict=True))))
+    return max(-MOST, min(MOST, sum(v * w for v, w in zip(shape(b), weights[:SHAPES], strict=True))))
 
 
 def graph(found: list[Block], weights: tuple[float, ...] = WEIGHTS) -> tuple[list[float], dict[tuple[int, int], float]]:
@@ -230,9 +236,11 @@ def graph(found: list[Block], weights: tuple[float, ...] = WEIGHTS) -> tuple[lis
             key = (content, b.anchor if b.bad or content else 0)
             if key not in nodes:
                 nodes[key] = len(z)
-                z.append(ANCHOR if content else -ANCHOR)
-            z[nodes[key]] += SHARE if content else -SHARE
-            edges[(i, nodes[key])] = BY_TAG if max(b.good, b.bad) == 2 else BY_NAME
+                z.append(0.0)
+            firm = max(b.good, b.bad) == 2
+            mark = (weights[SHAPES] if firm else weights[SHAPES + 1]) * (1 if content else -1)
+            z[nodes[key]] += mark * ((FIRM_SHARE if firm else SHARE) + (not z[nodes[key]]))
+            edges[(i, nodes[key])] = abs(mark)
     return z, edges
 
 
@@ -323,12 +331,19 @@ def main_text(page: str | None, weights: tuple[float, ...] = WEIGHTS) -> str:
     return " ".join(b.text for b, k in zip(found, cut(*graph(found, weights)), strict=False) if k)
 
 
+def inputs(b: Block) -> list[float]:
+    """A block's shapes, and its mark by element and by name (1 content, -1 boilerplate, 0 none)."""
+    side = -1.0 if b.bad else 1.0 if b.good else 0.0
+    firm = max(b.good, b.bad) == 2
+    return [*shape(b), side * firm, side * (not firm)]
+
+
 def marked(page: str | None) -> tuple[list[list[float]], list[float]]:
-    """Shapes and labels of up to BLOCKS blocks whose surroundings are marked by an element."""
+    """Inputs and labels of up to BLOCKS blocks whose surroundings are marked."""
     sure = [b for b in (blocks(page) if page else []) if b.bad or b.good == 2]
     if len(sure) > BLOCKS:
         sure = [sure[i * len(sure) // BLOCKS] for i in range(BLOCKS)]
-    return [shape(b) for b in sure], [0.0 if b.bad else 1.0 for b in sure]
+    return [inputs(b) for b in sure], [0.0 if b.bad else 1.0 for b in sure]
 
 
 def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> tuple[float, ...]:
@@ -342,10 +357,15 @@ def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> tuple[f
     chosen = keyed.select("__h").distinct().orderBy("__h").limit(sample)
     picked = keyed.join(F.broadcast(chosen), "__h").groupBy("__h").agg(F.min("__page").alias("__page"))  # at most `sample` longs
     rows = sorted((r["__h"], r["x"]) for r in picked.select("__h", measured("__page").alias("x")).collect())
-    data = np.array([v for _, x in rows for v in x], float).reshape(-1, FEATURES + 1)
+    data = np.array([v for _, x in rows for v in x], float).reshape(-1, SHAPES + 3)
     if len(data) == 0 or len(np.unique(data[:, -1])) < 2:
         return WEIGHTS
-    return fit(data[:, :-1], data[:, -1])
+    held = data.copy()
+    held[:, SHAPES : SHAPES + 2] = 0.0
+    both = np.concatenate([data, held])
+    w = (*fit(data[:, :SHAPES], data[:, -1]), *fit(both[:, :-1], both[:, -1])[SHAPES:])
+    seen = np.abs(data[:, SHAPES : SHAPES + 2]).any(axis=0)  # a mark that no sampled block bears keeps its fixed weight
+    return (*w[:SHAPES], *(v if s else f for v, s, f in zip(w[SHAPES:], seen, WEIGHTS[SHAPES:], strict=True)))
 
 
 def extract(pages: DataFrame, html: str = "html", weights: tuple[float, ...] | None = None) -> DataFrame:
