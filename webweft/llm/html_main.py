@@ -56,7 +56,7 @@ WEIGHTS = (-2.0, 4.0, -4.0, 1.0, 1.0, -0.5, 5.0, 4.0)
 FIRM_WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "advertising", "comment", "comments", "cookie", "cookies", "disqus", "replies", "sponsored"}
 #: A block's odds are held within MOST; edges: next block, next under the same parent, between surroundings that differ.  A
 #: marking node's own capacity is its mark's weight, and SHARE of it (FIRM_SHARE by element) for each block.
-MOST, NEXT, NEAR, APART, SHARE, FIRM_SHARE = 6.0, 0.5, 0.3, 0.1, 0.5, 0.75
+MOST, NEXT, NEAR, APART, SHARE, FIRM_SHARE = 6.0, 0.5, 0.3, 0.1, 0.3, 0.75
 
 
 class Block:
