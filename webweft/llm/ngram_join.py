@@ -311,14 +311,23 @@ def _marked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     _rounds(places, found, check_groups, num, den)
 
-    named = found.on(nodes.select("n", "fp", "node", "doc"), "node", "cls")
-    low = named.groupBy("cls").agg(F.min(F.struct("doc", "fp")).alias("low"))
-    named = named.join(low, "cls").select("n", "fp", "low")
+    named = _with_lowest(stored(found.on(nodes.select("n", "fp", "node", "doc"), "node", "cls").select("n", "fp", "doc", "cls"), "named"))
     out = sets.select("doc_id", "n", "fp").join(named, ["n", "fp"], "left")
     first = (F.col("doc_id") == F.col("low.doc")) & (F.col("fp") == F.col("low.fp"))
     return out.select("doc_id", "n", "fp", F.col("low.doc").alias("comp"), F.coalesce(first, F.lit(False)).alias("first"))
 
 
+def _with_lowest(named: DataFrame) -> DataFrame:
+    """(n, fp, low) of named(n, fp, doc, cls): low is the smallest (doc, fp) of the class.  Classes with very many members, at
+    most 65,536 of them, go to every task; the join by class has the others."""
+    per = stored(named.groupBy("cls").agg(F.min(F.struct("doc", "fp")).alias("low"), F.count("*").alias("c")), "lowest")
+    limit = max(256, named.count() >> 16)
+    large = F.broadcast(per.where(F.col("c") > limit).select("cls", F.col("low").alias("__low")))
+    both = named.join(large, "cls", "left")
+    rest = both.where("__low is null").join(per.where(F.col("c") <= limit).select("cls", "low"), "cls").select("n", "fp", "low")
+    return both.where("__low is not null").select("n", "fp", F.col("__low").alias("low")).unionByName(rest)
+
+
 def _fingerprint(k: int):
     @F.udf("binary")
     def fingerprint(t):
