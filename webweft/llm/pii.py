@@ -21,6 +21,8 @@ repeated rows and null ids need no care; columns of docs are kept whatever their
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +52,9 @@ IBAN_RUNS = [rf"(?<![A-Z0-9])(?=([A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{{q}}}{f'
 #: Usual lengths; they only decide between candidates that overlap.
 ISSUED = r"^(?:4\d{15}|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|3[0689]\d{12}|35\d{14}|6\d{15})$"
 COUNTRIES = "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
-BEFORE = "|".join(f"(?:{p})" for k, p in KINDS.items() if k not in ("iban", "card", "phone"))
+#: What holds where any find begins; inside a word nothing else is tried.
+BEGINS = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9._%+(-])"
+BEFORE = f"(?:{EMAIL})|(?=[0-9A-Fa-f])(?:" + "|".join(f"(?:{p})" for k, p in KINDS.items() if k not in ("email", "iban", "card", "phone")) + ")"
 AFTER = f"(?:{PHONE})"
 
 
@@ -63,28 +67,33 @@ def _chars(s: Column) -> Column:
     return F.when(F.length(s) > 0, F.split(s, "")).otherwise(F.array().cast("array<string>"))
 
 
-def _shift(half: Column, other: Column, key: str, r: int, hexadecimal: bool = False) -> Column:
+def _shift(half: Column, other: Column, key: Column, r: Column, hexadecimal: Column) -> Column:
     """half with each character moved inside its class by an amount that a keyed hash of the other half gives.
     Reaches 32 characters a hash; longer halves use one hash per 32."""
 
     def one(c: Column, i: Column) -> Column:
-        h = F.sha2(F.concat(F.lit(f"{key}|{r}|"), (i - i % 32).cast("string"), F.lit("|"), F.length(half).cast("string"), F.lit("|"), other), 512)
+        h = F.sha2(F.concat(key, F.lit("|"), r.cast("string"), F.lit("|"), (i - i % 32).cast("string"), F.lit("|"), F.length(half).cast("string"), F.lit("|"), other), 512)
         n = F.conv(F.substring(h, (i % 32) * 4 + 1, 4), 16, 10).cast("int")
-        move = lambda abc: F.substring(F.lit(abc), ((F.instr(F.lit(abc), c) - 1 + n) % len(abc)) + 1, 1)
-        if hexadecimal:
-            return move(_DIGITS + "abcdef")
-        return F.when(c.rlike("[0-9]"), move(_DIGITS)).when(c.rlike("[a-z]"), move(_LOWER)).otherwise(move(_UPPER))
+
+        def move(abc: Column) -> Column:
+            return F.substring(abc, ((F.instr(abc, c) - 1 + n) % F.length(abc)) + 1, F.lit(1))
+
+        return _named(F.when(hexadecimal, _DIGITS + "abcdef").when(c.rlike("[0-9]"), _DIGITS).when(c.rlike("[a-z]"), _LOWER).otherwise(_UPPER), move)
 
     return F.array_join(F.transform(_chars(half), one), "")
 
 
-def permuted(core: Column, key: str, hexadecimal: bool = False) -> Column:
+def permuted(core: Column, key: Column, hexadecimal: Column) -> Column:
     """A keyed permutation of strings of digits and letters that keeps length and each character's class (or of strings
-    of small hexadecimal digits)."""
-    state = F.struct((F.length(core) / 2).cast("int").alias("h"), core.alias("s"))
-    for r in range(ROUNDS):
-        state = _named(state, _step(key, r, hexadecimal))
-    return state["s"]
+    of small hexadecimal digits).  Left and right half move in turn, each by the other."""
+    state = F.struct((F.length(core) / 2).cast("int").alias("h"), core.alias("s"), key.alias("k"), hexadecimal.alias("x"))
+
+    def step(x: Column, r: Column) -> Column:
+        left, right, odd = F.substring(x["s"], F.lit(1), x["h"]), F.substring(x["s"], x["h"] + 1, F.length(x["s"])), r % 2 == 1
+        moved = _shift(F.when(odd, left).otherwise(right), F.when(odd, right).otherwise(left), x["k"], r, x["x"])
+        return F.struct(x["h"].alias("h"), F.when(odd, F.concat(moved, right)).otherwise(F.concat(left, moved)).alias("s"), x["k"].alias("k"), x["x"].alias("x"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), state, step, lambda x: x["s"])
 
 
 def _named(value: Column, use) -> Column:
@@ -92,15 +101,6 @@ def _named(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _step(key: str, r: int, hexadecimal: bool):
-    return lambda x: F.struct(x["h"].alias("h"), _round(x, key, r, hexadecimal).alias("s"))
-
-
-def _round(x: Column, key: str, r: int, hexadecimal: bool) -> Column:
-    left, right = F.substring(x["s"], F.lit(1), x["h"]), F.substring(x["s"], x["h"] + 1, F.length(x["s"]))
-    return F.concat(_shift(left, right, key, r, hexadecimal), right) if r % 2 else F.concat(left, _shift(right, left, key, r, hexadecimal))
-
-
 def _refill(s: Column, core: Column) -> Column:
     """s with its letters and digits replaced, in order, by the characters of core."""
     zero = F.struct(F.lit(0).alias("i"), F.lit("").alias("o"))
@@ -116,12 +116,14 @@ def _core(s: Column) -> Column:
     return F.regexp_replace(s, "[^A-Za-z0-9]", "")
 
 
-def _numbers(value: Column, a: int, b: int, key: str) -> Column:
+def _numbers(value: Column, a: Column | int, b: Column | int, key: Column | str) -> Column:
     """A keyed permutation of range(a * b): both coordinates move in turn, each by a hash of the other."""
+    a, b = (F.lit(n).cast("long") if isinstance(n, int) else n for n in (a, b))
+    key = F.lit(key) if isinstance(key, str) else key
     state = F.struct(F.floor(value / b).cast("long").alias("x"), (value % b).cast("long").alias("y"))
 
     def step(s: Column, r: Column) -> Column:
-        hashed = lambda v, side: F.sha2(F.concat_ws("|", F.lit(key), F.lit(side), r.cast("string"), v.cast("string")), 256)
+        hashed = lambda v, side: F.sha2(F.concat_ws("|", key, F.lit(side), r.cast("string"), v.cast("string")), 256)
         f = lambda v, n, side: F.conv(F.substring(hashed(v, side), 1, 15), 16, 10).cast("long") % n
         x = (s["x"] + f(s["y"], a, "x")) % a
         return F.struct(x.cast("long").alias("x"), ((s["y"] + f(x.cast("long"), b, "y")) % b).cast("long").alias("y"))
@@ -190,99 +192,105 @@ def _find(values: Column) -> Column:
     one = F.concat(F.lit("(?:"), F.array_join(values, "|"), F.lit(")(?![A-Za-z0-9])"))
     # No telephone number reaches into one of them.
     phone = F.replace(F.lit(AFTER), F.lit("\\d{"), F.concat(F.lit("(?!"), one, F.lit(")\\d{")))
-    numbers = F.concat(F.lit(BEFORE + "|(?<![A-Za-z0-9])"), one, F.lit("|"), phone)
-    return F.when(F.size(values) > 0, numbers).otherwise(F.lit(BEFORE + "|" + AFTER))
-
-
-def _email(m: Column, key: str) -> Column:
-    local = F.substring_index(m, "@", 1)
-    return F.concat(_refill(local, permuted(_core(local), key + "|email")), F.lit("@"), F.substring_index(m, "@", -1))
+    numbers = F.concat(F.lit(f"{BEGINS}(?:{BEFORE}|"), one, F.lit("|"), phone, F.lit(")"))
+    return F.when(F.size(values) > 0, numbers).otherwise(F.lit(f"{BEGINS}(?:{BEFORE}|{AFTER})"))
 
 
-def _card(m: Column, key: str) -> Column:
-    d = _core(m)
-    n = F.length(d)
-    body = F.concat(F.substring(d, 1, 1), permuted(F.substring(d, F.lit(2), n - 2), key + "|card"))
-    return _refill(m, _named(body, lambda b: F.concat(b, ((10 - luhn_sum(b, 1) % 10) % 10).cast("string"))))
-
-
-def _iban(m: Column, key: str) -> Column:
-    c = _core(m)
-    country = F.substring(c, 1, 2)
-    body = permuted(F.substring(c, F.lit(5), F.length(c)), key + "|iban")
-    check = lambda b: F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
-    return _refill(m, _named(body, lambda b: F.concat(country, check(b), b)))
-
+def _ipv6_holds(m: Column) -> Column:
+    groups = F.size(F.filter(F.split(m, ":"), lambda g: g != ""))
+    short = m.contains("::") & ~m.rlike(":::|::.*::") & (groups <= 7) & (groups >= 2) & m.rlike("[0-9]")
+    return ~m.rlike("[0-9A-Fa-f]{5}") & (short | (~m.contains("::") & (groups == 8)))
 
-def _phone(m: Column, key: str) -> Column:
-    d = _core(m)
-    kept = F.when(m.rlike(r"^\+?1[ .(-]") & (F.length(d) == 11), 1).when(m.rlike(r"^\+"), F.greatest(F.length(d) - 9, F.lit(1))).otherwise(0)
-    return _refill(m, F.concat(F.substring(d, F.lit(1), kept), permuted(F.substring(d, kept + 1, F.length(d)), key + "|phone")))
 
+#: Days from 1900-01-01 to 2099-12-31: 17 * 4297.
+_EPOCH, _DAYS = "1900-01-01", (17, 4297)
 
-def _ssn(m: Column, key: str) -> Column:
-    area, group, serial = (F.substring(m, at, n).cast("int") for at, n in ((1, 3), (5, 2), (8, 4)))
-    index = F.when(area > 666, area - 2).otherwise(area - 1)  # 898 areas, 99 groups, 9999 serials
-    v = _numbers((index.cast("long") * 99 + group - 1) * 9999 + serial - 1, 898, 99 * 9999, key + "|ssn")
 
-    def spell(v: Column) -> Column:
-        a = F.floor(v / (99 * 9999)).cast("int")
-        a = F.when(a >= 665, a + 2).otherwise(a + 1)
-        return F.concat_ws("-", F.lpad(a.cast("string"), 3, "0"), F.lpad((F.floor(v / 9999) % 99 + 1).cast("string"), 2, "0"), F.lpad((v % 9999 + 1).cast("string"), 4, "0"))
+def _kind(m: Column) -> Column:
+    """What a find is (its pattern's name), null if it fails validation."""
+    day = lambda text, form: F.try_to_timestamp(text, F.lit(form)).isNotNull()
+    cases = (
+        ("email", m.contains("@")),
+        ("ssn", m.rlike(_whole("ssn"))),
+        ("ip", m.rlike(_whole("ip"))),
+        ("date", m.rlike(_whole("date")) & day(m, "yyyy-MM-dd")),
+        ("day_date", m.rlike(_whole("day_date")) & day(F.regexp_replace(m, "/", "."), "dd.MM.yyyy")),
+        ("us_date", m.rlike(_whole("us_date")) & day(m, "MM/dd/yyyy")),
+        ("ipv6", m.rlike(_whole("ipv6")) & _ipv6_holds(m)),
+        ("iban", m.rlike(_whole("iban")) & _iban_holds(m)),
+        ("card", m.rlike(_whole("card")) & _card_holds(m)),
+        ("phone", m.rlike(_whole("phone")) & F.length(_core(m)).between(8, 15)),
+    )
+    out = F.lit(None).cast("string")
+    for name, test in reversed(cases):
+        out = F.when(test, name).otherwise(out)
+    return out
 
-    return _named(v, spell)
 
+def _spelled(m: Column, kind: Column, key: str) -> Column:
+    """The pseudonym of a find whose letters and digits are permuted: one network over the part that moves."""
+    text = F.when(kind == "email", F.substring_index(m, "@", 1)).when(kind == "ipv6", F.lower(m)).otherwise(m)
 
-def _ip(m: Column, key: str) -> Column:
-    v = F.aggregate(F.split(m, "\\."), F.lit(0).cast("long"), lambda a, p: a * 256 + p.cast("long"))
-    spell = lambda v: F.concat_ws(".", *[(F.floor(v / d) % 256).cast("long").cast("string") for d in (1 << 24, 1 << 16, 1 << 8, 1)])
-    return _named(_numbers(v, 1 << 16, 1 << 16, key + "|ip"), spell)
+    def of_text(x: Column) -> Column:
+        d, n = x["d"], F.length(x["d"])
+        phone = F.when(m.rlike(r"^\+?1[ .(-]") & (n == 11), 1).when(m.rlike(r"^\+"), F.greatest(n - 9, F.lit(1))).otherwise(0)
+        first = F.when(kind == "card", 1).when(kind == "iban", 4).when(kind == "phone", phone).otherwise(0)
+        return _named(F.struct(x["t"].alias("t"), d.alias("d"), first.alias("first"), F.when(kind == "card", n - 2).otherwise(n - first).alias("n")), moved)
 
+    def moved(x: Column) -> Column:
+        new = permuted(F.substring(x["d"], x["first"] + 1, x["n"]), F.concat(F.lit(key + "|"), kind), kind == "ipv6")
+        return _named(F.struct(x["t"].alias("t"), F.substring(x["d"], F.lit(1), x["first"]).alias("kept"), new.alias("new")), filled)
 
-def _ipv6_holds(m: Column) -> Column:
-    groups = F.size(F.filter(F.split(m, ":"), lambda g: g != ""))
-    short = m.contains("::") & ~m.rlike(":::|::.*::") & (groups <= 7) & (groups >= 2) & m.rlike("[0-9]")
-    return ~m.rlike("[0-9A-Fa-f]{5}") & (short | (~m.contains("::") & (groups == 8)))
+    def filled(x: Column) -> Column:
+        luhn = lambda b: F.concat(b, ((10 - luhn_sum(b, 1) % 10) % 10).cast("string"))
+        country = F.substring(x["kept"], 1, 2)
+        check = F.lpad((98 - _mod97(F.concat(x["new"], country, F.lit("00")))).cast("string"), 2, "0")
+        body = F.when(kind == "card", _named(F.concat(x["kept"], x["new"]), luhn)).when(kind == "iban", F.concat(country, check, x["new"])).otherwise(F.concat(x["kept"], x["new"]))
+        return _refill(x["t"], body)
 
+    def whole(new: Column) -> Column:
+        return F.when(kind == "email", F.concat(new, F.lit("@"), F.substring_index(m, "@", -1))).when((kind == "ipv6") & m.rlike("[A-F]"), F.upper(new)).otherwise(new)
 
-def _ipv6(m: Column, key: str) -> Column:
-    new = _refill(F.lower(m), permuted(F.lower(_core(m)), key + "|ipv6", True))
-    return F.when(m.rlike("[A-F]"), F.upper(new)).otherwise(new)
+    return _named(_named(F.struct(text.alias("t"), _core(text).alias("d")), of_text), whole)
 
 
-#: Days from 1900-01-01 to 2099-12-31: 17 * 4297.
-_EPOCH, _DAYS = "1900-01-01", (17, 4297)
+def _counted(m: Column, kind: Column, key: str) -> Column:
+    """The pseudonym of a find that is a number of a range (social security numbers, IPv4 addresses, days): one network."""
+    area, group, serial = (F.substring(m, at, n).try_cast("int") for at, n in ((1, 3), (5, 2), (8, 4)))
+    index = F.when(area > 666, area - 2).otherwise(area - 1)  # 898 areas, 99 groups, 9999 serials
+    ssn = (index.cast("long") * 99 + group - 1) * 9999 + serial - 1
+    ip = F.aggregate(F.split(m, "\\."), F.lit(0).cast("long"), lambda a, p: a * 256 + p.try_cast("long"))
+    parts = F.when(kind == "date", F.array(*(F.substring(m, at, n) for at, n in ((1, 4), (6, 2), (9, 2))))).when(kind == "us_date", F.array(*(F.substring(m, at, n) for at, n in ((7, 4), (1, 2), (4, 2))))).otherwise(F.array(*(F.substring(m, at, n) for at, n in ((7, 4), (4, 2), (1, 2)))))
+    epoch = F.lit(_EPOCH).cast("date")
+    day = F.datediff(F.array_join(parts, "-").try_cast("date"), epoch).cast("long")
+    by = lambda *n: F.when(kind == "ssn", F.lit(n[0])).when(kind == "ip", F.lit(n[1])).otherwise(F.lit(n[2])).cast("long")
+    value = F.when(kind == "ssn", ssn).when(kind == "ip", ip).otherwise(day)
+    name = F.when(kind.isin("ssn", "ip"), kind).otherwise("date")
+    new = _numbers(value, by(898, 1 << 16, _DAYS[0]), by(99 * 9999, 1 << 16, _DAYS[1]), F.concat(F.lit(key + "|"), name))
 
+    def spell(v: Column) -> Column:
+        a = F.floor(v / (99 * 9999)).cast("int")
+        a = F.when(a >= 665, a + 2).otherwise(a + 1)
+        number = F.concat_ws("-", F.lpad(a.cast("string"), 3, "0"), F.lpad((F.floor(v / 9999) % 99 + 1).cast("string"), 2, "0"), F.lpad((v % 9999 + 1).cast("string"), 4, "0"))
+        address = F.concat_ws(".", *[(F.floor(v / d) % 256).cast("long").cast("string") for d in (1 << 24, 1 << 16, 1 << 8, 1)])
+        date = F.date_format(F.date_add(epoch, v.cast("int")), "yyyy-MM-dd")
+        y, mo, d = F.substring(date, 1, 4), F.substring(date, 6, 2), F.substring(date, 9, 2)
+        between = F.when(m.contains("/"), "/").otherwise(".")
+        dated = F.when(kind == "date", date).when(kind == "us_date", F.concat_ws("/", mo, d, y)).otherwise(F.concat(d, between, mo, between, y))
+        return F.when(kind == "ssn", number).when(kind == "ip", address).otherwise(dated)
 
-def _date(day: Column, pattern: str, key: str) -> Column:
-    v = _numbers(F.datediff(day, F.lit(_EPOCH).cast("date")).cast("long"), *_DAYS, key + "|date")
-    return F.date_format(F.date_add(F.lit(_EPOCH).cast("date"), v.cast("int")), pattern)
+    return _named(new, spell)
 
 
 def pseudonym(m: Column, key: str) -> Column:
     """struct(kind, value): a find's kind (null if it fails validation) and its pseudonym (itself then)."""
-    iso = F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date")
-    flat = F.regexp_replace(m, "/", ".")
-    day = F.try_to_timestamp(flat, F.lit("dd.MM.yyyy")).cast("date")
-    us = F.try_to_timestamp(m, F.lit("MM/dd/yyyy")).cast("date")
-    core = _core(m)
-    cases = (
-        ("email", m.contains("@"), _email(m, key)),
-        ("ssn", m.rlike(_whole("ssn")), _ssn(m, key)),
-        ("ip", m.rlike(_whole("ip")), _ip(m, key)),
-        ("date", m.rlike(_whole("date")) & iso.isNotNull(), _date(iso, "yyyy-MM-dd", key)),
-        ("date", m.rlike(_whole("day_date")) & day.isNotNull(), F.when(m.contains("/"), _date(day, "dd/MM/yyyy", key)).otherwise(_date(day, "dd.MM.yyyy", key))),
-        ("date", m.rlike(_whole("us_date")) & us.isNotNull(), _date(us, "MM/dd/yyyy", key)),
-        ("ip", m.rlike(_whole("ipv6")) & _ipv6_holds(m), _ipv6(m, key)),
-        ("iban", m.rlike(_whole("iban")) & _iban_holds(m), _iban(m, key)),
-        ("card", m.rlike(_whole("card")) & _card_holds(m), _card(m, key)),
-        ("phone", m.rlike(_whole("phone")) & F.length(core).between(8, 15), _phone(m, key)),
-    )
-    kind = value = None
-    for name, test, new in cases:
-        kind = F.when(test, name) if kind is None else kind.when(test, name)
-        value = F.when(test, new) if value is None else value.when(test, new)
-    return F.struct(kind.alias("kind"), value.otherwise(m).alias("value"))
+
+    def of_kind(kind: Column) -> Column:
+        value = F.when(kind.isNull(), m).when(kind.isin("email", "ipv6", "iban", "card", "phone"), _spelled(m, kind, key)).otherwise(_counted(m, kind, key))
+        name = F.when(kind.endswith("date"), "date").when(kind == "ipv6", "ip").otherwise(kind)
+        return F.struct(name.alias("kind"), value.alias("value"))
+
+    return _named(_kind(m), of_kind)
 
 
 def redact(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -317,7 +325,11 @@ KEY_SETTING, DEFAULT_KEY = "spark.webweft.pii.key", "webweft"
 
 
 def job_key(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_SETTING, None) or DEFAULT_KEY
+    """The session's key; without one the public key, and a warning, as anyone can undo its pseudonyms."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with a public key and can be undone", stacklevel=2)
+    return key or DEFAULT_KEY
 
 
 def digest(docs: DataFrame, key: str | None = None) -> DataFrame:
