@@ -44,6 +44,15 @@ def iso(at: Column) -> Column:
     return F.coalesce(F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")), F.lit(""))
 
 
+def files(urls: DataFrame, refs: DataFrame, site_ids: list[int], day: str) -> DataFrame:
+    """(status, rows, filename, header) of the export of each verdict that an address on the sites has."""
+    held = refs.where(F.col("site_id").isin(*site_ids)).groupBy(F.col("url_id").alias("id")).agg(F.count("*").alias("rows"))
+    found = urls.join(held, "id").groupBy("status").agg(F.sum("rows").alias("rows"))
+    name = F.concat(F.lit("link-audit-"), F.btrim(F.regexp_replace(F.lower(L.status_label(F.col("status"))), "[^a-z0-9]+", "-"), F.lit("-")), F.lit(f"-{day}.csv"))
+    top = F.when(F.col("status") == "redirect", ",".join(header("redirect"))).otherwise(",".join(header("")))
+    return found.select("status", "rows", name.alias("filename"), top.alias("header"))
+
+
 def rows(urls: DataFrame, refs: DataFrame, elements: DataFrame, sites: DataFrame, status: str, site_ids: list[int], **equal) -> DataFrame:
     """(id, line) of each reference on the sites to an address of the verdict; elements(id, title, edit_url, page_url)
     may lack a page, whose columns then stay blank."""

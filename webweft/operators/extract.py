@@ -84,10 +84,12 @@ def value_target(value: Column) -> Column:
 
 def navigation(nodes: DataFrame) -> DataFrame:
     """nodes(node_id, kind, target_id, raw_url, suffix, title, ...) to (node_id, target_id, href): passive nodes have no
-    link; a typed address with a placeholder, a variable or an alias is left alone."""
+    link; a typed address with a placeholder, a variable or an alias is left alone; a node of any further kind has the address
+    that it gives itself (own_url, where there is such a column)."""
     typed = F.btrim("raw_url", F.lit(U.BLANK))
     plain = (typed != "") & ~typed.contains("{") & ~typed.contains("$") & ~typed.startswith("@")
-    href = F.when((F.col("kind") == "custom") & plain, F.concat(typed, F.coalesce("suffix", F.lit(""))))
+    own = F.col("own_url") if "own_url" in nodes.columns else F.lit(None).cast("string")
+    href = F.when((F.col("kind") == "custom") & plain, F.concat(typed, F.coalesce("suffix", F.lit("")))).when(~F.col("kind").isin("custom", "element"), F.nullif(F.btrim(own, F.lit(U.BLANK)), F.lit("")))
     out = nodes.where("kind <> 'passive'").select("node_id", "site_id", "title", F.when(F.col("kind") == "element", F.col("target_id")).alias("target_id"), href.alias("href"))
     return out.where("target_id is not null or href is not null")
 

@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
+from ..functions import url as U
 from ..functions import verdicts as V
-from ..operators import counts, export, hosts, lifecycle, reports, routing, state
+from ..operators import counts, export, extract, hosts, lifecycle, reports, routing, state
 from ..sources import bridge, store
 from ..sources.staging import shared_dir, stored
 from .audit import _DIGEST_SQL, _SIGNATURE_SQL, _STATUS_SQL, NOW, T, _signed
@@ -109,7 +111,21 @@ _FORWARD_SQL = f"""WITH p AS ({_PAGES}), w AS (SELECT o_orderkey*10 AS e FROM or
  h AS (SELECT sha1('element:'||CAST(e AS VARCHAR)) AS url_hash FROM w UNION SELECT sha1('relation:'||CAST(e AS VARCHAR)) FROM w UNION SELECT sha1(CASE WHEN uri='__home__' THEN base_url ELSE base_url||uri END) FROM elements_sites JOIN sites USING (site_id) JOIN w ON w.e=element_id WHERE uri IS NOT NULL)
  SELECT id, status, CASE WHEN url_hash IN (SELECT url_hash FROM h) AND status<>'ignored' THEN {AS_OF} - INTERVAL '1' MINUTE ELSE next_check_after END AS next_check_after FROM (SELECT id, url_hash, status, next_check_after FROM urls UNION ALL SELECT id, url_hash, status, NULL FROM p) u"""
 
+_NODES = "SELECT node_id, site_id, title, CASE node_id%5 WHEN 3 THEN 'site' WHEN 4 THEN 'passive' ELSE kind END AS kind, target_id, raw_url, suffix, CASE WHEN node_id%15<>3 THEN ' https://Own.example.org:443/n/'||CAST(node_id AS VARCHAR(20)) END AS own_url FROM nodes"
+_EDITS = "SELECT id, element_id, owner_element_id, field_handle, 'https://cp.example/e/'||CAST(coalesce(owner_element_id, element_id) AS VARCHAR(20)) AS page, CASE WHEN id%3=0 THEN 'gallery' END AS block FROM refs"
+
+
+def _edits(s, d):
+    args = (F.col("page"), F.col("id"), F.col("element_id"), F.col("owner_element_id"), F.col("field_handle"), F.col("block"))
+    return _sql(s, d, _EDITS).select("id", L.edit_url(*args).alias("edit"), L.edit_url(*args, True).alias("precise"))
+
+
+_NAMES = f"""CASE status {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in L.STATUS.items())} END"""
+
 PAIRED = {
+    "edit_links": (_edits, f"SELECT id, page||CASE WHEN owner_element_id<>element_id THEN '#la-block-'||CAST(element_id AS VARCHAR)||CASE WHEN block IS NULL THEN '' ELSE '--'||block END WHEN trim(coalesce(field_handle, ''))='' THEN '' ELSE '#la-field-'||trim(field_handle) END AS edit, page||'#la-ref-'||CAST(id AS VARCHAR) AS precise FROM ({_EDITS}) t"),
+    "export_files": (lambda s, d: export.files(*T(s, d, "urls", "refs"), [1, 2], "2024-03-01"), f"SELECT status, count(*) AS rows, 'link-audit-'||trim(regexp_replace(lower({_NAMES}), '[^a-z0-9]+', '-', 'g'), '-')||'-2024-03-01.csv' AS filename, 'Page,Edit URL,Page URL,Page Type,Site,Field,Link Text,URL,Verdict,Reason,Response Code,'||CASE WHEN status='redirect' THEN 'Redirect Code,Goes To,' ELSE '' END||'Host,Found Via,Places Total,First Seen,Last Checked' AS header FROM refs r JOIN urls u ON u.id=r.url_id WHERE site_id IN (1, 2) GROUP BY status"),
+    "navigation_records": (lambda s, d: extract.navigation(_sql(s, d, _NODES)).select("node_id", "target_id", U.normalised(F.col("href"), F.lit("https://host2.example.org/")).alias("url")), f"SELECT node_id, CASE WHEN kind='element' THEN target_id END AS target_id, CASE WHEN kind='site' THEN lower(replace(trim(own_url), ':443', '')) WHEN kind='custom' THEN CASE node_id%9 WHEN 5 THEN 'https://host2.example.org/about' WHEN 6 THEN 'https://host1.example.org/b' WHEN 7 THEN 'https://host1.example.org/b' WHEN 8 THEN 'https://host1.example.org/b' END||CASE WHEN node_id%2=0 THEN '?x=1' ELSE '' END END AS url FROM ({_NODES}) t WHERE kind<>'passive' AND ((kind='element' AND target_id IS NOT NULL) OR (kind='site' AND own_url IS NOT NULL) OR (kind='custom' AND node_id%9 IN (4, 5, 6, 7, 8)))"),
     "replace_stored_refs": (_replaced, _REPLACED_SQL),
     "kept_counts": (_kept, _KEPT_SQL),
     "scan_transitions": (lambda s, d: lifecycle.transitions(_sql(s, d, _EVENTS)).select("seq", "status", "refused"), f"{_FOLDED} SELECT t.seq, l.event AS status, t.refused FROM t LEFT JOIN t l ON l.scan_id=t.scan_id AND l.k=t.last"),
