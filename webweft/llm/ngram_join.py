@@ -39,6 +39,8 @@ from .common import bucketed, components, discard, shielded, shingles, stored
 HEAVY_LEAST, HEAVY_SHARE = 256, 1 << 14
 #: Parts of a bucket that many items may share (a heavy shingle's, or a group of over LARGE members).
 SLICES, LARGE = 64, 512
+#: Nodes looked up in a broadcast, at most, and the bytes of their rows.
+HOT, BROADCAST_BYTES = 1 << 12, 64 << 20
 _FLUSH = 1 << 21
 #: Longs in the parity sketch of a short text; longer texts double it until it has two bits a shingle.
 SKETCH_LONGS = 16
@@ -149,17 +151,37 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp binary, sketch array<long>, m0 long, m1 long, prefix array<long>, light long")
 
 
+def at_nodes(rows: DataFrame, on: str, pairs: DataFrame, total: int, table: DataFrame, size: Column) -> DataFrame:
+    """rows joined with table on the node column `on`, which table has too.  Nodes in very many of the `total` pairs, at most
+    HOT of them, are looked up in a broadcast, if their rows of table (`size` bytes each) have BROADCAST_BYTES at most, so
+    that they are not one task's: in the join their rows are dealt at random and meet nothing."""
+    limit = max(512, total // HOT)
+    hot = [r[0] for r in pairs.groupBy(on).count().where(F.col("count") > limit).select(on).collect()] if total > limit else []
+    often = F.col(on).isin(*hot)
+    held = table.where(often).agg(F.sum(size)).first()[0] if hot else None
+    if held is None or held > BROADCAST_BYTES:
+        return rows.join(table, on)
+    new = [c for c in table.columns if c != on]
+    key = F.when(often, -1 - F.abs(F.xxhash64("a", "b") % (1 << 40))).otherwise(F.col(on))  # nodes are numbered from 0
+    plain = table.select(F.col(on).alias("__key"), *new)
+    dealt = rows.withColumn("__key", key).join(plain, "__key", "left").drop("__key")
+    known = F.broadcast(table.where(often).select(on, *(F.col(c).alias(f"__{c}") for c in new)))
+    return dealt.join(known, on, "left").select(*rows.columns, *(F.coalesce(c, f"__{c}").alias(c) for c in new)).where(F.col(new[0]).isNotNull())
+
+
 def sketched(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs(a, b) of nodes(node, n, sketch) those whose sketches allow the similarity."""
-    one = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-    both = one.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    """Of stored pairs(a, b) of nodes(node, n, sketch) those whose sketches allow the similarity."""
+    total = pairs.count()
+    one = at_nodes(pairs, "a", pairs, total, nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), 8 * F.size("sa") + 16)
+    both = at_nodes(one, "b", pairs, total, nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), 8 * F.size("sb") + 16)
     return both.where(bits_apart(F.col("sa"), F.col("sb")) <= allowed(F.col("na"), F.col("nb"), num, den)).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Of pairs(a, b) those whose sets reach the similarity."""
-    one = pairs.join(texts.select(F.col("__id").alias("a"), F.col("__text").alias("ta")), "a")
-    both = one.join(texts.select(F.col("__id").alias("b"), F.col("__text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    """Of stored pairs(a, b) those whose sets reach the similarity."""
+    total = pairs.count()
+    one = at_nodes(pairs, "a", pairs, total, texts.select(F.col("__id").alias("a"), F.col("__text").alias("ta")), F.octet_length("ta"))
+    both = at_nodes(one, "b", pairs, total, texts.select(F.col("__id").alias("b"), F.col("__text").alias("tb")), F.octet_length("tb")).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[int, np.ndarray] = {}
@@ -262,6 +284,8 @@ def _marked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     places = named.where("gid is null or gid = node").select("node", "n", "light", F.posexplode("prefix").alias("pos", "bucket"))
     places = places.withColumn("slices", F.when(F.col("pos") >= F.col("light"), SLICES).otherwise(1)).withColumn("slice", _slice(F.col("node"), F.col("slices")))
     places = places.withColumn("c", F.count("*").over(Window.partitionBy("bucket", "slice"))).where("c > 1 or slices > 1")
+    # The order's threshold grows with the documents; a bucket below it that is large all the same is dealt to slices too.
+    places = places.withColumn("slices", F.when(F.col("c") > LARGE, SLICES).otherwise(F.col("slices"))).withColumn("slice", _slice(F.col("node"), F.col("slices")))
     # Most shingles are in one place only; what is left takes up the short sketches, unless it stands for a group.
     places = places.select("bucket", "slices", "slice", F.col("node").alias("item"), "n", "pos").join(nodes.select(F.col("node").alias("item"), "m0", "m1"), "item")
     places = places.join(members.where("gid = node").select(F.col("gid").alias("item"), "gid"), "item", "left")
