@@ -1,7 +1,5 @@
 from collections import Counter, defaultdict
 
-from pyspark.sql import functions as F
-
 from webweft.llm import common, ngram_join
 from webweft.llm.common import shingles, table
 
@@ -150,17 +148,3 @@ def test_sketches_of_different_sizes(spark):
     for i, j, d in df.select("i", "j", ngram_join.bits_apart(F.col("a"), F.col("b")).alias("d")).collect():
         true = len(np.setxor1d(sets[i], sets[j]))
         assert d <= true and d % 2 == true % 2 and (i != j or d == 0)
-
-
-def test_hot_nodes_in_a_broadcast(spark, monkeypatch):
-    """A node in very many pairs meets its row whether it is looked up in a broadcast, or too large for one."""
-    pairs = spark.createDataFrame([(0, i) for i in range(1, 900)] + [(i, 900) for i in range(1, 700)] + [(5, 6)], "a long, b long").repartition(5).cache()
-    table = spark.createDataFrame([(i, f"s{i}") for i in range(901)], "a long, s string")
-    want = sorted((r.a, r.b, f"s{r.a}") for r in pairs.collect())
-    for most in (ngram_join.BROADCAST_BYTES, 0):
-        monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", most)
-        got = ngram_join.at_nodes(pairs, "a", pairs, pairs.count(), table, F.octet_length("s"))
-        assert sorted(map(tuple, got.select("a", "b", "s").collect())) == want
-        assert ("BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()) or not most
-        other = table.withColumnRenamed("a", "b")
-        assert sorted(r.s for r in ngram_join.at_nodes(got, "b", pairs, pairs.count(), other.withColumnRenamed("s", "t"), F.octet_length("t")).collect()) == [w[2] for w in sorted(want, key=lambda w: w[2])]
