@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import url as U
 from ..functions import verdicts as V
-from ..operators import counts, export, extract, hosts, lifecycle, reports, routing, state
+from ..operators import counts, export, extract, hosts, lifecycle, reports, routing, sources, state
 from ..sources import bridge, store
 from ..sources.staging import shared_dir, stored
 from .audit import _DIGEST_SQL, _SIGNATURE_SQL, _STATUS_SQL, NOW, T, _signed
@@ -122,7 +122,13 @@ def _edits(s, d):
 
 _NAMES = f"""CASE status {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in L.STATUS.items())} END"""
 
+_FETCHED = "SELECT page_id, CASE page_id%5 WHEN 0 THEN 404 WHEN 1 THEN 299 WHEN 2 THEN NULL ELSE 200 END AS http_status, CASE page_id%4 WHEN 0 THEN 'text/HTML; charset=utf-8' WHEN 1 THEN NULL WHEN 2 THEN 'application/xhtml+xml' ELSE 'image/png' END AS content_type, CASE WHEN page_id%50=1 THEN repeat(html, 700) ELSE html END AS body FROM pages"
+_LISTED = "SELECT c_custkey AS id, ' '||c_name||'@x.org,'||chr(9)||'b'||CAST(c_custkey AS VARCHAR(20))||'@x.org'||chr(13)||chr(10)||chr(10)||CASE WHEN c_custkey%3=0 THEN ' ,' ELSE 'c@x.org ' END AS setting FROM customer"
+
 PAIRED = {
+    "readable_bodies": (lambda s, d: sources.readable_pages(_sql(s, d, _FETCHED)).select("page_id", F.length("body").cast("long").alias("bytes")), f"SELECT page_id, least(2097152, strlen(body)) AS bytes FROM ({_FETCHED}) t WHERE http_status BETWEEN 200 AND 299 AND (content_type IS NULL OR content_type ILIKE '%html%')"),
+    "mail_recipients": (lambda s, d: _sql(s, d, _LISTED).select("id", F.array_join(export.recipients(F.col("setting")), ";").alias("sent")), f"SELECT id, array_to_string(list_filter(list_transform(regexp_split_to_array(setting, '[,\\r\\n]+'), lambda x: trim(x, concat(' ', chr(9)))), lambda x: x<>''), ';') AS sent FROM ({_LISTED}) t"),
+    "linkable_fields": (lambda s, d: sources.link_fields(_sql(s, d, "SELECT p_partkey AS id, p_name AS name, p_brand AS class FROM part"), ["Brand#2", "Brand#17", "Brand#25"]).select("id", "name"), "SELECT p_partkey AS id, p_name AS name FROM part WHERE p_brand IN ('Brand#2', 'Brand#17', 'Brand#25')"),
     "edit_links": (_edits, f"SELECT id, page||CASE WHEN owner_element_id<>element_id THEN '#la-block-'||CAST(element_id AS VARCHAR)||CASE WHEN block IS NULL THEN '' ELSE '--'||block END WHEN trim(coalesce(field_handle, ''))='' THEN '' ELSE '#la-field-'||trim(field_handle) END AS edit, page||'#la-ref-'||CAST(id AS VARCHAR) AS precise FROM ({_EDITS}) t"),
     "export_files": (lambda s, d: export.files(*T(s, d, "urls", "refs"), [1, 2], "2024-03-01"), f"SELECT status, count(*) AS rows, 'link-audit-'||trim(regexp_replace(lower({_NAMES}), '[^a-z0-9]+', '-', 'g'), '-')||'-2024-03-01.csv' AS filename, 'Page,Edit URL,Page URL,Page Type,Site,Field,Link Text,URL,Verdict,Reason,Response Code,'||CASE WHEN status='redirect' THEN 'Redirect Code,Goes To,' ELSE '' END||'Host,Found Via,Places Total,First Seen,Last Checked' AS header FROM refs r JOIN urls u ON u.id=r.url_id WHERE site_id IN (1, 2) GROUP BY status"),
     "navigation_records": (lambda s, d: extract.navigation(_sql(s, d, _NODES)).select("node_id", "target_id", U.normalised(F.col("href"), F.lit("https://host2.example.org/")).alias("url")), f"SELECT node_id, CASE WHEN kind='element' THEN target_id END AS target_id, CASE WHEN kind='site' THEN lower(replace(trim(own_url), ':443', '')) WHEN kind='custom' THEN CASE node_id%9 WHEN 5 THEN 'https://host2.example.org/about' WHEN 6 THEN 'https://host1.example.org/b' WHEN 7 THEN 'https://host1.example.org/b' WHEN 8 THEN 'https://host1.example.org/b' END||CASE WHEN node_id%2=0 THEN '?x=1' ELSE '' END END AS url FROM ({_NODES}) t WHERE kind<>'passive' AND ((kind='element' AND target_id IS NOT NULL) OR (kind='site' AND own_url IS NOT NULL) OR (kind='custom' AND node_id%9 IN (4, 5, 6, 7, 8)))"),
