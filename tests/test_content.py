@@ -8,6 +8,7 @@ import pytest
 
 from webweft.functions import links
 from webweft.operators import content, extract
+from webweft.plans import registry
 
 FIELDS = "element_id long, site_id long, field_uid string, field_handle string, pos int, kind string, value string"
 
@@ -117,3 +118,9 @@ def test_targets(spark):
     assert {k[2]: v for k, v in got.items() if k[:2] == (1, "r")} == {0: ("relation", 1, "https://a.org/two", "T wo"), 1: ("relation", 1, "relation:3", "Three")}
     assert got[1, "l", 0] == ("element", 1, "element:9", None) and len(out) == len(got)
     assert extract.DEEPEST == content.Reading().deepest
+
+
+@pytest.mark.parametrize("name", ["body_anchors"])
+def test_work_is_dealt(spark, small, name):
+    # The table is one small file, which is one task; the values made of its rows are read in all of them.
+    assert registry.queries()[name](spark, small).rdd.getNumPartitions() >= 8

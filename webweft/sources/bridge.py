@@ -152,6 +152,9 @@ SELECT id, CASE form WHEN 0 THEN g0||':'||g1||':'||g2||'::'||g7 WHEN 1 THEN '::f
   CAST(CASE id%6 WHEN 0 THEN 127 WHEN 1 THEN 10 WHEN 2 THEN 198 WHEN 3 THEN 224 ELSE id%256 END AS VARCHAR(20))||'.'||CAST(id%7*3 AS VARCHAR(20))||'.'||CAST(id%4 AS VARCHAR(20))||'.1' AS v4 FROM (SELECT CAST(c_custkey AS BIGINT) AS id, c_custkey%10 AS form FROM customer) c) t
 """
 NEEDS = {"ignores": ("urls",), "hosts": ("urls",)}
+#: Views that make many rows, or much work, of each row of a small table, and the keys by which such tables are dealt to as
+#: many tasks as a shuffle has: a small file is one task, however much is made of its rows.
+DEALT = {"field_values": {"part": "p_partkey"}, "content_elements": {"part": "p_partkey"}}
 
 
 def with_views(sql: str) -> str:
@@ -169,8 +172,9 @@ def with_views(sql: str) -> str:
     return f"WITH {body},\n{inner[5:]}" if inner.upper().startswith("WITH ") else f"WITH {body}\n{inner}"
 
 
-def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """sql with its tables read from sf_dir; no view of the caller's session is touched."""
+def run(spark: SparkSession, sf_dir: str, sql: str, dealt: dict[str, str] | None = None) -> DataFrame:
+    """sql with its tables read from sf_dir, those in dealt (name: key) dealt by their keys; no view of the caller's session is
+    touched."""
     import re
 
     sql, tables = sql.replace("{", "{{").replace("}", "}}"), {}
@@ -178,9 +182,11 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         new = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}} AS {name}", sql)
         if new != sql:
             sql, tables[name] = new, spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            if name in (dealt or {}):
+                tables[name] = tables[name].repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), dealt[name])
     return spark.sql(sql, **tables)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of VIEWS as a DataFrame."""
-    return run(spark, sf_dir, with_views(f"SELECT * FROM {name}"))
+    return run(spark, sf_dir, with_views(f"SELECT * FROM {name}"), DEALT.get(name))
