@@ -120,7 +120,7 @@ def test_targets(spark):
     assert extract.DEEPEST == content.Reading().deepest
 
 
-@pytest.mark.parametrize("name", ["body_anchors", "reference_tag_parts", "nested_entries"])
+@pytest.mark.parametrize("name", ["body_anchors", "reference_tag_parts", "nested_entries", "typed_values"])
 def test_work_is_dealt(spark, small, name):
     # The table is one small file, which is one task; the values made of its rows are read in all of them.
     assert registry.queries()[name](spark, small).rdd.getNumPartitions() >= 8
