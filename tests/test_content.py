@@ -5,6 +5,7 @@ import time
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from webweft.functions import links
 from webweft.operators import content, extract
@@ -124,3 +125,14 @@ def test_targets(spark):
 def test_work_is_dealt(spark, small, name):
     # The table is one small file, which is one task; the values made of its rows are read in all of them.
     assert registry.queries()[name](spark, small).rdd.getNumPartitions() >= 8
+
+
+def test_fields_are_read_once(spark, monkeypatch):
+    # Everything is a root, so that no level reaches what has not been read.
+    written, stored = [], content.stored
+    monkeypatch.setattr(content, "stored", lambda df, name: written.append(name) or stored(df, name))
+    elements = spark.createDataFrame([(i, 1, True, True) for i in range(1, 5)], "id long, site_id long, enabled boolean, enabled_for_site boolean")
+    fields = spark.createDataFrame([(i, 1, "u", "f", 0, "nested", f"[{i % 4 + 1}]") for i in range(1, 5)], FIELDS)
+    reached, _ = content.walked(elements.select(F.col("id").alias("element_id"), "site_id"), fields, elements)
+    assert {(r.root, r.element_id, r.depth) for r in reached.collect()} == {(r, (r - 1 + k) % 4 + 1, k) for r in range(1, 5) for k in range(4)} and reached.count() == 16
+    assert written.count("content") == 1

@@ -5,9 +5,10 @@ A field's value says by its kind how it is stored: `html` (rich text), `text`, a
 column holds all shapes, and what has the wrong shape gives no link.  A value that cannot be read is one row with a problem;
 it stops neither its element nor the walk.
 
-The walk goes level by level: the elements that a level reaches for the first time are read (each text once, however many
-roots reach it), what they nest (by field or inside a rich text) is the next level.  Elements are met once a root and site,
-so cycles end; what is not live is not entered; all links belong to the root."""
+The walk goes level by level, first over elements alone: those that any root reaches for the first time are read (each text
+once, however many roots reach it), what they nest (by field or inside a rich text) is the next level.  Then every root
+follows what was read.  Cycles end at the deepest level, and an element counts once a root and site; what is not live is not
+entered; all links belong to the root."""
 
 from __future__ import annotations
 
@@ -133,26 +134,31 @@ def walked(roots: DataFrame, fields: DataFrame, elements: DataFrame, how: Readin
     """What is reached from roots(element_id, site_id), as (root, site_id, element_id, depth), each once a root and site, at its
     least depth; and typed() of the fields of all that is reached."""
     on, alive = ["element_id", "site_id"], live(elements)
-    level = stored(roots.select(F.col("element_id").alias("root"), "site_id", "element_id", F.lit(0).alias("depth")).distinct(), "level")
-    seen, read, found, edges, depth = level, None, None, None, 0
-    while True:
-        fresh = level.select(*on).distinct()
-        fresh = fresh if read is None else fresh.join(read, on, "left_anti")
-        new = stored(typed(fields.join(fresh, on, "left_semi"), how), "content")
+    fresh = stored(roots.select(*on).distinct(), "fresh")
+    read, found, edges = fresh, None, None
+    for depth in range(how.deepest + 1):
+        # What a hash table holds is keys; the values, which are long, are not sorted.
+        new = stored(typed(fields.join(fresh.hint("shuffle_hash"), on, "left_semi"), how), "content")
         found = new if found is None else found.unionByName(new)
-        if depth == how.deepest:
-            break
         into = new.where("what = 'nested'").select(F.col("element_id").alias("__from"), F.col("target_id").alias("element_id"), "site_id").distinct()
         into = stored(into.join(alive, on, "left_semi"), "edges")
         edges = into if edges is None else edges.unionByName(into)
+        if depth < how.deepest:
+            fresh = stored(into.select(*on).distinct().join(read, on, "left_anti"), "fresh")
+            if fresh.isEmpty():
+                break
+            read = read.unionByName(fresh)
+
+    level = stored(roots.select(F.col("element_id").alias("root"), "site_id", "element_id", F.lit(0).alias("depth")).distinct(), "level")
+    seen = level
+    for depth in range(1, how.deepest + 1):
         step = level.select("root", "site_id", F.col("element_id").alias("__from")).join(edges, ["__from", "site_id"]).select("root", "site_id", "element_id").distinct()
-        depth += 1
-        level = stored(step.join(seen, ["root", "site_id", "element_id"], "left_anti").withColumn("depth", F.lit(depth)), "level")
+        level = stored(step.withColumn("depth", F.lit(depth)), "level")
         if level.isEmpty():
-            discard(level)
             break
-        read, seen = seen.select(*on), seen.unionByName(level)
-    return seen, found
+        seen = seen.unionByName(level)
+    # What a root meets again on its way is sorted out once, not by a join with all that was met at each level.
+    return stored(seen.groupBy("root", "site_id", "element_id").agg(F.min("depth").alias("depth")), "reached"), found
 
 
 def links(reached: DataFrame, found: DataFrame, elements: DataFrame, sites: DataFrame, strip: bool = True, fragments: bool = False, idn: bool = False) -> DataFrame:
