@@ -136,3 +136,11 @@ def test_fields_are_read_once(spark, monkeypatch):
     reached, _ = content.walked(elements.select(F.col("id").alias("element_id"), "site_id"), fields, elements)
     assert {(r.root, r.element_id, r.depth) for r in reached.collect()} == {(r, (r - 1 + k) % 4 + 1, k) for r in range(1, 5) for k in range(4)} and reached.count() == 16
     assert written.count("content") == 1
+
+
+def test_roots_are_counted_before_the_join(spark):
+    reached = spark.createDataFrame([(1, 1, 5, 1), (2, 1, 5, 1)], "root long, site_id long, element_id long, depth int")
+    found = spark.createDataFrame([(5, 1, "f", 0, "not JSON")] * 2 + [(6, 1, "f", 0, "not JSON")], "element_id long, site_id long, field_handle string, pos int, problem string")
+    out = content.problems(reached, found)
+    assert [tuple(r) for r in out.collect()] == [(5, 1, "f", 0, "not JSON", 2)]
+    assert not out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")

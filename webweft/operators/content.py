@@ -187,5 +187,6 @@ def links(reached: DataFrame, found: DataFrame, elements: DataFrame, sites: Data
 
 def problems(reached: DataFrame, found: DataFrame) -> DataFrame:
     """(element_id, site_id, field_handle, problem, roots): values that could not be read, and how many roots reach each."""
-    bad = found.where("problem is not null").select("element_id", "site_id", "field_handle", "pos", "problem")
-    return bad.join(reached.select("root", "element_id", "site_id"), ["element_id", "site_id"]).groupBy("element_id", "site_id", "field_handle", "pos", "problem").agg(F.count_distinct("root").alias("roots"))
+    bad = found.where("problem is not null").select("element_id", "site_id", "field_handle", "pos", "problem").distinct()
+    # A root reaches an element once, so that roots are counted before they meet the values.
+    return bad.join(reached.groupBy("element_id", "site_id").agg(F.count("root").alias("roots")), ["element_id", "site_id"])
