@@ -144,3 +144,9 @@ def test_roots_are_counted_before_the_join(spark):
     out = content.problems(reached, found)
     assert [tuple(r) for r in out.collect()] == [(5, 1, "f", 0, "not JSON", 2)]
     assert not out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+
+
+def test_what_an_address_leans_on(spark):
+    hrefs = {"/x": (True, True), "//b.org": (True, True), "&#47;x": (True, True), "x": (True, False), "?q": (True, False), "https://a.org/": (False, False), "#x": (False, False), "": (False, False), "foo:bar": (False, False), "{entry:2:url||/fall}": (False, True), "{user:2:url||/fall}": (True, True), None: (False, False)}
+    got = spark.createDataFrame([(h,) for h in hrefs], "href string").select("href", extract.leans(F.col("href")), extract.rooted(F.col("href"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == hrefs

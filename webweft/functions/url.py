@@ -127,6 +127,16 @@ def port_of(url: Column) -> Column:
     return F.when((port == "") | own, "").otherwise(F.concat(F.lit(":"), port))
 
 
+def is_relative(href: Column) -> Column:
+    """Whether an address can be checked and has no scheme of its own, so that normalised() asks for a base."""
+    return named(clean(href), lambda ref: (_kind(ref) == "checkable") & ~ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"))
+
+
+def top_of(url: Column) -> Column:
+    """Scheme and authority, all that an address beginning with a slash takes of its base; null where there is no authority."""
+    return F.when(part(url, 2) != "", F.concat(part(url, 1), F.lit("://"), part(url, 2)))
+
+
 def absolute(ref: Column, base: Column) -> Column:
     """ref against base."""
     root = F.concat(part(base, 1), F.lit("://"), part(base, 2))

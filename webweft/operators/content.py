@@ -170,19 +170,34 @@ def links(reached: DataFrame, found: DataFrame, elements: DataFrame, sites: Data
     whose target is not there has no row.  A reference tag's target is looked up at the site it names, by number or handle."""
     own = elements.select(F.col("id").alias("__id"), F.col("site_id").alias("__site"), F.col("url").alias("__own"), F.col("title").alias("__title"))
     base = sites.select("site_id", F.col("base_url").alias("__base"))
-    rows = reached.select("root", "site_id", "element_id").join(found.where("what <> 'nested'").drop("problem"), ["element_id", "site_id"]).join(base, "site_id", "left")
-    kept = ["root", *KEY, "n"]
-
-    typed_in = rows.where("what = 'link'").join(own.select(F.col("__id").alias("root"), F.col("__site").alias("site_id"), "__own"), ["root", "site_id"], "left")
-    typed_in = typed_in.select(*kept, "href", "text", F.coalesce("__own", "__base").alias("base"))
-    out = extract.records(typed_in, sites, strip, fragments, idn=idn, targets=elements, sites=sites)
-
-    pointed = rows.where("what <> 'link'").join(own, (F.col("target_id") == F.col("__id")) & (F.col("site_id") == F.col("__site")), "left")
+    reached = reached.select("root", F.col("element_id").alias("__element"), F.col("site_id").alias("__here"))
+    things = found.where("what <> 'nested'").drop("problem").withColumn("__here", F.col("site_id"))
+    kept = [*KEY, "n", "__here"]
+    met = lambda rows, by: rows.join(by, (F.col("element_id") == F.col("__element")) & (rows["__here"] == by["__here"])).drop("__element", by["__here"])
+    typed_in = things.where("what = 'link'").withColumn("__leans", extract.leans(F.col("href"))).withColumn("__rooted", extract.rooted(F.col("href"))).drop("what", "target_id")
+
+    # What no root changes is worked out once, however many roots there are: an address that stands alone once, one that
+    # begins at the top of a host once a host, and only one that leans on the page itself for each root.
+    page = F.coalesce("__own", "__base")
+    pages = own.join(base.withColumnRenamed("site_id", "__site"), "__site", "left").select(F.col("__id").alias("root"), F.col("__site").alias("__here"), page.alias("base"), U.top_of(page).alias("top"))
+    bare = base.select(F.col("site_id").alias("__here"), F.col("__base"), U.top_of(F.col("__base")).alias("__top"))
+    pages = reached.join(pages, ["root", "__here"], "left").join(bare, "__here", "left")
+    pages = pages.select("root", "__element", "__here", F.coalesce("base", "__base").alias("base"), F.coalesce("top", F.when(F.col("base").isNull(), F.col("__top"))).alias("top"))
+    made = lambda rows, *more: extract.records(rows.select(*more, *kept, "href", "text", "base"), sites, strip, fragments, idn=idn)
+    leaning = made(met(typed_in.where("__leans and not __rooted"), pages.drop("top")), "root")
+    tops = pages.select("__element", "__here", "top").where("top is not null")
+    rooted = made(met(typed_in.where("__leans and __rooted"), tops.distinct()).withColumn("base", F.col("top")), "top")
+    roots = pages.select("root", F.col("__element").alias("element_id"), F.col("__here"), "top")
+    leaning = leaning.unionByName(rooted.join(roots, ["element_id", "__here", "top"]).drop("top"))
+    settled = typed_in.where("not __leans").select(*kept, "href", "text", F.lit(None).cast("string").alias("base"))
+    settled = extract.records(settled, sites, strip, fragments, idn=idn, targets=elements, sites=sites)
+
+    pointed = things.where("what <> 'link'").join(own, (F.col("target_id") == F.col("__id")) & (F.col("site_id") == F.col("__site")), "left").join(base, "site_id", "left")
     pointed = pointed.where("what = 'element' or __id is not null")
     relation = F.col("what") == "relation"
     url = F.coalesce(U.normalised(F.col("__own"), F.col("__base"), strip), F.when(relation, U.stand_in(F.col("target_id"), True)).otherwise(U.stand_in(F.col("target_id"))))
     pointed = pointed.select(*kept, F.col("what").alias("kind"), url.alias("url"), F.col("href").alias("raw_href"), "target_id", U.tidy_text(F.when(relation, F.col("__title")).otherwise(F.col("text"))).alias("link_text"))
-    return out.unionByName(pointed)
+    return met(settled.unionByName(pointed), reached).unionByName(leaning).drop("__here")
 
 
 def problems(reached: DataFrame, found: DataFrame) -> DataFrame:

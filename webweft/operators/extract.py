@@ -15,6 +15,25 @@ DEEPEST = 10
 TAG_TYPES = ("entry", "asset", "category")
 
 
+def _tagged(raw: Column) -> tuple[dict[str, Column], Column, Column]:
+    """The parts of a reference tag, the element that it points at by number, and the address to read: the tag's fallback, or
+    what is there."""
+    tag = reftag.parts(raw)
+    target = F.when(F.lower(tag["type"]).isin(*TAG_TYPES) & tag["ref"].rlike("^[0-9]{1,18}$"), tag["ref"].cast("long"))
+    return tag, target, F.when(tag["type"].isNotNull(), tag["fallback"]).otherwise(raw)
+
+
+def leans(href: Column) -> Column:
+    """Whether the address that records() makes of href depends on its base."""
+    _, target, address = _tagged(F.btrim(href, F.lit(U.BLANK)))
+    return F.coalesce(target.isNull() & U.is_relative(address), F.lit(False))
+
+
+def rooted(href: Column) -> Column:
+    """Whether of its base an address that leans on one takes only scheme and host."""
+    return F.coalesce(U.clean(_tagged(F.btrim(href, F.lit(U.BLANK)))[2]).startswith("/"), F.lit(False))
+
+
 def records(found: DataFrame, bases: DataFrame, strip: bool = True, fragments: bool = False, rendered: bool = False, idn: bool = False, targets: DataFrame | None = None, sites: DataFrame | None = None) -> DataFrame:
     """found(href, text, base, ...) with kind, url, raw_href, target_id and link_text; rows without a link are left out.
 
@@ -24,10 +43,8 @@ def records(found: DataFrame, bases: DataFrame, strip: bool = True, fragments: b
     Schemes that cannot be checked give an ignored row, without credentials, from content, and none from rendered pages.
     An internal address keeps its fragment where fragments are checked."""
     out = found.withColumn("__raw", F.btrim("href", F.lit(U.BLANK)))
-    tag = reftag.parts(F.col("__raw"))
-    is_tag = tag["type"].isNotNull()
-    target = F.when(F.lower(tag["type"]).isin(*TAG_TYPES) & tag["ref"].rlike("^[0-9]{1,18}$"), tag["ref"].cast("long"))
-    out = out.withColumn("target_id", target).withColumn("__href", F.when(is_tag, tag["fallback"]).otherwise(F.col("__raw")))
+    tag, target, address = _tagged(F.col("__raw"))
+    out = out.withColumn("target_id", target).withColumn("__href", address)
     kind = U.scheme_kind(F.col("__href"))
     out = out.withColumn("__scheme", kind)
     out = U.with_normalised(out, "__url", F.col("__href"), F.col("base"), strip) if idn else out.withColumn("__url", U.normalised(F.col("__href"), F.col("base"), strip))
@@ -54,7 +71,9 @@ def at_targets(links: DataFrame, targets: DataFrame, sites: DataFrame, strip: bo
     out = out.withColumn("site_id", F.when(is_element, F.coalesce(number, "__by_handle", "site_id")).otherwise(F.col("site_id")))
     own = targets.select(F.col("id").alias("__id"), F.col("site_id").alias("__at"), F.col("url").alias("__own"))
     base = sites.select(F.col("site_id").alias("__site"), F.col("base_url").alias("__base"))
-    out = out.join(own, is_element & (F.col("target_id") == F.col("__id")) & (F.col("site_id") == F.col("__at")), "left").join(base, F.col("site_id") == F.col("__site"), "left")
+    # Links that have no target are many and would all meet in one task: each looks for a number of its own, in vain.
+    sought = F.when(is_element, F.col("target_id")).otherwise(F.xxhash64("url"))
+    out = out.join(own, is_element & (sought == F.col("__id")) & (F.col("site_id") == F.col("__at")), "left").join(base, F.col("site_id") == F.col("__site"), "left")
     return out.withColumn("url", F.when(is_element, F.coalesce(U.normalised(F.col("__own"), F.col("__base"), strip), "url")).otherwise(F.col("url"))).select(*(c for c in links.columns if c != "__named"))
 
 
