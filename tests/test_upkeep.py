@@ -196,3 +196,12 @@ def test_addresses_of_an_element(spark):
     got = state.addresses_of(es, sites, spark.createDataFrame([(5,), (5,)], "element_id long"))
     want = spark.createDataFrame([("element:5",), ("relation:5",), ("https://a.org/",), ("https://b.org/base/a/b",)], "u string").select(F.sha1("u")).collect()
     assert sorted(r.url_hash for r in got.collect()) == sorted(r[0] for r in want)
+
+
+def test_addresses_are_dealt(spark):
+    # Joined to few tasks by their packed bytes, millions of narrow rows would be sorted and hashed in one.
+    urls = spark.range(40).select("id", F.sha1(F.col("id").cast("string")).alias("url_hash"), F.lit("ok").alias("status"), F.lit(None).cast("timestamp_ntz").alias("next_check_after"))
+    hashes = urls.where("id % 2 = 0").select("url_hash")
+    out = state.brought_forward(urls, hashes.union(hashes), "2024-03-01 00:00:00")
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r.id for r in out.where("next_check_after is not null").collect()) == list(range(0, 40, 2)) and out.count() == 40

@@ -50,12 +50,19 @@ def new_urls(links: DataFrame, urls: DataFrame, ignores: DataFrame, as_of: str)
 def addresses_of(elements_sites: DataFrame, sites: DataFrame, ids: DataFrame, strip: bool = True) -> DataFrame:
     """(element_id, url_hash) of every address under which elements ids(element_id) may be linked: both stand-ins, and their
     page on each site that has one (elements_sites(element_id, site_id, uri), sites(site_id, base_url))."""
-    who = ids.select("element_id").distinct()
+    who = dealt(ids.select("element_id"), "element_id").distinct()
     stand_ins = who.select("element_id", F.explode(F.array(U.stand_in(F.col("element_id")), U.stand_in(F.col("element_id"), True))).alias("url"))
     pages = elements_sites.where("uri is not null").join(who, "element_id", "left_semi").join(sites.select("site_id", "base_url").where("base_url is not null"), "site_id")
     path = F.when(F.col("uri") == U.HOME, "").otherwise(F.ltrim("uri", F.lit("/")))
     pages = pages.select("element_id", U.normalised(F.concat(F.regexp_replace("base_url", "/+$", ""), F.lit("/"), path), strip=strip).alias("url")).where("url is not null")
-    return stand_ins.unionByName(pages).select("element_id", U.fingerprint(F.col("url")).alias("url_hash")).distinct()
+    # Stand-ins of distinct elements are distinct; only pages can be met twice, each beside its own element's.
+    return stand_ins.unionByName(pages.distinct()).select("element_id", U.fingerprint(F.col("url")).alias("url_hash"))
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by a key to all tasks of a shuffle.  Left to itself Spark joins small parts to tasks by their packed bytes, and
+    narrow rows pack so well that millions are sorted and hashed in one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def replace(table: DataFrame, where: Column, rows: DataFrame | None = None) -> DataFrame:
@@ -100,9 +107,9 @@ def settings_released(urls: DataFrame) -> DataFrame:
 
 def brought_forward(urls: DataFrame, hashes: DataFrame, as_of: str) -> DataFrame:
     """Addresses of hashes(url_hash) that nobody ignores are due a minute ago."""
-    hit = hashes.select("url_hash").distinct().withColumn("__hit", F.lit(True))
+    hit = dealt(hashes.select("url_hash"), "url_hash").distinct().withColumn("__hit", F.lit(True))
     at = F.lit(as_of).cast("timestamp_ntz") - F.expr("INTERVAL 1 MINUTE")
-    return set_where(urls.join(hit, "url_hash", "left"), F.col("__hit") & (F.col("status") != "ignored"), next_check_after=at).select(*urls.columns)
+    return set_where(dealt(urls, "url_hash").join(hit, "url_hash", "left"), F.col("__hit") & (F.col("status") != "ignored"), next_check_after=at).select(*urls.columns)
 
 
 def ignored(urls: DataFrame, ignores: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:

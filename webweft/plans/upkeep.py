@@ -98,10 +98,12 @@ def _page(s, d):
 
 
 def _forward(s, d):
-    urls, es, sites = T(s, d, "urls", "elements_sites", "sites")
+    urls, sites = T(s, d, "urls", "sites")
+    by = {"orders": "o_custkey", "customer": "c_custkey"}
+    es = bridge.run(s, d, bridge.with_views("SELECT * FROM elements_sites"), by)
     pages = _sql(s, d, "SELECT o_orderkey*10 AS element_id FROM orders WHERE o_orderkey%2=0")
     # The table holds stand-ins of parts; pages of elements are added under their own addresses.
-    held = urls.unionByName(_sql(s, d, _PAGES).select(*(F.col(c) if c in ("id", "url_hash", "status") else F.lit(None).cast(urls.schema[c].dataType).alias(c) for c in urls.columns)))
+    held = urls.unionByName(bridge.run(s, d, bridge.with_views(_PAGES), by).select(*(F.col(c) if c in ("id", "url_hash", "status") else F.lit(None).cast(urls.schema[c].dataType).alias(c) for c in urls.columns)))
     hashes = state.addresses_of(es, sites, pages)
     return state.brought_forward(held, hashes, NOW).select("id", "status", "next_check_after")
 
