@@ -150,3 +150,11 @@ def test_what_an_address_leans_on(spark):
     hrefs = {"/x": (True, True), "//b.org": (True, True), "&#47;x": (True, True), "x": (True, False), "?q": (True, False), "https://a.org/": (False, False), "#x": (False, False), "": (False, False), "foo:bar": (False, False), "{entry:2:url||/fall}": (False, True), "{user:2:url||/fall}": (True, True), None: (False, False)}
     got = spark.createDataFrame([(h,) for h in hrefs], "href string").select("href", extract.leans(F.col("href")), extract.rooted(F.col("href"))).collect()
     assert {r[0]: (r[1], r[2]) for r in got} == hrefs
+
+
+def test_bodies_hold_no_text(spark):
+    texts = spark.createDataFrame([(1, "<a href=1>x</a><a href=2>y</a><craft-entry data-entry-id=7>"), (2, None), (3, "<img src=3 alt=z>")], "id int, value string")
+    assert links.bodies(texts).columns == ["id", "links", "entries"] and links.bodies(texts, links=False).columns == ["id", "entries"]
+    got = {r.id: ([tuple(x) for x in r.links], r.entries) for r in links.bodies(texts).collect()}
+    assert got == {1: ([("a", "1", "x"), ("a", "2", "y")], [7]), 2: ([], []), 3: ([("img", "3", "z")], [])}
+    assert {r.id: r.entries for r in links.bodies(texts, links=False).collect()} == {1: [7], 2: [], 3: []}

@@ -44,12 +44,8 @@ def _bodies_of(s, d):
     return bridge.view(s, d, "field_values").where("kind = 'html'").select("element_id", "site_id", "value")
 
 
-def _bodies(s, d):
-    return links.bodies(_bodies_of(s, d))
-
-
 def _tags(s, d):
-    hrefs = _bodies(s, d).select("element_id", "site_id", F.posexplode("links").alias("pos", "link"))
+    hrefs = links.bodies(_bodies_of(s, d)).select("element_id", "site_id", F.posexplode("links").alias("pos", "link"))
     tag = reftag.parts(F.col("link.href"))
     return hrefs.select("element_id", "site_id", "pos", *(v.alias(k) for k, v in tag.items())).where("type is not null")
 
@@ -125,7 +121,7 @@ PAIRED = {
     "content_links": (_links, _LINKS_SQL),
     "content_problems": (_problems, f"WITH RECURSIVE {_WALK}, {_ITEMS} SELECT bad.element_id, bad.site_id, field_handle, problem, count(DISTINCT root) AS roots FROM bad JOIN reached w ON w.element_id=bad.element_id AND w.site_id=bad.site_id GROUP BY ALL"),
     "typed_values": (_values, f"WITH {_ITEMS} SELECT element_id, site_id, field_handle, CAST(n AS INT) AS n, what, href, target_id, text, NULL AS problem FROM items WHERE field_handle<>'body' UNION ALL SELECT element_id, site_id, field_handle, NULL, NULL, NULL, NULL, NULL, problem FROM bad"),
-    "nested_entries": (lambda s, d: _bodies(s, d).select("element_id", "site_id", F.posexplode("entries").alias("pos", "entry_id")), f"SELECT element_id, site_id, CAST(generate_subscripts(ids, 1) - 1 AS INT) AS pos, CAST(unnest(ids) AS BIGINT) AS entry_id FROM (SELECT element_id, site_id, regexp_extract_all({_BARE}, '(?i)<craft-entry[^>]*data-entry-id=\"?([0-9]+)', 1) AS ids FROM field_values WHERE kind='html') t"),
+    "nested_entries": (lambda s, d: links.bodies(_bodies_of(s, d), links=False).select("element_id", "site_id", F.posexplode("entries").alias("pos", "entry_id")), f"SELECT element_id, site_id, CAST(generate_subscripts(ids, 1) - 1 AS INT) AS pos, CAST(unnest(ids) AS BIGINT) AS entry_id FROM (SELECT element_id, site_id, regexp_extract_all({_BARE}, '(?i)<craft-entry[^>]*data-entry-id=\"?([0-9]+)', 1) AS ids FROM field_values WHERE kind='html') t"),
     "reference_tag_parts": (_tags, rf"""SELECT element_id, site_id, CAST(k - 1 AS INT) AS pos, split_part(ltrim(href, '{{'), ':', 1) AS type, split_part(split_part(split_part(href, '||', 1), ':', 2), '@', 1) AS ref, nullif(split_part(split_part(href, ':', 2), '@', 2), '') AS site, split_part(split_part(href, '||', 1), ':', 3) AS attribute, rtrim(split_part(href, '||', 2), '}}') AS fallback
  FROM (SELECT element_id, site_id, generate_subscripts(hrefs, 1) AS k, unnest(hrefs) AS href FROM (SELECT element_id, site_id, regexp_extract_all(regexp_replace({_BARE}, '(?is)<craft-entry[^>]*>.*?</craft-entry>', '', 'g'), '(?i)<a\s[^>]*href="([^"]*)"', 1) AS hrefs FROM field_values WHERE kind='html') t) u WHERE starts_with(href, '{{')"""),
     "body_anchors": (_anchors, rf"""SELECT page_id, CAST(generate_subscripts(names, 1) - 1 AS INT) AS pos, unnest(names) AS anchor FROM (SELECT element_id*10+site_id AS page_id, regexp_extract_all({_BARE}, '(?i)<[a-z][^>]*?\sid="([^"]*)"', 1) AS names FROM field_values WHERE kind='html') t"""),
