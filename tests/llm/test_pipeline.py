@@ -121,3 +121,15 @@ def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert pii.KEY_SETTING
+
+
+def test_python_gets_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for own, left in (("10000", "1000"), ("77", "77")):
+            spark.conf.set(key, own)
+            corpus_pipeline.encoded(spark, spark.createDataFrame([(1, "a b")], "doc_id long, text string"), "")
+            assert spark.conf.get(key) == left
+    finally:
+        spark.conf.set(key, before)

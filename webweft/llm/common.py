@@ -15,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of the batches in which texts go to Python, and Spark's own number, which stands for "not set".
+BATCH_ROWS, USUAL_ROWS = 1000, 10000
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """docs, in a session whose batches for Python are small: a batch is held whole by the executor's JVM, outside its heap, and
+    again by the worker.  The setting is the session's, as plans are run later; another number that the user has set stays."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == str(USUAL_ROWS):
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs with its columns renamed c0, c1, ..., and each name's new one: beside them no other name can clash."""
     inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
