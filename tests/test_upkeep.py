@@ -200,7 +200,7 @@ def test_addresses_of_an_element(spark):
 
 def test_addresses_are_dealt(spark):
     # Joined to few tasks by their packed bytes, millions of narrow rows would be sorted and hashed in one.
-    urls = spark.range(40).select("id", F.sha1(F.col("id").cast("string")).alias("url_hash"), F.lit("ok").alias("status"), F.lit(None).cast("timestamp_ntz").alias("next_check_after"))
+    urls = spark.range(0, 40, 1, 1).select("id", F.sha1(F.col("id").cast("string")).alias("url_hash"), F.lit("ok").alias("status"), F.lit(None).cast("timestamp_ntz").alias("next_check_after"))
     hashes = urls.where("id % 2 = 0").select("url_hash")
     out = state.brought_forward(urls, hashes.union(hashes), "2024-03-01 00:00:00")
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
